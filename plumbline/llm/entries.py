@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, hosts, mixing, repetition, search
-from plumbline.llm.common import table
+from plumbline.llm import bpe, cotraining, hosts, mixing, rendering, repetition, search, toxicity
+from plumbline.llm.common import fold, table
 
 
 def tokenizer_path() -> str:
@@ -28,18 +28,33 @@ def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_multiple_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
+    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)))
+
+
 def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is bad if the labels of its id say low quality or toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
     return hosts.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
 
 
+def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendering.render_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_tree, op2_maxscore, op3_suffix_repetition, op7_host_reputation, op9_splitting_tree)}
+    return {f.__name__: f for f in (op1_bpe_tree, op2_maxscore, op3_suffix_repetition, op4_cotraining, op5_multiple_instance, op7_host_reputation, op8_html_layout, op9_splitting_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
