@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, cotraining, hosts, mixing, rendering, repetition, search, toxicity
+from plumbline.llm import bpe, cotraining, hosts, jaccard, mixing, rendering, repetition, search, toxicity
 from plumbline.llm.common import fold, table
 
 
@@ -53,8 +53,12 @@ def op9_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op10_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_tree, op2_maxscore, op3_suffix_repetition, op4_cotraining, op5_multiple_instance, op7_host_reputation, op8_html_layout, op9_splitting_tree)}
+    return {f.__name__: f for f in (op1_bpe_tree, op2_maxscore, op3_suffix_repetition, op4_cotraining, op5_multiple_instance, op7_host_reputation, op8_html_layout, op9_splitting_tree, op10_prefix_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
