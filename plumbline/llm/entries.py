@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, cotraining, hosts, jaccard, mixing, rendering, repetition, search, toxicity
+from plumbline.llm import bpe, cotraining, hosts, jaccard, katz, mixing, rendering, repetition, search, toxicity
 from plumbline.llm.common import fold, table
 
 
@@ -39,6 +39,10 @@ def op5_multiple_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)))
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
+
+
 def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is bad if the labels of its id say low quality or toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
@@ -58,7 +62,7 @@ def op10_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_tree, op2_maxscore, op3_suffix_repetition, op4_cotraining, op5_multiple_instance, op7_host_reputation, op8_html_layout, op9_splitting_tree, op10_prefix_tree)}
+    return {f.__name__: f for f in (op1_bpe_tree, op2_maxscore, op3_suffix_repetition, op4_cotraining, op5_multiple_instance, op6_katz_backoff, op7_host_reputation, op8_html_layout, op9_splitting_tree, op10_prefix_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
