@@ -75,6 +75,42 @@ def digests(ids: list[list[int]], path: str) -> tuple[list[int], list[str], list
     return [len(x) for x in ids], [sha(",".join(map(names, x))) for x in ids], [sha(x) for x in decode_ids(ids, path)]
 
 
+# -- words that repeat --------------------------------------------------------------------------------------
+
+_STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_MEMO = 400_000
+
+
+class Memo:
+    """Digests of texts from stretches that are each encoded and decoded once while they are remembered.
+
+    A stretch begins with the white space that follows something else, a safe cut; texts with white space
+    other than spaces and line feeds are encoded whole. Ids and decoded bytes of stretches join to the text's.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.known = path, {}
+
+    def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
+        parts = [[x] if _OTHER_SPACE.search(x) else _STRETCH.findall(x) for x in texts]
+        used = set().union(*parts)
+        new = list(used - self.known.keys())
+        if len(self.known) + len(new) > _MEMO:  # only what this call has is surely worth keeping
+            self.known = {x: self.known[x] for x in used if x in self.known}
+        known = self.known
+        ids, names = encode_texts(new, self.path), _library(self.path)[2].__getitem__
+        for x, own, text in zip(new, ids, decode_ids(ids, self.path), strict=True):
+            known[x] = (len(own), ",".join(map(names, own)), x if x == text else text)
+        counts, ids_sha, decoded_sha = [], [], []
+        for own in parts:
+            n, named, decoded = zip(*map(known.__getitem__, own), strict=True) if own else ((), (), ())
+            counts.append(sum(n))
+            ids_sha.append(hashlib.sha256(",".join(filter(None, named)).encode()).hexdigest())
+            decoded_sha.append(hashlib.sha256("".join(decoded).encode()).hexdigest())
+        return counts, ids_sha, decoded_sha
+
+
 # -- cutting ------------------------------------------------------------------------------------------------
 
 _SAFE = re.compile(r"[0-9A-Za-z!-/:-@\[-`{-~](?=[ \n])")
@@ -190,6 +226,28 @@ def concatenate(parts: list[tuple[list[int], bool]], path: str) -> list[int]:
 # -- on a DataFrame -----------------------------------------------------------------------------------------
 
 
+def encode_ids(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and ids of each row, encoded whole in its task."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encode_texts(batch.column(1).to_pylist(), path), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id and text of (doc_id, ids); null ids decode to the empty text."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decode_ids([x or [] for x in batch.column(1).to_pylist()], path), pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+
+
 def encode(docs: DataFrame, path: str, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row.
 
@@ -202,12 +260,13 @@ def encode(docs: DataFrame, path: str, piece_chars: int = PIECE_CHARS) -> DataFr
     long = docs.where(F.length("text") > piece_chars).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
 
     def encode_short(batches):
+        memo = Memo(path)
         for batch in batches:
             texts, found = batch.column(1).to_pylist(), ([], [], [])
             at = size = 0
             for i, x in enumerate([*texts, None]):
                 if x is None or size > _BATCH_CHARS:
-                    for all_, part in zip(found, digests(encode_texts(texts[at:i], path), path), strict=True):
+                    for all_, part in zip(found, memo.digests(texts[at:i]), strict=True):
                         all_.extend(part)
                     at, size = i, 0
                 size += len(x or "")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import zstandard
@@ -16,8 +18,14 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -91,6 +99,16 @@ def _drop_all() -> None:
             return
 
 
+def trim() -> None:
+    """Returns freed memory to the system: a Python worker is reused, and its heap would stay at the largest task's size."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped, and unmapped when they go
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        return
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays of one blob. Each is stored by byte planes, so that small numbers cost few bytes."""
     head, body = [len(arrays)], []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from plumbline.llm.common import deltas, pack, undeltas, unpack, written
+from plumbline.llm.common import deltas, pack, trim, undeltas, unpack, written
 from plumbline.llm.graph import components
 
 CHUNK_BYTES, CELL_TOKENS = 16 << 20, 4_000_000
@@ -104,6 +104,7 @@ def _chunk(ids: list, texts: list, n: int, parts: int) -> Iterator[pa.RecordBatc
 
 def _repeated(blobs: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
     """Of one range of hashes: to each set's own range, (key, hash, number of sets with it) of hashes of several sets."""
+    trim()
     tokens, owners, rows = [], [], []
     for blob in blobs:
         t, place, names, *own = unpack(blob)
@@ -145,6 +146,7 @@ _STATE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64(
 
 def _candidates(blobs: list[bytes], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Of one range of keys: a row for each document, and one with its repeated n-grams, rare ones first, for each set that may have an alike one."""
+    trim()
     ids, known, keys, sizes, names, counts, tokens, dfs = ([] for _ in range(8))
     for blob in blobs:
         a = unpack(blob)
@@ -344,6 +346,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | N
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def chunks(batches):
+        trim()
         ids, texts, size = [], [], 0
         for batch in batches:
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
