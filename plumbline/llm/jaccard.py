@@ -388,6 +388,6 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | N
 
 
 def representatives(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; of rows with one id, all."""
+    """The rows of ``docs`` whose id is the smallest of their component; of rows with one id, all; rows without an id stay."""
     keep = join(docs, **parameters).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

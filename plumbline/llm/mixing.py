@@ -146,8 +146,10 @@ def taken_words(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken, by shard and place.
 
-    The copies are spread over the output by (shard, place) ranges; documents meet their counts by doc_id."""
-    found = mix(docs, **parameters).where("copy is not null").select(F.col("doc_id").alias("_d"), "shard", "place")
-    once = docs.dropDuplicates(["doc_id"])
-    joined = once.join(found, F.col("doc_id") == F.col("_d")).drop("_d")
-    return joined.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select(*docs.columns)
+    Documents meet their copies by doc_id; rows that share an id share its copies in turn."""
+    found = mix(docs, **parameters).where("copy is not null").select(F.col("doc_id").alias("_d"), F.col("shard").alias("_shard"), F.col("place").alias("_place"))
+    found = found.withColumn("_turn", F.row_number().over(Window.partitionBy("_d").orderBy("_shard", "_place")) - 1)
+    own = Window.partitionBy("doc_id")
+    rows = docs.withColumns({"_row": F.row_number().over(own.orderBy("text")) - 1, "_rows": F.count(F.lit(1)).over(own)})
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_turn") % F.col("_rows") == F.col("_row")))
+    return joined.repartition("_shard").sortWithinPartitions("_shard", "_place").select(*(joined[c] for c in docs.columns))
