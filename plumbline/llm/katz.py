@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from plumbline.llm.common import deltas, pack, undeltas, unpack, written
+from plumbline.llm.common import deltas, pack, trim, undeltas, unpack, written
 from plumbline.llm.jaccard import _sliced
 
 CHUNK_BYTES, LARGEST = 16 << 20, 5
@@ -125,6 +125,7 @@ def _counts_of_counts(c: np.ndarray) -> np.ndarray:
 
 def _count_words(rows: pa.Table) -> pa.Table:
     """Of one range of words: to each chunk the numbers and counts of its words, in order."""
+    trim()
     part, out = rows["part"][0].as_py(), []
     own = [(c, *unpack(b)) for c, b in zip(rows["chunk"].to_pylist(), rows["blob"].to_pylist(), strict=True)]
     words = [undeltas(w) for _, w, _ in own]
@@ -138,6 +139,13 @@ def _count_words(rows: pa.Table) -> pa.Table:
     return _wire(out)
 
 
+def _numbers(step: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Undoes the steps of ``_ask``: sums that begin anew with each history."""
+    total = np.cumsum(step, dtype=np.uint64)
+    start = np.cumsum(lengths, dtype=np.int64) - lengths
+    return total - np.repeat(total[start] - step[start], lengths)
+
+
 class _Chunk:
     """A chunk's tokens with global numbers and counts of its words, from its payload and the words' answers."""
 
@@ -168,6 +176,7 @@ _PAIRS = 1 << 24  # part numbers from here on: answers about pairs
 
 
 def _ask(rows: list[tuple[int, bytes]], chunk: int, hot: float, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    trim()
     c = _Chunk(rows)
     codes, split = c.pairs(hot, parts)
     learnt = np.repeat(c.train, c.sizes).astype(bool)
@@ -180,23 +189,26 @@ def _ask(rows: list[tuple[int, bytes]], chunk: int, hot: float, parts: int) -> I
             start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             hs = h[start]
             numbers = c.numbers[w]
-            yield part, chunk, pack(deltas(c.numbers[hs]), np.diff(np.append(start, len(h))).astype(np.uint32), (c.counts[hs] > hot).astype(np.uint8), (numbers >> np.uint64(32)).astype(np.uint16), numbers.astype(np.uint32), c.counts[w].astype(np.uint64), count[own])
+            step = deltas(numbers)  # within a history; its first word's number is given whole
+            step[start] = numbers[start]
+            yield part, chunk, pack(deltas(c.numbers[hs]), np.diff(np.append(start, len(h))).astype(np.uint32), (c.counts[hs] > hot).astype(np.uint8), step, c.counts[w].astype(np.uint64), count[own])
 
 
 def _count_pairs(rows: pa.Table, unigrams: Unigrams) -> pa.Table:
     """Of one partition of pairs: to each chunk its pairs' counts and its histories' sums, in order."""
+    trim()
     part, out = rows["part"][0].as_py(), []
     own = [(c, unpack(b)) for c, b in zip(rows["chunk"].to_pylist(), rows["blob"].to_pylist(), strict=True)]
     hs = [undeltas(a[0]) for _, a in own]
     h_all, h_at = np.unique(np.concatenate(hs), return_inverse=True)
-    w = [(a[3].astype(np.uint64) << np.uint64(32)) | a[4] for _, a in own]
+    w = [_numbers(a[3], a[1]) for _, a in own]
     w_all, w_at = np.unique(np.concatenate(w), return_inverse=True)
     code = np.repeat(h_at, np.concatenate([a[1] for _, a in own])) * len(w_all) + w_at
     del w, w_at
     pairs, at = np.unique(code, return_inverse=True)
-    count = np.bincount(at, np.concatenate([a[6] for _, a in own]), len(pairs)).astype(np.int64)
+    count = np.bincount(at, np.concatenate([a[5] for _, a in own]), len(pairs)).astype(np.int64)
     c_w = np.zeros(len(pairs), np.uint64)
-    c_w[at] = np.concatenate([a[5] for _, a in own])
+    c_w[at] = np.concatenate([a[4] for _, a in own])
     h = pairs // len(w_all)
     seen = count > 0
     sums = np.zeros((len(h_all), LARGEST + 2))  # c(h), types seen 1..5 times, unigram mass of seen words
@@ -206,7 +218,7 @@ def _count_pairs(rows: pa.Table, unigrams: Unigrams) -> pa.Table:
     sums[:, -1] = np.bincount(h[seen], unigrams.p(c_w[seen].astype(np.int64)), len(h_all))
     first = first_h = 0
     for chunk, a in own:
-        n, nh = len(a[6]), len(a[0])
+        n, nh = len(a[5]), len(a[0])
         mine = sums[h_at[first_h : first_h + nh]]
         out.append((_PAIRS + part, chunk, pack(count[at[first : first + n]].astype(np.uint32), *(mine[:, i].astype(np.uint32 if i else np.uint64) for i in range(LARGEST + 1)), mine[:, -1])))
         first, first_h = first + n, first_h + nh
@@ -218,21 +230,21 @@ def _count_pairs(rows: pa.Table, unigrams: Unigrams) -> pa.Table:
     return _wire(out)
 
 
-def log_probabilities(count, c_h, types, mass, c_w, pairs: Discounts, unigrams: Unigrams) -> np.ndarray:
-    """log10 P(w | h) of tokens: the pair's count, its history's count, types seen 1..5 times and unigram mass."""
+def log_probabilities(count, h, c_h, types, mass, c_w, pairs: Discounts, unigrams: Unigrams) -> np.ndarray:
+    """log10 P(w | h) of pairs: their counts, their histories (numbers), of these the counts, types seen 1..5 times
+    and unigram mass of words seen after them; and the words' counts."""
     left = pairs.left(types)
     whole = c_h + (left <= 0)
-    p_w = unigrams.p(c_w)
     with np.errstate(divide="ignore", invalid="ignore"):
         alpha = np.where(c_h > 0, np.where(left > 0, left, 1.0) / whole / np.maximum(1 - mass, 1e-300), 1.0)
-        p = np.where(count > 0, pairs.kept(count) / whole, alpha * p_w)
-    return np.log10(p)
+        return np.log10(np.where(count > 0, pairs.kept(count) / whole[h], alpha[h] * unigrams.p(c_w)))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def _evaluate(rows: list[tuple[int, bytes]], hot: float, parts: int, hot_sums: dict[int, np.ndarray], pairs: Discounts, unigrams: Unigrams) -> pa.Table:
+    trim()
     c = _Chunk(rows)
     codes, split = c.pairs(hot, parts)
     count = np.zeros(len(codes), np.int64)
@@ -246,9 +258,12 @@ def _evaluate(rows: list[tuple[int, bytes]], hot: float, parts: int, hot_sums: d
             sums[h[np.flatnonzero(np.append(True, h[1:] != h[:-1]))]] = np.stack([x.astype(np.float64) for x in a[1:]], 1)
     for i in np.flatnonzero(c.counts > hot):  # a hot history's sums are those of all partitions
         sums[i] = hot_sums.get(int(c.numbers[i]), sums[i])
-    at = np.searchsorted(codes, c.code)
-    h, c_w = codes[at] // len(c.numbers), c.counts[c.at]
-    logs = log_probabilities(count[at], sums[h, 0], sums[h, 1:-1], sums[h, -1], c_w, pairs, unigrams)
+    del answers, split
+    h, w = codes // len(c.numbers), codes % len(c.numbers)
+    logs = log_probabilities(count, h, sums[:, 0], sums[:, 1:-1], sums[:, -1], c.counts[w], pairs, unigrams)
+    del h, w, count, sums
+    logs, c_w = logs[np.searchsorted(codes, c.code)], c.counts[c.at]
+    del codes
     base = np.log10((c_w + 1) / (unigrams.total + unigrams.types + 1))
     start = np.cumsum(c.sizes, dtype=np.int64) - c.sizes
     per = lambda x: np.add.reduceat(x, start)
@@ -264,6 +279,7 @@ def score(docs: DataFrame, train, parts: int | None = None, chunk_bytes: int = C
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def chunks(batches):
+        trim()
         task, number = TaskContext.get().partitionId(), 0
         own, size = ([], [], []), 0
         for batch in batches:
