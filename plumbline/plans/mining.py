@@ -16,7 +16,7 @@ _SIMPLE = re.compile(r"([\w.\"`]+)\s*(=|!=|<>|>=|<=|>|<)\s*('(?:[^']|'')*'|-?\d+
 
 
 def _name(x: str) -> str:
-    return x.rpartition(".")[2].strip('"`')
+    return x.strip().rpartition(".")[2].strip('"`')
 
 
 def _literal(x: str):
