@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from plumbline.llm.common import deltas, pack, trim, undeltas, unpack, written
+from plumbline.llm.common import deltas, pack, release, trim, undeltas, unpack, written
 from plumbline.llm.jaccard import _sliced
 
 CHUNK_BYTES, LARGEST = 16 << 20, 5
@@ -305,6 +305,7 @@ def score(docs: DataFrame, train, parts: int | None = None, chunk_bytes: int = C
     store = written(own.mapInArrow(chunks, "chunk long, payload binary, words binary"), "katz-chunks")
     words = store.select("chunk", "words").mapInArrow(send_words, _WIRE_SQL).groupBy("part").applyInArrow(_count_words, _WIRE_SQL)
     words = written(words, "katz-unigrams")
+    release(spark)  # the plan that was written is gone, and with it what it shuffled
     stats = [unpack(r["blob"])[0] for r in words.where(F.col("chunk") == _STATS).select("blob").collect()]
     sums = np.sum(stats, axis=0) if stats else np.zeros(LARGEST + 4, np.int64)
     unigrams = Unigrams.of(sums[0], sums[1], sums[2:])
@@ -314,6 +315,8 @@ def score(docs: DataFrame, train, parts: int | None = None, chunk_bytes: int = C
     rows_of = lambda t: list(zip(t["part"].to_pylist(), t["blob"].to_pylist(), strict=True))
     asked = payload.unionByName(answers).groupBy("chunk").applyInArrow(lambda t: _wire(list(_ask(rows_of(t), t["chunk"][0].as_py(), hot, parts))), _WIRE_SQL)
     pairs = written(asked.groupBy("part").applyInArrow(lambda t: _count_pairs(t, unigrams), _WIRE_SQL), "katz-bigrams")
+    del asked
+    release(spark)
     stats = [unpack(r["blob"])[0] for r in pairs.where(F.col("chunk") == _STATS).select("blob").collect()]
     discounts = Discounts.of(np.sum(stats, axis=0) if stats else np.zeros(LARGEST + 2, np.int64))
     hot_sums: dict[int, np.ndarray] = {}
