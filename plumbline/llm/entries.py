@@ -107,16 +107,13 @@ h AS (
   FROM parsed LEFT JOIN bad USING (page_id) GROUP BY host),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
-r AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS p FROM s),
-s0 AS (SELECT s.*, r.p FROM s, r),
-ms AS (SELECT CASE WHEN coalesce(sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) / sum(n), 0) <= 0 THEN 1000.0 ELSE sum(n * p * (1 - p)) / sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) - 1 END AS m FROM s0 WHERE n > 0),
-s1 AS (SELECT suffix, (bad + least(1000, greatest(2, coalesce(m, 1000))) * p) / (n + least(1000, greatest(2, coalesce(m, 1000)))) AS p FROM s0, ms),
-d0 AS (SELECT d.*, s1.p FROM d JOIN s1 USING (suffix)),
-md AS (SELECT CASE WHEN coalesce(sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) / sum(n), 0) <= 0 THEN 1000.0 ELSE sum(n * p * (1 - p)) / sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) - 1 END AS m FROM d0 WHERE n > 0),
-d1 AS (SELECT domain, suffix, (bad + least(1000, greatest(2, coalesce(m, 1000))) * p) / (n + least(1000, greatest(2, coalesce(m, 1000)))) AS p FROM d0, md),
-h0 AS (SELECT h.*, d1.p FROM h JOIN d1 USING (domain, suffix)),
-mh AS (SELECT CASE WHEN coalesce(sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) / sum(n), 0) <= 0 THEN 1000.0 ELSE sum(n * p * (1 - p)) / sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) - 1 END AS m FROM h0 WHERE n > 0),
-h1 AS (SELECT host, n + least(1000, greatest(2, coalesce(m, 1000))) AS t, (bad + least(1000, greatest(2, coalesce(m, 1000))) * p) / (n + least(1000, greatest(2, coalesce(m, 1000)))) AS mean FROM h0, mh)
-SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (t + 1)) > 0.35 THEN 'block' ELSE 'allow' END) AS verdict
+r AS (SELECT (coalesce(sum(bad), 0) + 0.2) / (coalesce(sum(n), 0) + 2.0) AS p, coalesce(sum(n), 0) + 2.0 AS t FROM s),
+s0 AS (SELECT s.*, r.p, r.t FROM s, r), ms AS (SELECT least(1000, greatest(2, coalesce(CASE WHEN coalesce(sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) / sum(n), 0) <= 0 THEN 1000.0 ELSE sum(n * p * (1 - p)) / sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) - 1 END, 1000))) AS m FROM s0 WHERE n > 0),
+s1 AS (SELECT suffix, (bad + least(m, t) * p) / (n + least(m, t)) AS p, n + least(m, t) AS t FROM s0, ms),
+d0 AS (SELECT d.*, s1.p, s1.t FROM d JOIN s1 USING (suffix)), md AS (SELECT least(1000, greatest(2, coalesce(CASE WHEN coalesce(sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) / sum(n), 0) <= 0 THEN 1000.0 ELSE sum(n * p * (1 - p)) / sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) - 1 END, 1000))) AS m FROM d0 WHERE n > 0),
+d1 AS (SELECT domain, suffix, (bad + least(m, t) * p) / (n + least(m, t)) AS p, n + least(m, t) AS t FROM d0, md),
+h0 AS (SELECT h.*, d1.p, d1.t FROM h JOIN d1 USING (domain, suffix)), mh AS (SELECT least(1000, greatest(2, coalesce(CASE WHEN coalesce(sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) / sum(n), 0) <= 0 THEN 1000.0 ELSE sum(n * p * (1 - p)) / sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) - 1 END, 1000))) AS m FROM h0 WHERE n > 0),
+h1 AS (SELECT host, (bad + least(m, t) * p) / (n + least(m, t)) AS p, n + least(m, t) AS t FROM h0, mh)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN p - 1.645 * sqrt(p * (1 - p) / (t + 1)) > 0.35 THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed LEFT JOIN ruled USING (page_id) LEFT JOIN h1 USING (host)
 """

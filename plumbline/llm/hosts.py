@@ -27,12 +27,15 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 @dataclass(frozen=True)
 class Bounds:
-    """Blocked above max_bad at z standard deviations; strengths of priors stay in [least, most] pages."""
+    """Blocked above max_bad at z standard deviations; strengths of priors stay in [least, most] pages, and never
+    exceed what the parent's own posterior rests on. The root's prior: ``base_pages`` pages at ``base_rate``."""
 
     max_bad: float = 0.35
     z: float = 1.645
     least: float = 2.0
     most: float = 1000.0
+    base_rate: float = 0.1
+    base_pages: float = 2.0
 
 
 def _lower(c: Column) -> Column:
@@ -91,18 +94,20 @@ def reputation(pages: DataFrame, labels: DataFrame, b: Bounds = Bounds()) -> Dat
     hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    root = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("root"))
-    shrunk = lambda m, p: (F.col("bad") + F.col(m) * F.col(p)) / (F.col("n") + F.col(m))
+    n, bad = F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("bad"), F.lit(0.0))
+    root = suffixes.agg(((bad + b.base_rate * b.base_pages) / (n + b.base_pages)).alias("p"), (n + b.base_pages).alias("t"))
     one = lambda df, row: df.join(F.broadcast(row))  # one row of sums
-    suffixes = one(suffixes, root)
-    suffixes = one(suffixes, _strength(suffixes, "root", b)).select("suffix", shrunk("m", "root").alias("p_suffix"))
-    domains = domains.join(suffixes, "suffix")
-    domains = one(domains, _strength(domains, "p_suffix", b)).select("domain", "suffix", shrunk("m", "p_suffix").alias("p_domain"))
-    hosts = hosts.join(domains, ["domain", "suffix"])
-    hosts = one(hosts, _strength(hosts, "p_domain", b))
-    total = F.col("n") + F.col("m")
-    hosts = hosts.select("host", "n", "bad", total.alias("_t"), shrunk("m", "p_domain").alias("mean"))
-    bound = F.col("mean") - b.z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("_t") + 1))
+
+    def shrunk(level: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, p and t: posterior mean and pages behind it, from this level's n and bad and the parent's p and t."""
+        strength = F.least(F.col("m"), F.col("t"))
+        return one(level, _strength(level, "p", b)).select(*keys, ((F.col("bad") + strength * F.col("p")) / (F.col("n") + strength)).alias("p"), (F.col("n") + strength).alias("t"))
+
+    suffixes = shrunk(one(suffixes, root), ["suffix"])
+    domains = shrunk(domains.join(suffixes, "suffix"), ["domain", "suffix"])
+    hosts = shrunk(hosts.join(domains, ["domain", "suffix"]), ["host", "n", "bad"])
+    hosts = hosts.select("host", "n", "bad", F.col("p").alias("mean"), "t")
+    bound = F.col("mean") - b.z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("t") + 1))
     return hosts.select("host", "n", "bad", "mean", bound.alias("bound"), (bound > b.max_bad).alias("blocked"))
 
 
