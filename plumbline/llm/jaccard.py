@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from plumbline.llm.common import deltas, pack, trim, undeltas, unpack, written
+from plumbline.llm.common import deltas, pack, release, trim, undeltas, unpack, written
 from plumbline.llm.graph import components
 
 CHUNK_BYTES, CELL_TOKENS = 16 << 20, 4_000_000
@@ -366,6 +366,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | N
     repeated = ngrams.groupBy("part").applyInArrow(lambda t: table_of(_repeated(t["blob"].to_pylist(), parts), wire), packed)
     state = repeated.groupBy("part").applyInArrow(lambda t: table_of(_candidates(t["blob"].to_pylist(), num, den), _STATE), "doc_id long, key long, n long, tokens binary, dfs binary")
     state = written(state, "jaccard-state")
+    del ngrams, repeated
+    release(spark)  # the plans that were written are gone, and with them what they shuffled
     rows, sets = state.where("tokens is null").select("doc_id", "key", "n"), state.where("tokens is not null").select("key", "n", "tokens")
 
     def prefixes(batches):
