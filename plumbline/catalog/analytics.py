@@ -169,10 +169,10 @@ def _(t):
     return t("customer").join(last, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", timelines.recency(F.col("last"), F.lit("1998-08-02").cast("date")).alias("state"))
 
 
-@query("W8_running_balance", """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_totalprice FROM orders WHERE o_orderkey % 50 = 1), days AS (SELECT o_orderkey, d, o_totalprice, i, CAST(d + CAST(i AS INTEGER) AS VARCHAR) AS day FROM o, range(5) r(i))
+@query("W8_running_balance", """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_totalprice FROM orders), days AS (SELECT o_orderkey, d, o_totalprice, i, CAST(d + CAST(i AS INTEGER) AS VARCHAR) AS day FROM o, range(5) r(i))
   SELECT o_orderkey, day, round(o_totalprice - sum(CASE WHEN i > 0 THEN o_totalprice / 4 ELSE 0 END) OVER (PARTITION BY o_orderkey ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS balance FROM days""")
 def _(t):
-    o = t("orders").where("o_orderkey % 50 = 1").select("o_orderkey", F.to_date("o_orderdate").alias("d"), "o_totalprice")
+    o = t("orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), "o_totalprice")
     days = o.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
     paid = F.sum(F.when(F.col("i") > 0, F.col("o_totalprice") / 4).otherwise(0.0)).over(Window.partitionBy("o_orderkey").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     return days.select("o_orderkey", F.date_add("d", F.col("i")).cast("string").alias("day"), F.round(F.col("o_totalprice") - paid, 0).alias("balance"))
@@ -195,11 +195,11 @@ def _(t):
     return n.groupBy("p_brand").agg(F.max("n").alias("n_mode"), F.round(F.max("n") / F.sum("n"), 4).alias("share"))
 
 
-@query("W14_fifo", """WITH s AS (SELECT l_partkey AS k, l_orderkey * 8 + l_linenumber AS no, l_quantity AS q FROM lineitem WHERE l_linestatus = 'F' AND l_partkey <= 40), d AS (SELECT l_partkey AS k, l_orderkey * 8 + l_linenumber AS no, l_quantity AS q FROM lineitem WHERE l_linestatus = 'O' AND l_partkey <= 40),
+@query("W14_fifo", """WITH s AS (SELECT l_partkey AS k, l_orderkey * 8 + l_linenumber AS no, l_quantity AS q FROM lineitem WHERE l_linestatus = 'F'), d AS (SELECT l_partkey AS k, l_orderkey * 8 + l_linenumber AS no, l_quantity AS q FROM lineitem WHERE l_linestatus = 'O'),
   si AS (SELECT k, no, sum(q) OVER (PARTITION BY k ORDER BY no ROWS UNBOUNDED PRECEDING) AS hi, q FROM (SELECT k, no, sum(q) AS q FROM s GROUP BY ALL)), di AS (SELECT k, no, sum(q) OVER (PARTITION BY k ORDER BY no ROWS UNBOUNDED PRECEDING) AS hi, q FROM (SELECT k, no, sum(q) AS q FROM d GROUP BY ALL))
   SELECT si.k AS l_partkey, si.no AS supply_no, di.no AS demand_no, least(si.hi, di.hi) - greatest(si.hi - si.q, di.hi - di.q) AS allocated FROM si JOIN di ON si.k = di.k AND si.hi - si.q < di.hi AND di.hi - di.q < si.hi""")
 def _(t):
-    li = t("lineitem").where("l_partkey <= 40").select("l_partkey", "l_linestatus", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("no"), "l_quantity")
+    li = t("lineitem").select("l_partkey", "l_linestatus", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("no"), "l_quantity")
     side = lambda s: li.where(F.col("l_linestatus") == s).groupBy("l_partkey", "no").agg(F.sum("l_quantity").alias("q"))
     return timelines.fifo(side("F"), side("O"), "l_partkey", "no", "q")
 
@@ -219,9 +219,9 @@ def _(t):
     return j.groupBy(F.to_date("o_orderdate").cast("string").alias("day"), "c_nationkey").agg(F.count_distinct("o_orderkey").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("amount"))
 
 
-@query("D2_targets_per_day", "SELECT m, i, CASE WHEN i < n THEN floor(total / n * 100) / 100 ELSE round(total - floor(total / n * 100) / 100 * (n - 1), 2) END AS target FROM (SELECT m, round(sum(v), 2) AS total, 30 AS n FROM (SELECT strftime(o_orderdate, '%Y-%m') AS m, o_totalprice AS v FROM orders WHERE o_orderkey <= 400) GROUP BY m), range(1, 31) r(i)")
+@query("D2_targets_per_day", "SELECT m, i, CASE WHEN i < n THEN floor(total / n * 100) / 100 ELSE round(total - floor(total / n * 100) / 100 * (n - 1), 2) END AS target FROM (SELECT m, round(sum(v), 2) AS total, 30 AS n FROM (SELECT strftime(o_orderdate, '%Y-%m') AS m, o_totalprice AS v FROM orders) GROUP BY m), range(1, 31) r(i)")
 def _(t):
-    by = t("orders").where("o_orderkey <= 400").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    by = t("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
     return by.select("m", "total", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("i")).select("m", F.col("i").cast("long").alias("i"), timelines.split_evenly(F.col("total"), F.lit(30), F.col("i")).cast("double").alias("target"))
 
 
@@ -256,9 +256,9 @@ def _(t):
     return t("lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.round(F.sum("l_quantity"), 2).alias("made"), F.round(good / F.sum("l_quantity"), 6).alias("yield"))
 
 
-@query("D8_downtime_by_day", "WITH e AS (SELECT event_id, date_trunc('second', ts) AS a, date_trunc('second', ts) + INTERVAL 10 HOUR AS b FROM events WHERE event_type = 'error' OR event_id % 20 = 0), d AS (SELECT e.*, CAST(a AS DATE) + CAST(i AS INTEGER) AS day FROM e, range(2) r(i)) SELECT CAST(day AS VARCHAR) AS day, CAST(sum(greatest(0, date_diff('second', greatest(a, CAST(day AS TIMESTAMP)), least(b, CAST(day AS TIMESTAMP) + INTERVAL 1 DAY)))) AS BIGINT) AS seconds FROM d WHERE day <= CAST(b AS DATE) GROUP BY 1")
+@query("D8_downtime_by_day", "WITH e AS (SELECT event_id, date_trunc('second', ts) AS a, date_trunc('second', ts) + INTERVAL 10 HOUR AS b FROM events), d AS (SELECT e.*, CAST(a AS DATE) + CAST(i AS INTEGER) AS day FROM e, range(2) r(i)) SELECT CAST(day AS VARCHAR) AS day, CAST(sum(greatest(0, date_diff('second', greatest(a, CAST(day AS TIMESTAMP)), least(b, CAST(day AS TIMESTAMP) + INTERVAL 1 DAY)))) AS BIGINT) AS seconds FROM d WHERE day <= CAST(b AS DATE) GROUP BY 1")
 def _(t):
-    e = t("events").where("event_type = 'error' or event_id % 20 = 0").select(F.date_trunc("second", "ts").cast("timestamp_ntz").alias("a"))
+    e = t("events").select(F.date_trunc("second", "ts").cast("timestamp_ntz").alias("a"))
     e = e.withColumn("b", F.col("a") + F.expr("INTERVAL 10 HOUR"))
     return timelines.per_day(e, "a", "b").groupBy(F.col("day").cast("string").alias("day")).agg(F.sum(timelines.overlap_seconds(F.col("a"), F.col("b"), F.col("day"))).alias("seconds"))
 

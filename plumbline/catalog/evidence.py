@@ -32,10 +32,10 @@ def _(t):
     return t("events").agg(F.count_distinct("event_type").alias("kinds"), F.count_distinct(F.struct("event_type", "user_id")).alias("pairs")).select("kinds", "pairs", F.col("kinds").between(2, 12).alias("usable"))
 
 
-@query("A17_version_duplicates", "SELECT count(*) AS n_rows, count(DISTINCT k) AS n_keys, count(DISTINCT k) < count(*) AND count(DISTINCT k) >= 0.95 * count(*) AS versioned FROM (SELECT o_orderkey AS k FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 50 = 0)")
+@query("A17_version_duplicates", "SELECT count(*) AS n_rows, count(DISTINCT k) AS n_keys, count(DISTINCT k) < count(*) AND count(DISTINCT k) >= 0.95 * count(*) AS versioned FROM (SELECT o_orderkey AS k FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_totalprice > 480000)")
 def _(t):
-    o = t("orders").select(F.col("o_orderkey").alias("k"))
-    return keys.version_duplicates(o.unionByName(o.where("k % 50 = 0")), "k")
+    o = t("orders").select(F.col("o_orderkey").alias("k"), "o_totalprice")
+    return keys.version_duplicates(o.unionByName(o.where("o_totalprice > 480000")), "k")
 
 
 @query("A18_name_stability", "SELECT round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) AS stable_share, count(*) AS n_keys FROM (SELECT p_name, count(DISTINCT p_brand) AS n FROM part GROUP BY p_name HAVING count(*) > 1)")

@@ -272,9 +272,9 @@ def _(t):
     return keys.functional_dependency(t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")), "c_mktsegment", "o_orderpriority")
 
 
-@query("J16_trace", "SELECT DISTINCT s_suppkey, n_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey WHERE c_custkey <= 3")
+@query("J16_trace", "SELECT DISTINCT s_suppkey, n_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey WHERE c_acctbal < 0")
 def _(t):
-    orders = t("orders").join(t("customer").where("c_custkey <= 3").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    orders = t("orders").join(t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
     items = t("lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     found = t("supplier").join(items.select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_semi")
     return found.join(F.broadcast(t("nation")), F.col("n_nationkey") == F.col("s_nationkey"), "left").select("s_suppkey", "n_name").distinct()

@@ -94,12 +94,11 @@ def batched_signals(tables: dict[str, DataFrame], candidates: Sequence[tuple[str
             c = columns_of(tables[t], k)[0]
             if c not in need.setdefault(t, []):
                 need[t].append(c)
-    parts, sizes = [], []
+    parts = []
     for t, cols in need.items():
         df = tables[t]
         cells = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.when(F.col(c).cast("string") != "", canonical(df, c)).alias("v")) for c in cols)))
         parts.append(df.select(F.lit(t).alias("t"), cells.alias("x")).select("t", "x.c", "x.v").groupBy("t", "c", "v").agg(F.count(F.lit(1)).alias("n")))
-        sizes.append(F.lit(t))
     values = reduce(DataFrame.unionByName, parts)
     totals = values.groupBy("t", "c").agg(F.sum("n").alias("rows"), F.count("v").alias("distinct"))
     values = values.where("v is not null").select("t", "c", "v")
