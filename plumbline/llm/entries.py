@@ -72,7 +72,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_maxscore": OP2_SQL, "op7_host_reputation": OP7_SQL}
+    return {"op2_maxscore": OP2_SQL, "op7_host_reputation": OP7_SQL, "op10_prefix_tree": OP10_SQL}
 
 
 OP2_SQL = """
@@ -117,3 +117,17 @@ h1 AS (SELECT host, (bad + least(m, t) * p) / (n + least(m, t)) AS p, n + least(
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN p - 1.645 * sqrt(p * (1 - p) / (t + 1)) > 0.35 THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed LEFT JOIN ruled USING (page_id) LEFT JOIN h1 USING (host)
 """
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.d),
+c AS (SELECT d, min(m) AS component_id FROM r GROUP BY d)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents JOIN c ON c.d = documents.doc_id LEFT JOIN n USING (doc_id)
+"""

@@ -147,9 +147,9 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken, by shard and place.
 
     Documents meet their copies by doc_id; rows that share an id share its copies in turn."""
-    found = mix(docs, **parameters).where("copy is not null").select(F.col("doc_id").alias("_d"), F.col("shard").alias("_shard"), F.col("place").alias("_place"))
-    found = found.withColumn("_turn", F.row_number().over(Window.partitionBy("_d").orderBy("_shard", "_place")) - 1)
+    found = mix(docs, **parameters).where("copy is not null").select(F.col("doc_id").alias("__mix_id"), F.col("shard").alias("__mix_shard"), F.col("place").alias("__mix_place"))
+    found = found.withColumn("__mix_turn", F.row_number().over(Window.partitionBy("__mix_id").orderBy("__mix_shard", "__mix_place")) - 1)
     own = Window.partitionBy("doc_id")
-    rows = docs.withColumns({"_row": F.row_number().over(own.orderBy("text")) - 1, "_rows": F.count(F.lit(1)).over(own)})
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_turn") % F.col("_rows") == F.col("_row")))
-    return joined.repartition("_shard").sortWithinPartitions("_shard", "_place").select(*(joined[c] for c in docs.columns))
+    rows = docs.withColumns({"__mix_row": F.row_number().over(own.orderBy("text")) - 1, "__mix_rows": F.count(F.lit(1)).over(own)})
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_turn") % F.col("__mix_rows") == F.col("__mix_row")))
+    return joined.repartition("__mix_shard").sortWithinPartitions("__mix_shard", "__mix_place").select(*(joined[c] for c in docs.columns))
