@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE_CHARS = 32_768
-_BATCH_CHARS = 2_000_000
+from plumbline.llm.common import trim
+
+PIECE_CHARS = 65_536
+_BATCH_CHARS, _BATCH_ROWS = 1_000_000, 400
 _DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -78,8 +80,11 @@ def digests(ids: list[list[int]], path: str) -> tuple[list[int], list[str], list
 # -- words that repeat --------------------------------------------------------------------------------------
 
 _STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Stretches that a line feed between them keeps apart: one space, then no white space and no special token. Before the
+#: space the line feed is a pre-token of its own, and no token of a stretch has a line feed in it.
+_PLAIN = re.compile(r" [^\s<]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_MEMO = 400_000
+_MEMO = 300_000
 
 
 class Memo:
@@ -90,24 +95,50 @@ class Memo:
     """
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.path = path
+        self.known: dict[str, str] = {}  # decimal ids
+        self.odd: dict[str, str] = {}  # decoded text, of stretches where it differs
+        self.warm: set[str] = set()  # stretches that came again
 
     def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         parts = [[x] if _OTHER_SPACE.search(x) else _STRETCH.findall(x) for x in texts]
         used = set().union(*parts)
-        new = list(used - self.known.keys())
-        if len(self.known) + len(new) > _MEMO:  # only what this call has is surely worth keeping
-            self.known = {x: self.known[x] for x in used if x in self.known}
-        known = self.known
-        ids, names = encode_texts(new, self.path), _library(self.path)[2].__getitem__
-        for x, own, text in zip(new, ids, decode_ids(ids, self.path), strict=True):
-            known[x] = (len(own), ",".join(map(names, own)), x if x == text else text)
+        again = used & self.known.keys()
+        new = used - again
+        self.warm |= again
+        if len(self.known) + len(new) > _MEMO:
+            keep = self.warm if len(self.warm) <= _MEMO // 2 else again
+            self.known = {x: self.known[x] for x in keep}
+            self.odd = {x: y for x, y in self.odd.items() if x in self.known}
+            self.warm = set()
+        known, names = self.known, _library(self.path)[2].__getitem__
+        plain = [x for x in new if _PLAIN.fullmatch(x)]
+        other = list(new.difference(plain))
+        ids = encode_texts(other, self.path)
+        for x, own, text in zip(other, ids, decode_ids(ids, self.path), strict=True):
+            known[x] = ",".join(map(names, own))
+            if x != text:
+                self.odd[x] = text
+        feed = encode_texts(["\n"], self.path)[0] if plain else []
+        if len(feed) != 1:  # a vocabulary without a token for the line feed
+            feed, groups = [], [[x] for x in plain]
+        else:
+            groups = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
+        mark = f",{feed[0]}," if feed else None
+        ids = encode_texts(["\n".join(g) for g in groups], self.path)
+        for g, own, text in zip(groups, ids, decode_ids(ids, self.path), strict=True):
+            named = ",".join(map(names, own))
+            for x, y, z in zip(g, named.split(mark) if mark else [named], text.split("\n"), strict=True):
+                known[x] = y
+                if x != z:
+                    self.odd[x] = z
         counts, ids_sha, decoded_sha = [], [], []
-        for own in parts:
-            n, named, decoded = zip(*map(known.__getitem__, own), strict=True) if own else ((), (), ())
-            counts.append(sum(n))
-            ids_sha.append(hashlib.sha256(",".join(filter(None, named)).encode()).hexdigest())
-            decoded_sha.append(hashlib.sha256("".join(decoded).encode()).hexdigest())
+        for text, own in zip(texts, parts, strict=True):
+            named = ",".join(map(known.__getitem__, own))
+            decoded = "".join(self.odd.get(x, x) for x in own) if self.odd else text
+            counts.append(named.count(",") + 1 if own else 0)
+            ids_sha.append(hashlib.sha256(named.encode()).hexdigest())
+            decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
         return counts, ids_sha, decoded_sha
 
 
@@ -260,17 +291,20 @@ def encode(docs: DataFrame, path: str, piece_chars: int = PIECE_CHARS) -> DataFr
     long = docs.where(F.length("text") > piece_chars).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
 
     def encode_short(batches):
+        trim()
         memo = Memo(path)
         for batch in batches:
-            texts, found = batch.column(1).to_pylist(), ([], [], [])
-            at = size = 0
-            for i, x in enumerate([*texts, None]):
-                if x is None or size > _BATCH_CHARS:
-                    for all_, part in zip(found, memo.digests(texts[at:i]), strict=True):
-                        all_.extend(part)
-                    at, size = i, 0
-                size += len(x or "")
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)] if texts else [batch.column(0), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for first in range(0, batch.num_rows, _BATCH_ROWS):
+                part = batch.slice(first, _BATCH_ROWS)
+                texts, found = part.column(1).to_pylist(), ([], [], [])
+                at = size = 0
+                for i, x in enumerate([*texts, None]):
+                    if x is None or size > _BATCH_CHARS:
+                        for all_, own in zip(found, memo.digests(texts[at:i]), strict=True):
+                            all_.extend(own)
+                        at, size = i, 0
+                    size += len(x or "")
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     def cut(batches):
         for batch in batches:
