@@ -4,7 +4,7 @@ Targets: sources share the total of all sizes by weight, none beyond ``limit`` t
 over goes to the others by weight until none is above (solved in closed form over the sources in order of
 limit per weight). A source's documents fall into blocks by hash. It is taken whole floor(target / size)
 times, then once more in part: blocks in a permuted order while they fit, and of the block that does not fit
-the documents, in a permuted order, that do.
+the documents that do: in a permuted order, then bettered by single exchanges.
 
 Output: the block copies of all sources are counted, and a binary tree over the output shards divides the
 counts: at each node the left half's share of every source is drawn from the multivariate hypergeometric
@@ -45,6 +45,32 @@ def targets(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     return found.select("source", "source_size", F.least("most", F.col("w") * F.col("level")).alias("target"))
 
 
+def fitting(sizes: np.ndarray, room: float, rounds: int = 50) -> np.ndarray:
+    """Which of a block's documents to take: in turn, those that fit; then single additions and exchanges of one
+    taken for one left out, as long as they bring the sum nearer to the room."""
+    taken = np.zeros(len(sizes), bool)
+    for i, size in enumerate(sizes):
+        if size <= room:
+            taken[i], room = True, room - size
+    for _ in range(rounds):
+        inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken)
+        if not len(outside):
+            break
+        outside = outside[np.argsort(sizes[outside], kind="stable")]
+        want = np.append(0.0, sizes[inside]) + room  # the size to add if nothing, or each taken one, is given back
+        near = np.searchsorted(sizes[outside], want)
+        near = np.stack([np.clip(near - 1, 0, len(outside) - 1), np.clip(near, 0, len(outside) - 1)])
+        miss = np.abs(want - sizes[outside][near])
+        side, best = np.unravel_index(miss.argmin(), miss.shape)
+        if miss[side, best] >= abs(room):
+            break
+        new = outside[near[side, best]]
+        taken[new], room = True, room - sizes[new]
+        if best:
+            taken[inside[best - 1]], room = False, room + sizes[inside[best - 1]]
+    return taken
+
+
 def copies(rows: DataFrame, limit: int = LIMIT, block_words: int = BLOCK_WORDS, seed: int = SEED, name: str = "mix") -> tuple[DataFrame, DataFrame]:
     """doc_id, source, size, source_size, target, block and copies of each row; and the blocks' table.
 
@@ -69,13 +95,7 @@ def copies(rows: DataFrame, limit: int = LIMIT, block_words: int = BLOCK_WORDS,
 
     def fits(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["turn", "doc_id"], kind="stable")
-        room, taken = part["room"].iloc[0], np.zeros(len(part), bool)
-        for i, size in enumerate(part["size"]):
-            if size <= room:
-                taken[i], room = True, room - size
-        left = part.loc[~taken, "size"]
-        if len(left) and left.min() < 2 * room:  # nearer with it than without
-            taken[np.flatnonzero(part.index == left.idxmin())[0]] = True
+        taken = fitting(part["size"].to_numpy(), float(part["room"].iloc[0]))
         return part.assign(copies=(part["full"] + taken).astype("int32"))[columns]
 
     columns = ["doc_id", "source", "size", "source_size", "target", "block", "copies"]
