@@ -85,8 +85,8 @@ def relation_signals(child: DataFrame, child_key, parent: DataFrame, parent_key)
 def batched_signals(tables: dict[str, DataFrame], candidates: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """Evidence of many single-column candidates (child, child_key, parent, parent_key) in one job.
 
-    Each table is scanned once: its key columns are turned into (table, column, value) rows and counted, and
-    the candidates, a small table of names, tell which values are compared. Nothing is scanned per candidate."""
+    Each key column is read and counted once, however many candidates name it; the candidates, a small table
+    of names, tell which values are compared."""
     spark = next(iter(tables.values())).sparkSession
     need: dict[str, list[str]] = {}
     for ct, ck, pt, pk in candidates:
@@ -96,21 +96,22 @@ def batched_signals(tables: dict[str, DataFrame], candidates: Sequence[tuple[str
                 need[t].append(c)
     parts = []
     for t, cols in need.items():
-        df = tables[t]
-        cells = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.when(F.col(c).cast("string") != "", canonical(df, c)).alias("v")) for c in cols)))
-        parts.append(df.select(F.lit(t).alias("t"), cells.alias("x")).select("t", "x.c", "x.v").groupBy("t", "c", "v").agg(F.count(F.lit(1)).alias("n")))
-    values = reduce(DataFrame.unionByName, parts)
-    totals = values.groupBy("t", "c").agg(F.sum("n").alias("rows"), F.count("v").alias("distinct"))
-    values = values.where("v is not null").select("t", "c", "v")
-    wanted = F.broadcast(spark.createDataFrame([(i, ct, columns_of(tables[ct], ck)[0], pt, columns_of(tables[pt], pk)[0]) for i, (ct, ck, pt, pk) in enumerate(candidates)], "i int, ct string, ck string, pt string, pk string"))
-    child = values.join(wanted, (F.col("t") == F.col("ct")) & (F.col("c") == F.col("ck"))).select("i", "v")
-    parent = values.join(wanted, (F.col("t") == F.col("pt")) & (F.col("c") == F.col("pk"))).select("i", "v")
-    matched = child.join(parent, ["i", "v"]).groupBy("i").agg(F.count(F.lit(1)).alias("matched_distinct"))
-    side = lambda p: totals.select(F.col("t").alias(f"{p[0]}t"), F.col("c").alias(f"{p[0]}k"), F.col("rows").alias(f"{p}_rows"), F.col("distinct").alias(f"{p}_distinct"))
-    out = wanted.join(side("child"), ["ct", "ck"]).join(side("parent"), ["pt", "pk"]).join(matched, "i", "left").fillna(0, ["matched_distinct"])
+        for c in cols:  # a column at a time, on its own type: Parquet reads no other, and rows are counted before they leave a task
+            counted = tables[t].groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(counted.select(F.lit(t).alias("t"), F.lit(c).alias("c"), F.when(F.col(c).cast("string") != "", canonical(tables[t], c)).alias("v"), "n"))
+    values = reduce(DataFrame.unionByName, parts).groupBy("t", "c", "v").agg(F.sum("n").alias("n"))
+    named = [(i, ct, columns_of(tables[ct], ck)[0], pt, columns_of(tables[pt], pk)[0]) for i, (ct, ck, pt, pk) in enumerate(candidates)]
+    roles = [r for i, ct, ck, pt, pk in named for r in ((i, ct, ck, "c"), (i, pt, pk, "p"))]
+    sides = values.join(F.broadcast(spark.createDataFrame(roles, "i int, t string, c string, role string")), ["t", "c"])
+    child, parent = F.col("role") == "c", F.col("role") == "p"
+    met = sides.groupBy("i", "v").agg(F.sum(F.when(child, F.col("n"))).alias("cn"), F.sum(F.when(parent, F.col("n"))).alias("pn"))  # a value, and its rows on either side
+    has = lambda x: F.col("v").isNotNull() & F.col(x).isNotNull()
+    found = met.groupBy("i").agg(
+        F.count_if(has("cn")).alias("child_distinct"), F.count_if(has("pn")).alias("parent_distinct"), F.count_if(has("cn") & has("pn")).alias("matched_distinct"), F.coalesce(F.sum("cn"), F.lit(0)).alias("child_rows"), F.coalesce(F.sum("pn"), F.lit(0)).alias("parent_rows")
+    )
+    out = spark.createDataFrame(named, "i int, child string, child_key string, parent string, parent_key string").join(found, "i", "left").fillna(0)
     return out.select(
-        F.col("ct").alias("child"), F.col("ck").alias("child_key"), F.col("pt").alias("parent"), F.col("pk").alias("parent_key"),
-        F.when(F.col("child_distinct") > 0, 100.0 * F.col("matched_distinct") / F.col("child_distinct")).otherwise(-1.0).alias("overlap"),
+        "child", "child_key", "parent", "parent_key", F.when(F.col("child_distinct") > 0, 100.0 * F.col("matched_distinct") / F.col("child_distinct")).otherwise(-1.0).alias("overlap"),
         "child_distinct", "parent_distinct", "matched_distinct", "child_rows", "parent_rows",
         (F.col("child_distinct") == F.col("child_rows")).alias("child_unique"), (F.col("parent_distinct") == F.col("parent_rows")).alias("parent_unique"),
     )

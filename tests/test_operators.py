@@ -30,6 +30,18 @@ def test_signals_of_odd_keys(spark):
         keys.relation_signals(child, "nope", parent, "k")
 
 
+def test_batched_signals_agree_with_single_ones(spark):
+    a = spark.createDataFrame([("1",), (" 2",), ("x",), (None,), ("",)], "k string")
+    b = spark.createDataFrame([(1, 5), (2, 5), (3, None)], "id long, z int")
+    none = b.limit(0)
+    pairs = [("a", "k", "b", "id"), ("b", "z", "a", "k"), ("none", "id", "b", "id"), ("none", "id", "none", "z")]
+    tables = {"a": a, "b": b, "none": none}
+    got = {(r.child, r.child_key, r.parent, r.parent_key): r.asDict() for r in keys.batched_signals(tables, pairs).collect()}
+    for ct, ck, pt, pk in pairs:
+        want = row(keys.relation_signals(tables[ct], ck, tables[pt], pk))
+        assert {k: got[ct, ck, pt, pk][k] for k in ("overlap", "child_distinct", "parent_distinct", "matched_distinct", "child_rows", "parent_rows", "child_unique", "parent_unique")} == {k: v for k, v in want.items() if not k.startswith("evidence")}
+
+
 def test_composite_keys_are_compared_jointly(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "p int, q string")
     b = spark.createDataFrame([(1, "y"), (2, "x")], "p int, q string")
