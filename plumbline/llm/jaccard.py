@@ -2,7 +2,8 @@
 
 1. Each text's set of n-gram hashes (64 bits) is built once, map-side; equal sets are one set from then on.
    Packed, sorted hashes are exchanged by ranges; a range tells which n-grams several sets have, and in how
-   many, and sends each set its repeated n-grams only. No set is alike to another unless it shares its
+   many, and sends each set its repeated n-grams only. An n-gram of many sets of a chunk is hot: its sets
+   hear of it directly and it counts as the most frequent, so that no task gathers its sets. No set is alike to another unless it shares its
    part of n-grams: the others leave here, most of any corpus.
 2. N-grams are ordered globally, rare ones first. A set's prefix is so long that two alike sets must share
    an n-gram of both prefixes (the size less the least overlap, plus one). Sets with common prefix n-grams
@@ -31,6 +32,8 @@ from plumbline.llm.common import deltas, pack, release, trim, undeltas, unpack,
 from plumbline.llm.graph import components
 
 CHUNK_BYTES, CELL_TOKENS = 16 << 20, 4_000_000
+#: An n-gram of more sets of one chunk is hot: its sets are told so at once, and do not meet.
+HOT_SETS, _HOT_DF = 16, 0xFFFFFFFF
 #: Odd multipliers, one for each place in an n-gram.
 _PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3) * (i * i + 7)) | 1 for i in range(32)], dtype=object) % (1 << 64)
 
@@ -61,15 +64,29 @@ def _sliced(values: np.ndarray, parts: int) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:], strict=True))
 
 
-def _row(part: int, *arrays: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(*arrays)], pa.binary())], names=["part", "blob"])
+#: Kinds of blobs: n-grams and their sets; rows; n-grams that are hot, by set; hot n-grams; repeated n-grams, by set.
+_NGRAMS, _ROWS, _HOT, _HOT_NAMES, _REPEATED = range(5)
+
+
+def _row(part: int, kind: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(np.array([kind], np.uint8), *arrays)], pa.binary())], names=["part", "blob"])
+
+
+def _by_kind(blobs: list[bytes]) -> dict[int, list[list[np.ndarray]]]:
+    out: dict[int, list[list[np.ndarray]]] = {}
+    for blob in blobs:
+        kind, *arrays = unpack(blob)
+        out.setdefault(int(kind[0]), []).append(arrays)
+    return out
 
 
 _NONE = np.empty(0, np.uint64)
 
 
-def _chunk(ids: list, texts: list, n: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Blobs by range: hashes, their sets' places in a list of keys, that list; or ids, keys and sizes of rows."""
+def _chunk(ids: list, texts: list, n: int, parts: int, hot_sets: int) -> Iterator[pa.RecordBatch]:
+    """Blobs by range: hashes, their sets' places in a list of keys, that list; or ids, keys and sizes of rows.
+
+    Hashes of more than ``hot_sets`` sets go to the sets' own ranges, and only their names to the hashes'."""
     sets: dict[int, int] = {}
     found, keys, sizes = [], np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint32)
     for i, text in enumerate(texts):
@@ -87,7 +104,7 @@ def _chunk(ids: list, texts: list, n: int, parts: int) -> Iterator[pa.RecordBatc
     for p, (a, b) in enumerate(_sliced(keys[order], parts)):
         if b > a:
             own = order[a:b]
-            yield _row(p, _NONE, _NONE, _NONE, numbers[own], known[own], keys[own], sizes[own])
+            yield _row(p, _ROWS, numbers[own], known[own], keys[own], sizes[own])
     if not found:
         return
     owner = np.repeat(np.arange(len(found), dtype=np.uint32), [len(s) for s in found])
@@ -96,34 +113,46 @@ def _chunk(ids: list, texts: list, n: int, parts: int) -> Iterator[pa.RecordBatc
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     names = np.fromiter(sets, np.uint64, len(sets))
+    start = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    length = np.diff(np.append(start, len(tokens)))
+    if (length > hot_sets).any():
+        hot = np.repeat(length > hot_sets, length)
+        t, k = tokens[hot], names[owner[hot]]
+        tokens, owner = tokens[~hot], owner[~hot]
+        order = np.lexsort((t, k))
+        t, k = t[order], k[order]
+        for q, (a, b) in enumerate(_sliced(k, parts)):
+            if b > a:
+                own, counts = np.unique(k[a:b], return_counts=True)
+                yield _row(q, _HOT, own, counts.astype(np.uint32), t[a:b])
+        t = np.unique(t)
+        for p, (a, b) in enumerate(_sliced(t, parts)):
+            if b > a:
+                yield _row(p, _HOT_NAMES, deltas(t[a:b]))
     for p, (a, b) in enumerate(_sliced(tokens, parts)):
         if b > a:
             used, place = np.unique(owner[a:b], return_inverse=True)
-            yield _row(p, deltas(tokens[a:b]), place.astype(np.uint16 if len(used) < 65536 else np.uint32), names[used], *[_NONE] * 4)
+            yield _row(p, _NGRAMS, deltas(tokens[a:b]), place.astype(np.uint16 if len(used) < 65536 else np.uint32), names[used])
 
 
-def _repeated(blobs: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
+def _repeated(part: int, blobs: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
     """Of one range of hashes: to each set's own range, (key, hash, number of sets with it) of hashes of several sets."""
     trim()
-    tokens, owners, rows = [], [], []
-    for blob in blobs:
-        t, place, names, *own = unpack(blob)
-        if len(t):
-            tokens.append(undeltas(t))
-            owners.append(names[place])
-        else:
-            rows.append(own)
-    for own in rows:  # rows' keys are of this very range
-        a = np.searchsorted(_cuts(parts), own[2][0], side="right")
-        yield _row(int(a), _NONE, _NONE, _NONE, *own)
-    if not tokens:
+    own = _by_kind(blobs)
+    for arrays in own.get(_ROWS, ()):  # rows and hot n-grams are in their sets' range already
+        yield _row(part, _ROWS, *arrays)
+    for names, counts, t in own.get(_HOT, ()):
+        yield _row(part, _REPEATED, names, counts, t, np.full(len(t), _HOT_DF, np.uint32))
+    if _NGRAMS not in own:
         return
-    t, k = np.concatenate(tokens), np.concatenate(owners)
-    del tokens, owners
+    hot = np.unique(np.concatenate([_NONE, *(undeltas(t) for (t,) in own.get(_HOT_NAMES, ()))]))
+    t = np.concatenate([undeltas(t) for t, _, _ in own[_NGRAMS]])
+    k = np.concatenate([names[place] for _, place, names in own[_NGRAMS]])
+    del own
     order = np.argsort(t, kind="stable")
     t, k = t[order], k[order]
     same = t[1:] == t[:-1]
-    some = np.append(same, False) | np.append(False, same)
+    some = np.append(same, False) | np.append(False, same) | np.isin(t, hot)
     t, k = t[some], k[some]
     order = np.lexsort((k, t))
     t, k = t[order], k[order]
@@ -131,14 +160,14 @@ def _repeated(blobs: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
     new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])  # a set may come from several chunks
     t, k = t[new], k[new]
     _, at, df = np.unique(t, return_inverse=True, return_counts=True)
-    df = df[at]
+    df = np.where(np.isin(t, hot), _HOT_DF, df[at])
     t, k, df = t[df > 1], k[df > 1], df[df > 1]
     order = np.lexsort((t, k))
     t, k, df = t[order], k[order], df[order]
     for q, (a, b) in enumerate(_sliced(k, parts)):
         if b > a:
             names, counts = np.unique(k[a:b], return_counts=True)
-            yield _row(q, names, counts.astype(np.uint32), t[a:b], df[a:b].astype(np.uint32), *[_NONE] * 3)
+            yield _row(q, _REPEATED, names, counts.astype(np.uint32), t[a:b], df[a:b].astype(np.uint32))
 
 
 _STATE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("dfs", pa.binary())])
@@ -147,29 +176,23 @@ _STATE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64(
 def _candidates(blobs: list[bytes], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Of one range of keys: a row for each document, and one with its repeated n-grams, rare ones first, for each set that may have an alike one."""
     trim()
-    ids, known, keys, sizes, names, counts, tokens, dfs = ([] for _ in range(8))
-    for blob in blobs:
-        a = unpack(blob)
-        if len(a[0]):
-            for all_, x in zip((names, counts, tokens, dfs), a[:4], strict=True):
-                all_.append(x)
-        else:
-            for all_, x in zip((ids, known, keys, sizes), a[3:], strict=True):
-                all_.append(x)
-    if not ids:
+    found = _by_kind(blobs)
+    if _ROWS not in found:
         return
-    ids, known, keys, sizes = map(np.concatenate, (ids, known, keys, sizes))
+    ids, known, keys, sizes = map(np.concatenate, zip(*found[_ROWS], strict=True))
     null = lambda a, mask: pa.array(a, mask=mask)
     empty = pa.nulls(len(ids), pa.binary())
     yield pa.RecordBatch.from_arrays([null(ids, known == 0), null(keys.view(np.int64), sizes == 0), pa.array(sizes.astype(np.int64)), empty, empty], schema=_STATE)
-    if not names:
+    if _REPEATED not in found:
         return
-    names, counts, tokens, dfs = map(np.concatenate, (names, counts, tokens, dfs))
+    names, counts, tokens, dfs = map(np.concatenate, zip(*found[_REPEATED], strict=True))
     owner = np.repeat(names, counts)
+    del found, names, counts
     order = np.lexsort((tokens, dfs, owner))
-    tokens, dfs = tokens[order], dfs[order]
-    own, total = np.unique(names, return_inverse=True)
-    total = np.bincount(total, counts).astype(np.int64)
+    owner, tokens, dfs = owner[order], tokens[order], dfs[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1]))  # a set of several chunks may be told of a hot n-gram by each
+    owner, tokens, dfs = owner[new], tokens[new], dfs[new]
+    own, total = np.unique(owner, return_counts=True)
     have, at = np.unique(keys, return_index=True)
     size = sizes[at][np.searchsorted(have, own)].astype(np.int64)
     ends = np.cumsum(total)
@@ -340,7 +363,7 @@ def _all_links(sets: DataFrame, groups: DataFrame, num: int, den: int, cell_toke
     return links
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | None = None, chunk_bytes: int = CHUNK_BYTES, cell_tokens: int = CELL_TOKENS) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | None = None, chunk_bytes: int = CHUNK_BYTES, cell_tokens: int = CELL_TOKENS, hot_sets: int = HOT_SETS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; num / den is the least similarity."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -354,16 +377,16 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | N
                 texts.append(text)
                 size += len(text or b"")
                 if size >= chunk_bytes:
-                    yield from _chunk(ids, texts, n, parts)
+                    yield from _chunk(ids, texts, n, parts, hot_sets)
                     ids, texts, size = [], [], 0
         if ids:
-            yield from _chunk(ids, texts, n, parts)
+            yield from _chunk(ids, texts, n, parts, hot_sets)
 
     packed = "part int, blob binary"
     table_of = lambda batches, schema: pa.Table.from_batches(list(batches), schema=schema)
     wire = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
     ngrams = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(chunks, packed)
-    repeated = ngrams.groupBy("part").applyInArrow(lambda t: table_of(_repeated(t["blob"].to_pylist(), parts), wire), packed)
+    repeated = ngrams.groupBy("part").applyInArrow(lambda t: table_of(_repeated(t["part"][0].as_py(), t["blob"].to_pylist(), parts), wire), packed)
     state = repeated.groupBy("part").applyInArrow(lambda t: table_of(_candidates(t["blob"].to_pylist(), num, den), _STATE), "doc_id long, key long, n long, tokens binary, dfs binary")
     state = written(state, "jaccard-state")
     del ngrams, repeated

@@ -54,7 +54,7 @@ def near_copies(n=500, seed=3):
     return rows + [(7, None), (8, ""), (10, " \n"), (None, rows[0][1]), (13, rows[0][1].upper()), (13, rows[1][1]), (16, "a b c"), (19, "A\tb  c")]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"cell_tokens": 2_000, "chunk_bytes": 5_000}, {"cell_tokens": 300, "parts": 3}])
+@pytest.mark.parametrize("sizes", [{}, {"cell_tokens": 2_000, "chunk_bytes": 5_000}, {"cell_tokens": 300, "parts": 3}, {"hot_sets": 2, "chunk_bytes": 4_000}, {"hot_sets": 1}])
 def test_join_against_brute_force(spark, sizes):
     rows = near_copies()
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long").repartition(3)
