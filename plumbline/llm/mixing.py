@@ -33,16 +33,16 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """source, source_size and target; one row per source."""
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """source, source_size, source_rows and target; one row per source."""
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    sources = sources.select("source", "source_size", (rank % 3 + 1).cast("double").alias("w"), (F.col("source_size") * limit).cast("double").alias("most"))
+    sources = sources.select("source", "source_size", "source_rows", (rank % 3 + 1).cast("double").alias("w"), (F.col("source_size") * limit).cast("double").alias("most"))
     order = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
     before, all_ = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(all_) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("w").over(all_) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     open_ = F.col("most") >= F.col("w") * F.col("level")
     found = sources.withColumn("level", level).withColumn("level", F.max(F.when(open_, F.col("level"))).over(all_))  # levels fall beyond the first open one
-    return found.select("source", "source_size", F.least("most", F.col("w") * F.col("level")).alias("target"))
+    return found.select("source", "source_size", "source_rows", F.least("most", F.col("w") * F.col("level")).alias("target"))
 
 
 def fitting(sizes: np.ndarray, room: float, rounds: int = 50) -> np.ndarray:
@@ -79,8 +79,8 @@ def copies(rows: DataFrame, limit: int = LIMIT, block_words: int = BLOCK_WORDS,
     goal = written(targets(rows, limit), f"{name}-targets")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     goal_ = goal.withColumnRenamed("source", "_s")
-    block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
-    joined = rows.join(goal_, same("source", "_s")).drop("_s").withColumn("block", block)
+    block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.greatest(F.lit(1), F.ceil((F.col("source_size") + F.col("source_rows")) / block_words)).cast("long"))  # empty documents fill blocks too
+    joined = rows.join(goal_, same("source", "_s")).withColumn("block", block).drop("_s", "source_rows")
     full = F.least(F.lit(limit), F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).cast("int")
     joined = joined.withColumn("full", full).withColumn("rest", F.when(F.col("full") < limit, F.col("target") - F.col("full") * F.col("source_size")).otherwise(0.0))
     blocks = joined.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("full").alias("full"), F.first("rest").alias("rest"))
