@@ -4,9 +4,11 @@ A sentence's probability is logistic in the weights of its words; a document is
 sentences are harmless: p = 1 - prod(1 - p_s), the noisy-or. Weights are learned from document labels alone
 by descent on the documents' cross-entropy, whose gradient reaches a sentence as p_s * (1 - y / p). Features
 are lower-cased words and their beginnings of 4 to 8 bytes; those that labels do not bear out (G-test) get no
-weight. Training reads a bounded sample of labelled rows; scoring reads every text whole.
+weight, nor do those of copies count again. Training reads a bounded sample of labelled rows; scoring reads
+every text whole.
 
-Null and empty texts have no sentence and score 0. With no labelled row of either kind, all scores are 0.
+Null and empty texts have no sentence and score 0. With no labelled row of either kind, or no
+feature that labels bear out, all scores are 0.
 Labels that disagree about an id count as toxic. Repeated rows score alike. Only text makes a score.
 """
 
@@ -21,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from xxhash import xxh3_64_intdigest
 
-#: Labelled rows to learn from: at most so many of either label, in order of a hash of their ids.
-SAMPLE_EACH = 2_500
+#: Labelled rows to learn from: at most so many harmless and so many toxic ones, in order of a hash of their ids.
+SAMPLE = (4_000, 2_500)
 _END = re.compile(rb"[.!?\n]+")
 _EDGE = b".,;:!?()[]{}\"'*%$&#|<>-_"
 _MEMO = 200_000
 #: Mean of a weight before descent: a feature that the G-test bears out is taken for strong until documents speak against it.
 _PRIOR = 4.5
+#: How much likelier a feature must be in toxic documents.
+_LIFT = 5.0
 
 
 def sentences(text: str | None) -> list[list[bytes]]:
@@ -40,8 +45,8 @@ def sentences(text: str | None) -> list[list[bytes]]:
 
 
 def features(word: bytes) -> list[int]:
-    """Hashes of a word and of its beginnings."""
-    return [crc32(b"w" + word), *(crc32(b"p" + word[:k]) for k in range(4, min(8, len(word)) + 1))] if word else []
+    """Hashes (31 bits) of a word and of its beginnings."""
+    return [crc32(b"w" + word) >> 1, *(crc32(b"p" + word[:k]) >> 1 for k in range(4, min(8, len(word)) + 1))] if word else []
 
 
 @dataclass
@@ -61,7 +66,7 @@ class Model:
         return found
 
     def sentence_scores(self, text: str | None) -> np.ndarray:
-        z = np.array([sum(map(self.word, s)) for s in sentences(text)], float) + self.bias
+        z = np.array([sum(map(self.word, set(s))) for s in sentences(text)], float) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -69,30 +74,41 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def train(texts: list[str | None], labels: list[int], least_g: float = 30.0, steps: int = 300) -> Model:
+def train(texts: list[str | None], labels: list[int], harmless: float = 1.0, least_g: float = 20.0, steps: int = 400) -> Model:
+    """harmless: how many harmless documents one of the sample stands for, a toxic one being one."""
+    first = dict(zip(reversed(texts), range(len(texts) - 1, -1, -1), strict=True))  # of copies one is learnt from
+    texts, labels = [texts[i] for i in sorted(first.values())], [labels[i] for i in sorted(first.values())]
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(-40.0, {})
-    total, toxic, found = len(y), y.sum(), []
+    total, toxic, found, seen = len(y), y.sum(), [], set()
     for text, label in zip(texts, labels, strict=True):  # a document's features once each, with its label in the last bit
-        own = {f for w in {w for s in sentences(text) for w in s} for f in features(w)}
-        found.append(np.fromiter(own, np.uint64, len(own)) * np.uint64(2) + np.uint64(label > 0))
+        own_sentences = {xxh3_64_intdigest(b" ".join(s)): s for s in sentences(text)}
+        new = own_sentences.keys() - seen
+        seen.update(new)
+        if 2 * len(new) <= len(own_sentences):  # a copy, or nearly one: its words have been told of
+            continue
+        words = {w for name in new for w in own_sentences[name]}
+        own = {f for w in words for f in features(w)}
+        found.append(np.fromiter(own, np.uint32, len(own)) * np.uint32(2) + np.uint32(label > 0))
     found = np.concatenate(found)
     found.sort()
-    start = np.flatnonzero(np.append(True, found[1:] >> np.uint64(1) != found[:-1] >> np.uint64(1))) if len(found) else np.empty(0, np.int64)
+    start = np.flatnonzero(np.append(True, found[1:] >> np.uint32(1) != found[:-1] >> np.uint32(1))) if len(found) else np.empty(0, np.int64)
     n = np.diff(np.append(start, len(found))).astype(float)
-    in_toxic = np.add.reduceat((found & np.uint64(1)).astype(np.uint16), start, dtype=np.int64).astype(float) if len(start) else n
-    ids = found[start] >> np.uint64(1)
+    in_toxic = np.add.reduceat((found & np.uint32(1)).astype(np.uint16), start, dtype=np.int64).astype(float) if len(start) else n
+    ids = found[start] >> np.uint32(1)
     xlog = lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(b, 1e-9)), 0)
     g = 2 * sum(xlog(a, e) for a, e in ((in_toxic, n * toxic / total), (n - in_toxic, n * (1 - toxic / total)), (toxic - in_toxic, (total - n) * toxic / total), (total - n - toxic + in_toxic, (total - n) * (1 - toxic / total))))
-    good = (g >= least_g) & (in_toxic * total > n * toxic)
+    good = (g >= least_g) & (in_toxic / toxic >= _LIFT * (n - in_toxic) / (total - toxic))  # not mere signs of a language
     place = {int(f): i for i, f in enumerate(ids[good])}
     del found, ids, n, in_toxic, g, good
+    if not place:
+        return Model(-40.0, {})
     rows, cols, doc_of, sizes = [], [], [], []
     for d, text in enumerate(texts):  # sentences without features differ in nothing: they are counted, not listed
         plain = 0
         for s in sentences(text):
-            own = {place[f] for w in s for f in features(w) if f in place}
+            own = [place[f] for w in set(s) for f in features(w) if f in place]
             if own:
                 rows += [len(doc_of)] * len(own)
                 cols += own
@@ -102,13 +118,14 @@ def train(texts: list[str | None], labels: list[int], least_g: float = 30.0, ste
         sizes.append(plain)
     rows, cols, doc_of, plain = np.array(rows, np.int64), np.array(cols, np.int64), np.array(doc_of, np.int64), np.array(sizes, float)
     w, bias = np.full(len(place), _PRIOR), -7.0
+    weight = np.where(y > 0, 1.0, harmless)
     m, v = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
     for step in range(1, steps + 1):
         z = bias + np.bincount(rows, w[cols], len(doc_of))
         p_s = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
         p_0 = 1 / (1 + np.exp(-bias))
         p = np.clip(-np.expm1(np.bincount(doc_of, np.log1p(-p_s), total) + plain * np.log1p(-p_0)), 1e-6, 1 - 1e-9)
-        pull = 1 - y / p
+        pull = weight * (1 - y / p)
         each = p_s * pull[doc_of]
         grad = np.append(np.bincount(cols, each[rows], len(place)) + 0.01 * (w - _PRIOR), each.sum() + (p_0 * plain * pull).sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -117,14 +134,17 @@ def train(texts: list[str | None], labels: list[int], least_g: float = 30.0, ste
     return Model(float(bias), {f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-3})
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Model:
-    """labels: (doc_id, toxic). At most 2 * ``each`` labelled texts reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE) -> Model:
+    """labels: (doc_id, toxic). At most ``most`` harmless and toxic texts reach the driver; weights make up for the shares."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
-    pick = lambda y: known.where(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+    pick = lambda y: known.where(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y])
     sample = pick(0).unionByName(pick(1)).withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([r["text"] for r in rows], [r["_toxic"] for r in rows])
+    all_ = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    own = [sum(r["_toxic"] == y for r in rows) for y in (0, 1)]
+    share = (all_.get(0, 0) / max(1, own[0])) / (all_.get(1, 0) / max(1, own[1])) if all_.get(1) else 1.0
+    return train([r["text"] for r in rows], [r["_toxic"] for r in rows], share)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
