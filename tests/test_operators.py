@@ -257,3 +257,34 @@ def test_streams(spark, tmp_path):
     assert seen == [2]
     hits = st.alerts(st.stream(spark, str(tmp_path / "e"), schema), "ts", "user_id", [rules.Rule("big", "e", (rules.Condition("value", ">", 1),), "look")])
     assert st.collected(hits, "alerts_test").count() == 1
+
+
+def test_store(tmp_path):
+    from plumbline.sources.store import Store, write_json
+
+    path = tmp_path / "deep" / "s.json"
+    write_json(path, {"relations": [1]})
+    store = Store(path, [lambda v: {"links": v["relations"]}], {"links": []})
+    assert store.load() == {"links": [1], "version": 1}
+    store.save({"links": [2]})
+    assert store.load()["links"] == [2] and Store(tmp_path / "none", empty={"a": 1}).load() == {"a": 1, "version": 0}
+    assert [f.name for f in path.parent.iterdir()] == ["s.json"]
+    with pytest.raises(ValueError):
+        Store(path).load()
+
+
+def test_registered_tables_and_event_logs(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "numbers.parquet"))
+    sources = src.Sources(spark)
+    one = src.Source("one", str(tmp_path), ("numbers",))
+    assert sources.register(one, "p_") == ["p_numbers"] and sources.register(one, "p_") == []
+    assert "p_numbers" in sources.user_tables() and sources.schema(["p_numbers"]) == {"p_numbers": [("id", "bigint")]}
+    assert sources.same("one", "one") and sources.user_tables(["nothing"]) == []
+    assert spark.table(sources.upload("my file", spark.range(2))).count() == 2
+    cleaned = sources.with_cleaning({"p_numbers": spark.range(1)})
+    assert cleaned.table("p_numbers").count() == 1 and spark.table("p_numbers").count() == 3
+    for _ in range(2):
+        src.append_events(spark.createDataFrame([("step", 1.5)], "name string, seconds double"), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    df = spark.createDataFrame([(bytearray(b"\x01\x00"),), (bytearray(b"123456789"),)], "b binary")
+    assert [r[0] for r in df.select(src.bit_value(df["b"])).collect()] == ["256", "313233343536373839"]
