@@ -142,10 +142,3 @@ def deltas(a: np.ndarray) -> np.ndarray:
 
 def undeltas(a: np.ndarray) -> np.ndarray:
     return np.cumsum(a, dtype=a.dtype)
-
-
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each (start, length), one after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import graph, jaccard, mixing
-from plumbline.llm.common import deltas, pack, ranges, undeltas, unpack
+from plumbline.llm.common import deltas, pack, undeltas, unpack
 
 
 def words(t):
@@ -95,7 +95,6 @@ def test_packing():
     a, b = np.array([3, 9, 9, 2**63], np.uint64), np.array([], np.uint32)
     x, y = unpack(pack(deltas(a), b))
     assert undeltas(x).tolist() == a.tolist() and y.dtype == np.uint32 and not len(y)
-    assert ranges(np.array([5, 0]), np.array([2, 3])).tolist() == [5, 6, 0, 1, 2]
 
 
 # -- mixing -------------------------------------------------------------------------------------------------
