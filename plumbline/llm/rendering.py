@@ -1,7 +1,8 @@
 """Layout-aware HTML rendering: a tree with implied tags, visibility rules, and text laid out by blocks.
 
 All visible text is emitted, navigation and footers too; only what a browser without scripts would not show
-is left out: head, scripts, styles, templates, comments, ``hidden`` and ``display:none`` elements. White
+is left out: head, scripts, styles, templates, comments, and elements hidden by ``hidden``, by their style or
+by simple selectors of the page's style sheets. White
 space collapses but in ``pre``; blocks start new lines, paragraphs and headings are set off by a blank line;
 list items get bullets or numbers and their lists' indent; table cells are padded to their columns.
 
@@ -133,7 +134,7 @@ def parse(text: str) -> Node:
         if tag in _VOID:
             pop_to(len(stack) - 1)
 
-    at = 0
+    at, styles = 0, []
     while at < len(text):
         found = _MARKUP.search(text, at)
         if not found:
@@ -149,6 +150,8 @@ def parse(text: str) -> Node:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\Z", re.I).search(text, at)
                 raw = text[at : close.start() if close else len(text)]
                 stack[-1].children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
+                if tag == "style" and _NONE.search(raw):
+                    styles.append(raw)
                 at = close.end() if close else len(text)
                 pop_to(len(stack) - 1)
         elif tag := found["end"]:
@@ -166,9 +169,34 @@ def parse(text: str) -> Node:
                         break
                     if stack[i].tag in stops:
                         break
+    if styles:
+        _apply_styles(root, "\n".join(styles))
     return root
 
 
+_AT_RULE = re.compile(r"/\*.*?\*/|@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^{};]*;", re.S)
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?(?:\.([\w-]+)|#([\w-]+))?")
+
+
+def _apply_styles(root: Node, css: str) -> None:
+    """Marks elements that the page's own style sheets hide, by simple selectors: tag, .class, #id, tag.class, tag#id."""
+    rules = set()
+    for selectors, body in _RULE.findall(_AT_RULE.sub(" ", css)):
+        if _NONE.search(body):
+            rules |= {m.groups() for x in selectors.split(",") if (m := _SIMPLE.fullmatch(x.strip())) and x.strip()}
+    if not rules:
+        return
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        tags, id_ = (node.tag, None), node.attrs.get("id")
+        names = [(t, c.strip(), None) for t in tags for c in node.attrs.get("class", "").split()] + [(t, None, id_) for t in tags if id_] + [(node.tag, None, None)]
+        if not rules.isdisjoint(names):
+            node.attrs["hidden"] = ""
+        todo += [c for c in node.children if not isinstance(c, str)]
+
+
 def _shown(node: Node) -> bool:
     if node.tag in _HIDDEN or "hidden" in node.attrs:
         return False

@@ -25,6 +25,12 @@ def test_odd_markup():
         render_page("<ul><li>a<table><tr><td>&lt;b</td></table>"[:n])
 
 
+def test_style_sheets_hide():
+    css = "<style>/* .a{} */ .ad, p#x { color: red; DISPLAY : none } @media print { .b { display: none } } .c span {display:none} em{visibility:hidden}</style>"
+    page = css + '<div class="big ad">no</div><p id=x>no<p id=y>yes<div id=x>kept</div><i class=b>b</i> <b class=c>c <span>d</span></b><em>no</em>'
+    assert render_page(page) == "yes\n\nkept\nb c d"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "<p>a<p>b", "x"), (2, None, "y"), (2, None, "y"), (None, "z", "")], "page_id long, html string, text string")
     assert sorted((tuple(r) for r in render_pages(df).collect()), key=repr) == sorted([(1, "a\n\nb", 4, 3), (2, "", 0, 0), (2, "", 0, 0), (None, "z", 1, 1)], key=repr)
