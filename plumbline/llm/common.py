@@ -109,6 +109,14 @@ def trim() -> None:
         return
 
 
+def slices(batches, rows: int = 400):
+    """Arrow batches in parts of few rows: what a task makes of texts at a time stays small."""
+    trim()
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays of one blob. Each is stored by byte planes, so that small numbers cost few bytes."""
     head, body = [len(arrays)], []

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from plumbline.llm.common import slices
+
 LABELLED, POOL, ROUNDS = 8_000, 8_000, 4
 _SHAPES, _LANGS, _SOURCES = 128, 16, 64
 _UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
@@ -166,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     rows = _with_meta(docs).join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).withColumn("_turn", turn).drop("_id")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             a, b = _views(batch)
             yield pa.RecordBatch.from_arrays([batch.column(6), batch.column(5), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], names=["turn", "y", "a", "b"])
 
@@ -188,7 +190,7 @@ def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame
     out = pa.schema([("doc_id", to_arrow_type(kind)), ("score", pa.float64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("kept", pa.bool_())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             p = _scores(model, batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 0] >= least)], schema=out)
 
@@ -200,7 +202,7 @@ def keep(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
     at = {c: docs.columns.index(c) for c in ("text", *_META) if c in docs.columns}
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             none = pa.nulls(batch.num_rows)
             own = [batch.column(at["text"]).cast(pa.binary()), *(batch.column(at[c]) if c in at else none for c in _META)]
             yield batch.filter(pa.array(_scores(model, pa.RecordBatch.from_arrays([none, *own], names=["doc_id", "text", *_META]))[:, 0] >= least))

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh3_64_intdigest
 
+from plumbline.llm.common import slices
+
 #: Labelled rows to learn from: at most so many harmless and so many toxic ones, in order of a hash of their ids.
 SAMPLE = (4_000, 2_500)
 _END = re.compile(rb"[.!?\n]+")
@@ -155,7 +157,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches):
         own = Model(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [own.sentence_scores(t) for t in batch.column(1).to_pylist()]
             p = [noisy_or(s) if len(s) else 0.0 for s in found]
             yield pa.RecordBatch.from_arrays(
@@ -173,7 +175,7 @@ def offending(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
 
     def run(batches):
         own = Model(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 p = own.sentence_scores(text)
                 bad = np.flatnonzero(p >= least)
