@@ -4,7 +4,8 @@ A sentence's probability is logistic in the weights of its words; a document is
 sentences are harmless: p = 1 - prod(1 - p_s), the noisy-or. Weights are learned from document labels alone
 by descent on the documents' cross-entropy, whose gradient reaches a sentence as p_s * (1 - y / p). Features
 are lower-cased words and their beginnings of 4 to 8 bytes; those that labels do not bear out (G-test) get no
-weight, nor do those of copies count again. Training reads a bounded sample of labelled rows; scoring reads
+weight. The test counts a feature once for each distinct document; near copies that all have one label tell each
+sentence once. Training reads a bounded sample of labelled rows; scoring reads
 every text whole.
 
 Null and empty texts have no sentence and score 0. With no labelled row of either kind, or no
@@ -15,6 +16,7 @@ Labels that disagree about an id count as toxic. Repeated rows score alike. Only
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -76,6 +78,26 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
+def near_copies(texts: list[str | None], labels: list[int]) -> tuple[list[int], set[int]]:
+    """Each text's group, and the groups with both labels. A group is named by the place of its first text, which has
+    over half of the distinct sentences of every other."""
+    where: dict[int, array] = {}
+    group = []
+    for d, text in enumerate(texts):
+        names = {xxh3_64_intdigest(b" ".join(s)) for s in sentences(text)}
+        held = [np.frombuffer(where[name], np.int32) for name in names if name in where]
+        shared = np.bincount(np.concatenate(held)) if held else np.zeros(1, np.int64)
+        del held
+        g = int(shared.argmax())
+        if 2 * shared[g] <= len(names):
+            g = d
+            for name in names:
+                where.setdefault(name, array("i")).append(d)
+        group.append(g)
+    kinds = {(g, label > 0) for g, label in zip(group, labels, strict=True)}
+    return group, {g for g, toxic in kinds if toxic and (g, False) in kinds}
+
+
 def train(texts: list[str | None], labels: list[int], harmless: float = 1.0, least_g: float = 20.0, steps: int = 400) -> Model:
     """harmless: how many harmless documents one of the sample stands for, a toxic one being one."""
     first = dict(zip(reversed(texts), range(len(texts) - 1, -1, -1), strict=True))  # of copies one is learnt from
@@ -83,16 +105,23 @@ def train(texts: list[str | None], labels: list[int], harmless: float = 1.0, lea
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(-40.0, {})
-    total, toxic, found, seen = len(y), y.sum(), [], set()
-    for text, label in zip(texts, labels, strict=True):  # a document's features once each, with its label in the last bit
+    group, mixed = near_copies(texts, labels)
+    found, told, units = [], {}, []
+    for text, label, g in zip(texts, labels, group, strict=True):  # a document's features once each, with its label in the last bit
         own_sentences = {xxh3_64_intdigest(b" ".join(s)): s for s in sentences(text)}
-        new = own_sentences.keys() - seen
-        seen.update(new)
-        if 2 * len(new) <= len(own_sentences):  # a copy, or nearly one: its words have been told of
-            continue
+        new = own_sentences.keys()
+        if g not in mixed:  # copies of one label repeat each other: they tell a sentence once, and one that tells nothing is no unit
+            seen = told.setdefault(g, set())
+            new = new - seen
+            seen.update(new)
+            if own_sentences and not new:
+                continue
         words = {w for name in new for w in own_sentences[name]}
         own = {f for w in words for f in features(w)}
         found.append(np.fromiter(own, np.uint32, len(own)) * np.uint32(2) + np.uint32(label > 0))
+        units.append(label > 0)
+    total, toxic = len(units), sum(units)
+    del group, mixed, told
     found = np.concatenate(found)
     found.sort()
     start = np.flatnonzero(np.append(True, found[1:] >> np.uint32(1) != found[:-1] >> np.uint32(1))) if len(found) else np.empty(0, np.int64)
@@ -126,7 +155,7 @@ def train(texts: list[str | None], labels: list[int], harmless: float = 1.0, lea
         z = bias + np.bincount(rows, w[cols], len(doc_of))
         p_s = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
         p_0 = 1 / (1 + np.exp(-bias))
-        p = np.clip(-np.expm1(np.bincount(doc_of, np.log1p(-p_s), total) + plain * np.log1p(-p_0)), 1e-6, 1 - 1e-9)
+        p = np.clip(-np.expm1(np.bincount(doc_of, np.log1p(-p_s), len(y)) + plain * np.log1p(-p_0)), 1e-6, 1 - 1e-9)
         pull = weight * (1 - y / p)
         each = p_s * pull[doc_of]
         grad = np.append(np.bincount(cols, each[rows], len(place)) + 0.01 * (w - _PRIOR), each.sum() + (p_0 * plain * pull).sum())

@@ -50,6 +50,25 @@ def test_toxicity_fit_and_empty_labels(spark):
     assert tox.score(df.limit(0), none).count() == 0
 
 
+def test_shared_and_repeated_sentences_are_evidence():
+    r = random.Random(4)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 7))) for _ in range(3000)]
+    text = lambda n: "".join(" ".join(r.choice(words) for _ in range(8)) + ". " for _ in range(n))
+    clean, template = [text(6) for _ in range(200)], text(6)
+    variants = [template + f"{text(1)} clean" for _ in range(40)]
+    verbatim = [text(5) + "You dreadful scumbag." for _ in range(40)]  # one sentence in many different documents
+    noted = [template + f"You dreadful scumbag. {text(1)}" for _ in range(40)]  # near copies that only that sentence tells apart
+    varied = [template + " ".join(r.choice(words) for _ in range(4)) + f" scumbag {r.choice(words)}." for _ in range(40)]  # near copies, no two sentences alike
+    for bad in (verbatim, noted, varied):
+        model = tox.train(clean + variants + bad, [0] * 240 + [1] * 40)
+        p = [tox.noisy_or(model.sentence_scores(t)) for t in (text(3) + "You scumbag.", template, text(6))]
+        assert p[0] > 0.3 > max(p[1:]), p
+    alone = tox.train(clean + varied, [0] * 200 + [1] * 40)  # the template's clean form is not labelled
+    assert alone.word(b"scumbag") > 1 and not any(alone.word(w) for s in tox.sentences(template) for w in s)
+    copied = tox.train(clean + [f"{template}{i}." for i in range(40)], [0] * 200 + [1] * 40)  # copies alone bear nothing out
+    assert not copied.weights
+
+
 def test_noisy_or():
     assert tox.noisy_or(np.array([0.5, 0.5])) == 0.75 and tox.noisy_or(np.array([])) == 0
 
