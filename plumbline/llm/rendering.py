@@ -45,6 +45,11 @@ _ENDS = {
     "thead": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
 }
+_GROUPS = {"tbody", "thead", "tfoot"}
+_IN_ROWS = {"table", "tr", *_GROUPS}
+#: tag: where in a table it belongs
+_BELONGS = {"td": _IN_ROWS, "th": _IN_ROWS, "tr": _IN_ROWS - {"tr"}, **dict.fromkeys(("caption", "colgroup", "col", *_GROUPS), {"table"})}
+_STAYS = {*_BELONGS, "script", "style", "template", "form"}
 
 _MARKUP = re.compile(
     r"""<!--(?P<comment>.*?(?:--!?>|\Z))|<(?P<bogus>[!?][^>]*(?:>|\Z))|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"""
@@ -64,14 +69,40 @@ class Node:
 
 
 def parse(text: str) -> Node:
-    """The tree of a page. Tags that html lets out are implied: head, body, tbody and tr, and ends of elements."""
+    """The tree of a page. Tags that html lets out are implied: head, body, tbody and tr, and ends of elements.
+
+    What stands between the cells or rows of a table goes before the table, as browsers put it."""
     root = Node("html")
     stack = [root]
     open_: dict[str, int] = {"html": 1}  # how many of each tag are open
 
+    loose = None  # the table that loose content was put before last
+
+    def table_at() -> int:
+        """The place of the table if its next content would stand outside its cells, or else 0."""
+        i = len(stack) - 1
+        while stack[i].tag in _IN_ROWS and stack[i].tag != "table":
+            i -= 1
+        return i if stack[i].tag == "table" else 0
+
+    def before_table(at: int, node: Node | str) -> None:
+        nonlocal loose
+        children = stack[at - 1].children  # an open table is the last of its parent's children
+        children.insert(len(children) - 1, node)
+        loose = stack[at]
+
+    def keep_apart() -> None:
+        """Loose content before and after a cell or row does not run together."""
+        if (at := table_at()) and loose is stack[at]:
+            before_table(at, " ")
+
     def push(tag: str, attrs: dict[str, str] | None = None) -> None:
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        hidden = tag == "input" and node.attrs.get("type", "").lower() == "hidden"
+        if stack[-1].tag in _IN_ROWS and tag not in _STAYS and not hidden and (at := table_at()):
+            before_table(at, node)
+        else:
+            stack[-1].children.append(node)
         stack.append(node)
         open_[tag] = open_.get(tag, 0) + 1
 
@@ -101,7 +132,14 @@ def parse(text: str) -> Node:
             return
         if not open_.get("body") and not part.isspace() and not open_.get("noscript"):
             into_body()
-        stack[-1].children.append(html.unescape(part) if "&" in part else part)
+        part = html.unescape(part) if "&" in part else part
+        blank = part.isspace()
+        if stack[-1].tag == "colgroup" and not blank:
+            pop_to(len(stack) - 1)
+        if stack[-1].tag in _IN_ROWS and (at := table_at()) and (not blank or loose is stack[at]):
+            before_table(at, " " if blank else part)
+        else:
+            stack[-1].children.append(part)
 
     def start(tag: str, attrs: dict[str, str]) -> None:
         if tag == "html":
@@ -126,12 +164,23 @@ def parse(text: str) -> Node:
             end({"p"}, {"table", "td", "th", "caption", "button", "object"})
         if tag in _ENDS:
             end(*_ENDS[tag])
+        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            pop_to(len(stack) - 1)
+        if tag in _BELONGS and open_.get("table") and not (tag == "col" and stack[-1].tag == "colgroup"):
+            size = len(stack)
+            while stack[size - 1].tag not in _BELONGS[tag]:
+                size -= 1
+            pop_to(size)
+            keep_apart()
+        if tag == "table" and stack[-1].tag in _IN_ROWS and (at := table_at()):
+            pop_to(at)
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             start("tr", {})
         if tag == "tr" and stack[-1].tag == "table":
             push("tbody")
+        in_rows = tag == "form" and stack[-1].tag in _IN_ROWS and table_at()  # such a form holds nothing
         push(tag, attrs)
-        if tag in _VOID:
+        if tag in _VOID or in_rows:
             pop_to(len(stack) - 1)
 
     at, styles = 0, []
@@ -166,6 +215,8 @@ def parse(text: str) -> Node:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         pop_to(i)
+                        if tag in _BELONGS:
+                            keep_apart()
                         break
                     if stack[i].tag in stops:
                         break
@@ -311,7 +362,7 @@ def _table(page: _Page, table: Node, depth: int, widest: int = 40) -> None:
         page.block(1)
         _lay_out(page, [node], depth)
         page.block(1)
-    # Loose content goes before the table, as browsers put it; cells keep their lines side by side.
+    # Cells keep their lines side by side; the parser has put loose content before the table.
     laid = [[(render(c.children, depth + 1).split("\n"), wide) for c, wide in row] for row in rows]
     widths: list[int] = []
     for row in laid:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 from plumbline.llm import hosts
 from plumbline.llm.rendering import render_page, render_pages
 
@@ -25,6 +28,29 @@ def test_odd_markup():
         render_page("<ul><li>a<table><tr><td>&lt;b</td></table>"[:n])
 
 
+def test_loose_content_of_tables_goes_before_them():
+    assert render_page("a<table>loose <b>bold</b> text<tr><td>c</table>") == "aloose bold text\n\nc"
+    assert render_page("<table><tbody>one<tr>two<td>a</td>three<td>b</td><div>four<p>five</div></tr>six</tbody>seven<tr><td>c<td>d</table>end") == "one two three\nfour\n\nfive\n\nsix seven\n\na  b\nc  d\n\nend"
+    assert render_page("<table><tr><form action=x><td>cell</td><td>two</td></form></tr><form><tr><td>x</form><td>y</table>") == "cell  two\nx     y"
+    assert render_page("<table><tr><form hidden>shown<td>cell</td></form><input type=hidden><script>no</script><td>z</table>") == "shown\n\ncell  z"
+    assert render_page("<table><tr><div><td>cell</td></div><span>s<th>head</table>") == "s\n\ncell  head"
+    assert render_page("<table><caption>Cap<colgroup><col>x<tr>&nbsp;<td>a<td><table>in<tr><td>b</table></table>") == "x\n\nCap\na  in\n   b"
+    assert render_page("<table><tr><table><tr><td>inner</table><td>outer</table>") == "inner\n\nouter"
+    assert render_page("<table><tr style=display:none>x<td>no</td><tr><td>yes</table>") == "x\n\nyes"
+    assert render_page("<table><tr>" + "<div>" * 30_000 + "deep<td>c") == "deep\n\nc"
+    for n in range(70):
+        render_page("<table>a<colgroup>b<tr>c<form>d<li>e<td>f<caption>g<table>h</tr>i"[:n])
+
+
+def test_no_text_is_lost_in_any_markup():
+    r = random.Random(1)
+    tags = ["table", "tr", "td", "th", "tbody", "thead", "form", "div", "b", "p", "caption", "colgroup", "col", "li", "ul"]
+    for _ in range(3000):
+        parts = [r.choice([f"<{r.choice(tags)}>", f"</{r.choice(tags)}>", f"w{k}x"]) for k in range(r.randint(3, 25))]
+        told = sorted(re.findall(r"w\d+x", render_page("".join(parts))))
+        assert told == sorted(p for p in parts if p[0] == "w"), parts
+
+
 def test_style_sheets_hide():
     css = "<style>/* .a{} */ .ad, p#x { color: red; DISPLAY : none } @media print { .b { display: none } } .c span {display:none} em{visibility:hidden}</style>"
     page = css + '<div class="big ad">no</div><p id=x>no<p id=y>yes<div id=x>kept</div><i class=b>b</i> <b class=c>c <span>d</span></b><em>no</em>'
