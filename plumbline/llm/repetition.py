@@ -28,14 +28,17 @@ _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_word
 class Limits:
     """Rejected: under min_words; over max_repeat_percent of words in repeated 3-word windows; over
     max_covered_percent of words in repeats of min_repeat words or more; a repeat of over max_longest words
-    that is also over max_longest_percent of the text (a long text may repeat a long passage once)."""
+    that is also over max_longest_percent of the text (a long text may repeat a long passage once) or over
+    max_longest_anywhere words. Two separate occurrences cover twice their share, so that max_longest_percent
+    says something of its own only below half of max_covered_percent."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     min_repeat: int = 6
     max_covered_percent: int = 40
     max_longest: int = 40
-    max_longest_percent: int = 20
+    max_longest_percent: int = 15
+    max_longest_anywhere: int = 400
 
 
 def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +125,8 @@ def verdicts(m: dict[str, np.ndarray], limits: Limits) -> tuple[np.ndarray, np.n
     n = m["n_words"]
     failed = (n < limits.min_words) | (100 * m["n_repeat_words"] > limits.max_repeat_percent * n)
     covered = 100 * m["covered_words"] > limits.max_covered_percent * n
-    longest = (m["longest_repeat"] > limits.max_longest) & (100 * m["longest_repeat"] > limits.max_longest_percent * n)
+    long_here = (100 * m["longest_repeat"] > limits.max_longest_percent * n) | (m["longest_repeat"] > limits.max_longest_anywhere)
+    longest = (m["longest_repeat"] > limits.max_longest) & long_here
     return failed, ~(failed | covered | longest)
 
 

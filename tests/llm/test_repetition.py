@@ -67,3 +67,15 @@ def test_limits_and_rows(spark):
     assert rep.judge(df.limit(0)).count() == 0
     failed, ok = rep.verdicts({"n_words": np.array([200]), "n_repeat_words": np.array([90]), "covered_words": np.array([90]), "longest_repeat": np.array([45])}, rep.Limits())
     assert not failed[0] and not ok[0]
+
+
+def test_a_separate_repeat_that_only_the_longest_limit_rejects():
+    limits = rep.Limits()
+    for passage, n, kept in ((70, 400, False), (500, 5000, False), (60, 420, True), (390, 5000, True), (40, 250, True)):
+        rest = [f"w{i}" for i in range(n - 2 * passage)]
+        twice = [f"p{i}" for i in range(passage)]
+        text = " ".join(twice + rest[: len(rest) // 2] + twice + rest[len(rest) // 2 :]).encode()
+        m = rep.measured([text], limits)
+        assert m["n_words"][0] == n and m["longest_repeat"][0] == passage and m["covered_words"][0] == 2 * passage
+        assert not m["base_failed"][0] and 100 * m["covered_words"][0] <= limits.max_covered_percent * n
+        assert m["kept"][0] == kept, (passage, n)
