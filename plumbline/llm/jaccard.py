@@ -21,11 +21,13 @@ id get a component id only from others that they are linked with. Only doc_id an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, LongType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
 from plumbline.llm.common import deltas, pack, release, trim, undeltas, unpack, written
@@ -365,6 +367,12 @@ def _all_links(sets: DataFrame, groups: DataFrame, num: int, den: int, cell_toke
 
 def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | None = None, chunk_bytes: int = CHUNK_BYTES, cell_tokens: int = CELL_TOKENS, hot_sets: int = HOT_SETS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; num / den is the least similarity."""
+    rows = _rows_of(docs, n, num, den, parts, chunk_bytes, cell_tokens, hot_sets)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _rows_of(docs: DataFrame, n: int, num: int, den: int, parts: int | None, chunk_bytes: int, cell_tokens: int, hot_sets: int) -> DataFrame:
+    """doc_id, key, n, _label and least of every row: its set, the set's component, and the component's smallest id."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -407,12 +415,40 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | N
     edges = postings.join(pivots, "token").where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     groups = components(edges, "jaccard-groups")
     label = components(_all_links(sets, groups, num, den, cell_tokens), "jaccard-components")
-    own = rows.join(label, F.col("key") == F.col("node"), "left").select("doc_id", "n", F.coalesce("label", "key").alias("_label"))
+    own = rows.join(label, F.col("key") == F.col("node"), "left").select("doc_id", "key", "n", F.coalesce("label", "key").alias("_label"))
     least = own.where("_label is not null").groupBy("_label").agg(F.min("doc_id").alias("least"))
-    return own.join(least, "_label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
-
-
-def representatives(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; of rows with one id, all; rows without an id stay."""
-    keep = join(docs, **parameters).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return own.join(least, "_label", "left").select("doc_id", "key", "n", "_label", "least")
+
+
+def representatives(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | None = None, chunk_bytes: int = CHUNK_BYTES, cell_tokens: int = CELL_TOKENS, hot_sets: int = HOT_SETS) -> DataFrame:
+    """Of each component the row with the smallest id stays; of several such rows, and of those without an id, the first by text.
+
+    Rows without n-grams are alike if their ids and texts are equal. A row without an id stands beside a component's row
+    with one. Most ids belong to one row; only rows of other ids meet their component by their text."""
+    own = written(_rows_of(docs, n, num, den, parts, chunk_bytes, cell_tokens, hot_sets).select("doc_id", "key", "_label", "least"), "jaccard-rows")
+    stays = F.col("doc_id") == F.coalesce("least", "doc_id")
+    ids = own.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(stays).alias("stays")).where("stays")
+    ids = written(ids.select("doc_id", "rows"), "jaccard-ids")
+    once = docs.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    shared, unnamed = ids.where("rows > 1").select("doc_id"), docs.where("doc_id is null")
+    more = []
+    if shared.limit(1).count():
+        more.append(docs.join(shared, "doc_id", "left_semi").select(*docs.columns))
+    if own.where("doc_id is null").limit(1).count():
+        more.append(unnamed)
+    if not more:
+        return once
+    at, names = docs.columns.index("text"), [*docs.columns, "__key"]
+
+    def keyed(batches):
+        for batch in batches:
+            found = [ngram_hashes(None if x is None else x.encode(), n) for x in batch.column(at).to_pylist()]
+            keys = np.array([(xxh3_64_intdigest(x.tobytes()) or 1) if len(x) else 0 for x in found], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64), mask=keys == 0)], names=names)
+
+    rows = reduce(DataFrame.unionByName, more).mapInArrow(keyed, StructType([*docs.schema.fields, StructField("__key", LongType())]))
+    label = own.where("key is not null").select(F.col("key").alias("__k"), F.col("_label").alias("__label"), F.col("least").alias("__least")).distinct()
+    rows = rows.join(label, F.col("__key") == F.col("__k"), "left").where("doc_id is null or doc_id = coalesce(__least, doc_id)")
+    order = ["text", *(f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "text"))]
+    first = F.row_number().over(Window.partitionBy("__label", "doc_id", F.when(F.col("__label").isNull(), F.col("text"))).orderBy(*order))
+    return once.unionByName(rows.withColumn("__first", first).where("__first = 1").select(*docs.columns))

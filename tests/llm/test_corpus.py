@@ -70,6 +70,19 @@ def test_representatives_and_nothing(spark):
     assert jaccard.join(df.where("doc_id in (7, 8)")).count() == 2
 
 
+def test_of_rows_that_share_an_id_or_have_none_one_stays(spark):
+    r = random.Random(8)
+    a, b, c, d = (" ".join(r.choice("abcdefghij") * r.randint(1, 9) for _ in range(40)) for _ in range(4))
+    rows = [(1, a, "x"), (1, a, "y"), (1, a + " z", "x"), (2, a, "x"), (1, b, "x"), (2, c, "x"), (3, b, "x"), (3, c, "x")]  # 1 and 2 stand first in two components, 3 in none
+    rows += [(None, d, "x"), (None, d, "y"), (None, d + " z", "x"), (4, None, "x"), (4, None, "x"), (4, "", "x"), (5, None, "x"), (None, "", "x"), (None, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(3)
+    want = [(1, a, "x"), (1, b, "x"), (2, c, "x"), (None, d, "x"), (4, None, "x"), (4, "", "x"), (5, None, "x"), (None, "", "x")]
+    got = jaccard.representatives(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    named = df.where("doc_id > 3")
+    assert sorted(map(tuple, jaccard.representatives(named).collect()), key=repr) == sorted((w for w in want if w[0] and w[0] > 3), key=repr)
+
+
 def test_trie_finds_every_connection():
     r = np.random.default_rng(1)
     base = r.integers(0, 2**62, 80).astype(np.uint64)
