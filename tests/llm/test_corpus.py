@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -160,6 +161,14 @@ def test_splitting_tree():
     assert (quotas == mixing.split_quotas(counts, 16, 1)).all() and (quotas != mixing.split_quotas(counts, 16, 2)).any()
 
 
+def test_totals_beyond_the_library_are_shared_by_proportion():
+    counts = np.array([2 * 10**9, 10**9 + 7, 3])
+    quotas = mixing.split_quotas(counts, 4, 1)
+    assert (quotas.sum(0) == counts).all() and quotas.sum(1).max() - quotas.sum(1).min() <= 1
+    readme = (Path(__file__).resolve().parents[2] / "README.md").read_text()
+    assert "10^9 block copies" in readme and "proportional" in readme
+
+
 def test_shards_are_disjoint_draws(spark):
     df = spark.createDataFrame([(a, c, b) for a, b, c in corpus()], "doc_id long, text string, source string")
     mixed = mixing.mix(df, block_words=300, shards=6).where("copy is not null")
