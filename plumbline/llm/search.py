@@ -8,13 +8,19 @@ non-essential: a vector in no other list cannot enter. The essential lists are t
 first, and a vector stays a candidate while its partial score plus the bounds still to come reaches that
 score; only candidates are looked up in what remains. Shards' best k are merged, ties to smaller ids.
 
-Components x become floor(256 * x) as integers, held within +-2^27 so that sums fit 64 bits. Vectors that
+Components x become floor(256 * x) as integers. Sums of those within +-2^27 fit 64 bits; vectors with a larger
+one are scored apart, in integers of any size, and a score among the best that 64 bits do not hold is an error
+as in SQL. Vectors that
 are null or have a null or non-finite component take no part. Shorter vectors count as ended by zeros. Rows
 that repeat a vec_id are one vector, the smallest embedding of them. Fewer than k candidates: all of them.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from decimal import Decimal
+from heapq import nsmallest
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,14 +31,16 @@ _STEP = 16  # terms whose contributions are added before candidates are thinned
 
 
 def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and v, its integer components, of each vector that takes part."""
-    number = lambda x: F.floor(F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), x.cast("double") * scale))).cast("int")
+    """vec_id and v, its integer components, of each vector that takes part; if one is beyond the limit, v is null and
+    wide has them times ``scale`` without the floor."""
+    scaled = F.transform("embedding", lambda x: x.cast("double") * scale)
+    beyond = F.exists(scaled, lambda x: F.abs(x) > _LIMIT)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return (
         embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad))
         .groupBy("vec_id")
         .agg(F.min("embedding").alias("embedding"))
-        .select("vec_id", F.transform("embedding", number).alias("v"))
+        .select("vec_id", F.when(~beyond, F.transform(scaled, lambda x: F.floor(x).cast("int"))).alias("v"), F.when(beyond, scaled).alias("wide"))
     )
 
 
@@ -43,6 +51,13 @@ def _matrix(rows: pd.DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def _exact(asked: pd.DataFrame, rows: pd.DataFrame) -> list[tuple[int, int, int]]:
+    """(query id, vector id, score) of all pairs, in Python's integers."""
+    whole = lambda df: [(int(i), [int(x) for x in (v if v is not None else np.floor(w))]) for i, v, w in zip(df["vec_id"], df["v"], df["wide"], strict=True)]
+    right = whole(rows)
+    return [(qi, i, sum(a * b for a, b in zip(q, v, strict=False))) for qi, q in whole(asked) for i, v in right if i != qi]
+
+
 def best(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query id, vector id, score) of each query's best k in one shard, and ties with the last of them.
 
@@ -100,17 +115,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((vectors, shard_rows), (queries, query_rows)))
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select(part(shards).cast("int").alias("s"), each(blocks).alias("b"), "vec_id", "v")
-    right = queries.select(each(shards).alias("s"), part(blocks).cast("int").alias("b"), "vec_id", "v")
+    left = vectors.select(part(shards).cast("int").alias("s"), each(blocks).alias("b"), "vec_id", "v", "wide")
+    right = queries.select(each(shards).alias("s"), part(blocks).cast("int").alias("b"), "vec_id", "v", "wide")
 
     def cell(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        rows = rows.sort_values("vec_id")
-        width = max(max(map(len, rows["v"])), max(map(len, asked["v"])))
-        found = best(_matrix(asked, width), asked["vec_id"].to_numpy(), _matrix(rows, width), rows["vec_id"].to_numpy(), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    cells = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(cell, "query_id long, vec_id long, score long")
+        plain, big = (rows[rows["wide"].isna()].sort_values("vec_id"), rows[rows["wide"].notna()])
+        asked_plain, asked_big = asked[asked["wide"].isna()], asked[asked["wide"].notna()]
+        found = []
+        if len(plain) and len(asked_plain):
+            width = max(max(map(len, plain["v"])), max(map(len, asked_plain["v"])))
+            found = best(_matrix(asked_plain, width), asked_plain["vec_id"].to_numpy(), _matrix(plain, width), plain["vec_id"].to_numpy(), k)
+        if len(big) or len(asked_big):
+            each_query = defaultdict(list)
+            for x in [*found, *_exact(asked_plain, big), *_exact(asked_big, rows)]:
+                each_query[x[0]].append(x)
+            found = [x for own in each_query.values() for x in nsmallest(k, own, key=lambda x: (-x[2], x[1]))]
+        return pd.DataFrame({"query_id": np.array([x[0] for x in found], np.int64), "vec_id": np.array([x[1] for x in found], np.int64), "score": pd.Series([Decimal(x[2]) for x in found], dtype=object)})
+
+    cells = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(cell, "query_id long, vec_id long, score decimal(38, 0)")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

@@ -42,6 +42,13 @@ def test_ties_signs_zeros_and_bad_vectors(spark):
     check(spark, rows[:2], k=5)
 
 
+def test_components_beyond_the_limit_are_not_held(spark):
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)], 0) for i in range(60)]
+    rows += [(100, [6e5, 0.0, 0.0, 1.0], 0), (101, [7e5, 0.5, 0.0, 0.0], 0), (102, [-9e5, 0.0, 2.0], 0), (103, [3e6, -3e6, 3e6, 3e6], 0), (104, [5e5, 1.0, 1.0, 1.0], 0)]
+    check(spark, rows, shard_rows=20, query_rows=30)
+
+
 def test_nothing(spark):
     v = search.quantised(spark.createDataFrame([], "vec_id long, embedding array<double>"))
     assert search.top_k(v, v).count() == 0
