@@ -60,7 +60,7 @@ def _aliased(t):
 
 
 _KEYS = {"orders": ["order_id"], "customer": ["customer_id"], "part": ["part_id"], "supplier": ["supplier_id"], "nation": ["nation_id"], "region": ["region_id"]}
-CANDIDATES = sorted(names.candidates({n: list(c.values()) for n, c in _ALIASED.items()}, _KEYS)) + [("customer", "customer_id", "part", "part_id"), ("region", "region_id", "supplier", "supplier_id")]
+CANDIDATES = sorted(names.candidates({n: list(c.values()) for n, c in _ALIASED.items()}, _KEYS)[0]) + [("customer", "customer_id", "part", "part_id"), ("region", "region_id", "supplier", "supplier_id")]
 
 
 def _raw(table: str, alias: str) -> str:
@@ -85,10 +85,22 @@ def _(t):
     return keys.batched_signals(_aliased(t), CANDIDATES).select("child", "child_key", "parent", "parent_key", F.round("overlap", 6).alias("overlap"), "child_distinct", "parent_unique")
 
 
-_NAMED = ", ".join(f"('{ct}', '{ck}', '{pt}', '{pk}', {str(names.compatible(ck, pt, pk, ct)).lower()})" for ct, ck, pt, pk in CANDIDATES)
+#: The name rule in SQL, for keys of one column and tables that no role or calendar word names: equal words before the key's end, or one the beginning of the
+#: other, or the longer one ending in a name of several words or of six letters; never ids against numbers or codes, nor a table's own identifier.
+NAMED_SQL = r"""SELECT child, child_key, parent, parent_key, child_key = parent_key OR cs = ps AND NOT unlike OR NOT unlike AND NOT own
+    AND (length(least_) >= 3 AND starts_with(most_, least_) OR (contains(least_, '_') OR length(least_) >= 6) AND ends_with(most_, '_' || least_)) AS named
+  FROM (SELECT *, CASE WHEN length(cs) <= length(ps) THEN cs ELSE ps END AS least_, CASE WHEN length(cs) <= length(ps) THEN ps ELSE cs END AS most_,
+      ce <> pe AND 'id' IN (ce, pe) AND (ce IN ('no', 'code') OR pe IN ('no', 'code')) AS unlike, cs = child AND child <> parent AS own
+    FROM (SELECT *, regexp_replace(child_key, '_(id|code|key|no|num)$', '') AS cs, regexp_replace(parent_key, '_(id|code|key|no|num)$', '') AS ps,
+        regexp_extract(child_key, '_(id|code|key|no|num)$', 1) AS ce, regexp_extract(parent_key, '_(id|code|key|no|num)$', 1) AS pe
+      FROM (VALUES {}) AS v(child, child_key, parent, parent_key)))"""
 
 
-@query("E2_verdicts", f"""WITH e AS ({_evidence_sql()}), n(child, child_key, parent, parent_key, named) AS (VALUES {_NAMED})
+def named_sql(candidates) -> str:
+    return NAMED_SQL.replace("{}", ", ".join(str(tuple(c)) for c in candidates))
+
+
+@query("E2_verdicts", f"""WITH e AS ({_evidence_sql()}), n AS ({named_sql(CANDIDATES)})
   SELECT child, child_key, parent, parent_key, CASE WHEN child_distinct < 3 THEN 'drop' WHEN overlap >= 60 AND parent_unique AND named THEN 'verified' WHEN overlap >= 20 THEN 'candidate' ELSE 'drop' END AS status FROM e JOIN n USING (child, child_key, parent, parent_key)""")
 def _(t):
     return _judged(t).select("child", "child_key", "parent", "parent_key", "status")
@@ -121,7 +133,7 @@ def _(t):
     return kept.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("p_name").alias("n_keys")).withColumn("now_unique", F.col("n_rows") == F.col("n_keys"))
 
 
-@query("E13_triage", f"""WITH e AS ({_evidence_sql()}), n(child, child_key, parent, parent_key, named) AS (VALUES {_NAMED})
+@query("E13_triage", f"""WITH e AS ({_evidence_sql()}), n AS ({named_sql(CANDIDATES)})
   SELECT child, child_key, parent, parent_key, CASE WHEN overlap < 20 OR NOT parent_unique AND NOT named THEN 'reject' WHEN child_distinct < 3 THEN 'defer' ELSE 'review' END AS decision,
   round(overlap * CASE WHEN parent_unique THEN 1.0 ELSE 0.6 END * CASE WHEN named THEN 1.0 ELSE 0.7 END * CASE WHEN child_distinct >= 3 THEN 1.0 ELSE 0.5 END, 2) AS priority FROM e JOIN n USING (child, child_key, parent, parent_key)""")
 def _(t):
@@ -314,7 +326,7 @@ def _(t):
     return d.select("s", "p", F.array_join("removed", ",").alias("removed"), F.array_join("added", ",").alias("added"))
 
 
-@query("A27_confusion", f"""WITH e AS ({_evidence_sql()}), n(child, child_key, parent, parent_key, named) AS (VALUES {_NAMED}), l AS (SELECT child_key = parent_key AND child <> parent AS truth, child_distinct >= 3 AND overlap >= 60 AND parent_unique AND named AS claim FROM e JOIN n USING (child, child_key, parent, parent_key)),
+@query("A27_confusion", f"""WITH e AS ({_evidence_sql()}), n AS ({named_sql(CANDIDATES)}), l AS (SELECT child_key = parent_key AND child <> parent AS truth, child_distinct >= 3 AND overlap >= 60 AND parent_unique AND named AS claim FROM e JOIN n USING (child, child_key, parent, parent_key)),
   c AS (SELECT count(*) FILTER (WHERE truth AND claim) AS tp, count(*) FILTER (WHERE NOT truth AND claim) AS fp, count(*) FILTER (WHERE truth AND NOT claim) AS fn, count(*) FILTER (WHERE NOT truth AND NOT claim) AS tn FROM l)
   SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 4) AS leak_rate FROM c""")
 def _(t):

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.evidence import _ALIASED, CANDIDATES, RELATIONS, ontology
+from plumbline.catalog.evidence import _ALIASED, CANDIDATES, RELATIONS, named_sql, ontology
 from plumbline.functions import names, wording
 from plumbline.operators import keys, metrics, profile, results, witness
 from plumbline.plans import answers, gates, mining
@@ -139,14 +139,17 @@ def _(t):
     return _frame(t, [(results.vote([[], [(1, "a")], [(1.0, "a")], []]), results.jaccard({"a", "b", "c"}, {"b", "c", "d"}))], "winner int, stability double")
 
 
-@query("E5_names", _values([(ct, ck, pt, pk, names.compatible(ck, pt, pk, ct)) for ct, ck, pt, pk in CANDIDATES], "child, child_key, parent, parent_key, named"))
+_NAMES = [*CANDIDATES, ("orders", "billing_customer_id", "customer", "customer_id"), ("orders", "order_id", "customer", "customer_id"), ("invoice", "line_no", "production_line", "line_id"), ("invoice", "invoice_id", "payment", "payment_id"), ("account", "zone_code", "zone", "zone_id"), ("plan", "meta_zone_sn_code", "zone", "zone_sn_code")]
+
+
+@query("E5_names", named_sql(_NAMES))
 def _(t):
-    return _frame(t, [(*c, names.compatible(c[1], c[2], c[3], c[0])) for c in CANDIDATES], "child string, child_key string, parent string, parent_key string, named boolean")
+    return _frame(t, [(*c, names.compatible(c[1], c[2], c[3], c[0])) for c in _NAMES], "child string, child_key string, parent string, parent_key string, named boolean")
 
 
 @query("E7_candidates")
 def _(t):
-    found = names.candidates({n: list(c.values()) for n, c in _ALIASED.items()}, {"customer": ["customer_id"], "nation": ["nation_id"], "region": ["region_id"], "part": ["part_id"]})
+    found = names.candidates({n: list(c.values()) for n, c in _ALIASED.items()}, {"customer": ["customer_id"], "nation": ["nation_id"], "region": ["region_id"], "part": ["part_id"]})[0]
     return _frame(t, found, "child string, child_key string, parent string, parent_key string")
 
 

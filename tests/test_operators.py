@@ -169,6 +169,29 @@ def test_names():
     assert names.singular("categories") == "category" and names.families(["ods_order_bak", "dwd_order", "x_20240101"]) == {"order": ["ods_order_bak", "dwd_order"], "x": ["x_20240101"]}
 
 
+def test_names_as_words():
+    ok, same = names.compatible, names.same_things
+    assert names.read("owner_entNo") == names.Name(("owner", "enterprise"), "no", ("owner", "ent", "no")) and names.read("orderid").words == ("order",)
+    assert same("customer_id", "CustomerId") and same("prod_id", "product_id") and same("id", "ID") and same("owner_entNo", "ent_no") and same("pm_zone_sn", "zone_sn")
+    for a, b in [("ReportsTo", "EmployeeId"), ("order_id", "customer_id"), ("order_id", "id"), ("alarm_type", "type_code"), ("x_status", "status"), ("type_code", "dev_type_code"), ("dev_no", "sys_no"), ("a,b", "a")]:
+        assert not same(a, b), (a, b)
+    assert same("prod_id,ver", "product_id,ver") and not same("order_id,qty", "order_id,customer_id")
+    for c, p in [("customer_id,line_no", "id,unrelated"), ("customer_id,line_no", "id"), ("customer_id,", "customer_id,"), ("id,id", "id,id"), ("", "")]:
+        assert not ok(c, "customers", p), (c, p)
+    assert not ok("order_id", "", "customer_id") and ok("dev_group_id", "meta__meta_device_group", "id") and ok("business_date", "dim_calendar", "calendar_date", "fact_lead")
+    assert not ok("line_id", "fact_cycle_count_line", "cycle_count_line_id", "dim_equipment") and not ok("cycle_count_id", "fact_cycle_count_line", "cycle_count_line_id", "fact_cycle_count")
+    assert not ok("supplier_id", "fact_supplier_eval", "eval_id", "fact_x") and not ok("parent_id", "categories", "category_id", "products") and ok("parent_id", "categories", "category_id", "categories")
+    assert ok("manager_id", "employees", "employee_id", "orders") and names.roles("ReportsTo")[0] and names.roles("parent_part") == (True, ()) and names.roles("amount") == (False, ())
+    assert [names.score("customer_id", t, p) for t, p in (("customer", "id"), ("customers", "id"), ("unrelated", "other_id"))] == [2, 1, 0]
+
+
+def test_name_candidates():
+    schema, keys = {"orders": ["customer_id", "ref", "order_id"], "notes": ["owner_type", "owner_id"]}, {"customers": ["id", "customer_id"]}
+    found, left = names.candidates(schema, keys, {("orders", "ref"): "see customers"}, most=2)
+    assert found[0] == ("orders", "customer_id", "customers", "customer_id") and (len(found), left) == (2, 2)
+    assert names.polymorphic(schema) == [("notes", "owner_id", "owner_type")]
+
+
 def test_wording():
     assert wording.chinese_number("三万五千") == 35000 and wording.chinese_number("1.2亿") == 1.2e8 and wording.chinese_number("十二") == 12 and wording.chinese_number("abc") is None
     assert wording.date_range("2024年2月", date(2025, 1, 1)) == (date(2024, 2, 1), date(2024, 2, 29))
