@@ -51,27 +51,58 @@ _tables: dict[str, tuple[SparkSession, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share. Without one named, a temporary folder serves local sessions, and only those."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: later plans start from files, not from its lineage."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/plumbline-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+def _read(spark: SparkSession, schema, path: str) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
     _tables[path] = (spark, path)
     out._plumbline_path = path
+    return out
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: later plans start from files, not from its lineage."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/plumbline-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    out = _read(spark, df.schema, path)
     release(spark)
     return out
 
 
+def written_apart(df: DataFrame, name: str, condition: str) -> tuple[DataFrame, DataFrame]:
+    """As ``written``, of packed rows in two tables: where the condition is true, and where not. Each can be dropped."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/plumbline-{name}-{uuid.uuid4().hex}"
+    df.withColumn("_yes", F.expr(condition)).write.partitionBy("_yes").option("compression", "uncompressed").parquet(path)
+    jvm, found = spark.sparkContext._jvm, []
+    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for side in ("true", "false"):
+        there = files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_yes={side}"))
+        found.append(_read(spark, df.schema, f"{path}/_yes={side}") if there else spark.createDataFrame([], df.schema))
+    release(spark)
+    return found[0], found[1]
+
+
+def ranges_for(df: DataFrame, column: str, each: int) -> int:
+    """How many ranges hold about ``each`` bytes of a column's texts: counted, whatever the session's settings."""
+    size = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return ranges_of(df.sparkSession, size, each)
+
+
+def ranges_of(spark: SparkSession, size: int, each: int) -> int:
+    """At least one range for each core, and never fewer than keep a range within its bytes."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // each))
+
+
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; its cleaner acts on what the JVM collects."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -90,13 +121,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clear() -> None:
+    """Deletes all tables of ``written``: for long sessions, once the results that read them are stored."""
+    while _tables:
+        _delete(*_tables.popitem()[1])
+
+
 @atexit.register
 def _drop_all() -> None:
-    for spark, path in list(_tables.values()):
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended before; its files stay
-            return
+    try:
+        clear()
+    except Exception:  # the session has ended before; its files stay
+        return
 
 
 def trim() -> None:

@@ -31,28 +31,38 @@ def discounts(c):
 
 def brute(rows):
     learnt = [tokens(t) for _, t, train in rows if train]
-    one, two = Counter(w for x in learnt for w in x), defaultdict(Counter)
+    grams = [Counter(), Counter(), Counter()]  # tuples of one, two and three words
+    follow = [defaultdict(Counter), defaultdict(Counter)]
     for x in learnt:
-        for h, w in zip(["\0begin", *x], x):
-            two[h][w] += 1
-    n, d1, d2 = sum(one.values()), discounts(one), discounts({(h, w): c for h, f in two.items() for w, c in f.items()})
+        y = ["\0begin", "\0begin", *x]
+        for i in range(2, len(y)):
+            for k in range(3):
+                grams[k][tuple(y[i - k : i + 1])] += 1
+            follow[0][y[i - 1 : i][0],][y[i]] += 1
+            follow[1][y[i - 2], y[i - 1]][y[i]] += 1
+    one, d = grams[0], [discounts(g) for g in grams]
+    n = sum(one.values())
     kept = lambda c, d: (d[c] if c < len(d) else 1) * c
-    left1 = sum(c - kept(c, d1) for c in one.values())
-    p1 = lambda w: (kept(one[w], d1) if one[w] else left1 or 1) / (n + (left1 <= 0)) if n else 1.0
+    left1 = sum(c - kept(c, d[0]) for c in one.values())
 
     def p(h, w):
-        f = two.get(h)
+        """P(w | h), recursively; h: a tuple of up to two words."""
+        if not h:
+            return (kept(one[w,], d[0]) if one[w,] else left1 or 1) / (n + (left1 <= 0)) if n else 1.0
+        f = follow[len(h) - 1].get(h)
         if not f:
-            return p1(w)
-        left = sum(c - kept(c, d2) for c in f.values())
+            return p(h[1:], w)
+        left = sum(c - kept(c, d[len(h)]) for c in f.values())
         whole = sum(f.values()) + (left <= 0)
-        return kept(f[w], d2) / whole if f[w] else (left or 1) / whole / (1 - sum(map(p1, f))) * p1(w)
+        return kept(f[w], d[len(h)]) / whole if f[w] else (left or 1) / whole / (1 - sum(p(h[1:], v) for v in f)) * p(h[1:], w)
 
     out = []
     for doc, t, train in rows:
         x = tokens(t)
-        out.append((doc, not train, len(x), sum(one[w] > 0 for w in x), n, sum(math.log10((one[w] + 1) / (n + len(one) + 1)) for w in x), sum(math.log10(p(h, w)) for h, w in zip(["\0begin", *x], x))))
-    return out, (one, two, p)
+        y = ["\0begin", "\0begin", *x]
+        logs = sum(math.log10(p((y[i], y[i + 1]), y[i + 2])) for i in range(len(x)))
+        out.append((doc, not train, len(x), sum(one[w,] > 0 for w in x), n, sum(math.log10((one[w,] + 1) / (n + len(one) + 1)) for w in x), logs))
+    return out, (one, follow, p)
 
 
 def sample(n=120):
@@ -62,31 +72,53 @@ def sample(n=120):
     return rows + [(1000, None, True), (1001, "", False), (1002, "never seen words", False), (3, "w1 W1\tw1", True), (None, "w2", True)]
 
 
-@pytest.mark.parametrize("size", [16 << 20, 300])
-def test_against_brute_force(spark, size, monkeypatch):
+def same(got, rows):
+    order = lambda r: (repr(r[0]), r[2], r[5])
+    got, want = sorted(map(tuple, got), key=order), sorted(brute(rows)[0], key=order)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want):
+        assert g[5:] == pytest.approx(w[5:])
+
+
+@pytest.mark.parametrize("size, ranges", [(16 << 20, 32 << 20), (300, 500)])
+def test_against_brute_force(spark, size, ranges):
     rows = sample()
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, train boolean, score double").repartition(3)
-    got = sorted((tuple(r) for r in katz.score(df, F.col("train"), chunk_bytes=size).collect()), key=repr)
-    want, _ = brute(rows)
-    want.sort(key=repr)
-    assert [g[:5] for g in sorted(got, key=lambda r: (repr(r[0]), r[2]))] == [w[:5] for w in sorted(want, key=lambda r: (repr(r[0]), r[2]))]
-    for g, w in zip(sorted(got, key=lambda r: (repr(r[0]), r[2])), sorted(want, key=lambda r: (repr(r[0]), r[2]))):
-        assert g[5:] == pytest.approx(w[5:])
+    same(katz.score(df, F.col("train"), chunk_bytes=size, range_bytes=ranges).collect(), rows)
 
 
-def test_hot_histories_are_dealt_out_and_add_up(spark):
-    rows = [(i, "the " + " the ".join(f"x{(i * 7 + k) % 50}" for k in range(40)), i % 7 != 2) for i in range(60)]
+def test_long_counts_and_text_ids(spark):
+    """Pairs and triples seen over five times, histories whose types are all so, and ids that are no numbers."""
+    rows = sample(40) + [(5000 + i, "a b c d a b c e", i % 7 != 2) for i in range(30)] + [(6000, "a b d c", False), (6001, "c d e b", True)]
+    rows = [(f"id {r[0]}", *r[1:]) for r in rows]
+    same(katz.score(spark.createDataFrame(rows, "doc_id string, text string, train boolean"), F.col("train"), chunk_bytes=900).collect(), rows)
+
+
+@pytest.mark.parametrize("hot", ["the", "the of"])
+def test_hot_histories_are_dealt_out_and_add_up(spark, hot):
+    rows = [(i, f"{hot} " + f" {hot} ".join(f"x{(i * 7 + k) % 50}" for k in range(70)), i % 7 != 2) for i in range(60)]
+    rows += [(100 + i, f"y{i} {hot} x{i} {hot} never", i % 2 > 0) for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
-    got = {r.doc_id: r.score for r in katz.score(df, F.col("train"), parts=5, chunk_bytes=2000).collect()}
-    want, _ = brute(rows)
-    assert all(got[w[0]] == pytest.approx(w[6]) for w in want)
+    same(katz.score(df, F.col("train"), chunk_bytes=2000, range_bytes=3000).collect(), rows)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_a_stored_model_scores_other_documents(spark, hot):
+    rows = [(i, "the " + " the ".join(f"x{(i * 7 + k) % 50}" for k in range(70)), True) for i in range(60)] if hot else sample()
+    new = [(i, t, False) for i, t in enumerate(["w1 w2 w3", "w1 unheard w2", "", None, "the x1 the x2 x3", "w0 w0 w1 w0 w0 w1"])]
+    learnt, asked = (spark.createDataFrame([r[:2] for r in x], "doc_id long, text string") for x in ([r for r in rows if r[2]], new))
+    model = katz.fit(learnt, chunk_bytes=2000, range_bytes=3000 if hot else 32 << 20)
+    found = katz.apply(asked, model).collect()
+    want = {w[0]: w for w in brute([*rows, *((1000 + i, t, train) for i, t, train in new)])[0]}
+    assert {r.doc_id: (r.n_tokens, r.n_known) for r in found} == {i: want[1000 + i][2:4] for i, *_ in new}
+    assert all(r.score == pytest.approx(want[1000 + r.doc_id][6]) for r in found)
 
 
 def test_probabilities_of_a_history_add_up_to_one():
     rows = sample()
-    _, (one, two, p) = brute(rows)
-    for h in ["\0begin", *list(two)[:20]]:
-        assert sum(p(h, w) for w in one) + p(h, "\0unknown") == pytest.approx(1)
+    _, (one, follow, p) = brute(rows)
+    for h in [*list(follow[0])[:10], *list(follow[1])[:10]]:
+        assert sum(p(h, w) for w, in one) + p(h, "\0unknown") == pytest.approx(1)
 
 
 def test_nothing_to_learn_from(spark):
