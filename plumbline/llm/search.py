@@ -1,137 +1,170 @@
 """Exact top-k by inner product with MaxScore.
 
 Every dimension gives two terms, its positive and its negative values, each with a postings list of the
-vectors that have it. For a query, the term of its component's own sign adds to a score, at most
-|q| * (the list's largest |x|); the other sign's term can only take away. In a shard, terms are sorted by
-that bound. Those at the low end, whose bounds add up to no more than the k-th best score so far, are
-non-essential: a vector in no other list cannot enter. The essential lists are traversed, largest bound
-first, and a vector stays a candidate while its partial score plus the bounds still to come reaches that
-score; only candidates are looked up in what remains. Shards' best k are merged, ties to smaller ids.
+vectors that have it, in order of ids. For a query, the term of its component's own sign adds to a score, at most
+|q| * (the list's largest |x|); the other sign's term can only take away. A shard is gone through in stretches of
+ids. Before each one, terms are parted by the k-th best score so far: those at the low end whose bounds add up to no
+more than it are non-essential, for a vector in no other list cannot enter. The essential lists are traversed and
+their contributions accumulated; then the other lists are probed for the vectors found, largest bound first, and a vector
+drops out once its partial score plus the bounds still to come cannot reach the k-th best. What is found raises the k-th best
+score, so that fewer terms are essential in the next stretch. Shards' best are merged, ties to smaller ids.
 
 Components x become floor(256 * x) as integers. Sums of those within +-2^27 fit 64 bits; vectors with a larger
-one are scored apart, in integers of any size, and a score among the best that 64 bits do not hold is an error
-as in SQL. Vectors that
-are null or have a null or non-finite component take no part. Shorter vectors count as ended by zeros. Rows
-that repeat a vec_id are one vector, the smallest embedding of them. Fewer than k candidates: all of them.
+one go through the same lists in integers of any size, and a score among the best that 64 bits do not hold is an error
+as in SQL. Vectors that are null or have a null or non-finite component take no part. Shorter vectors count as ended by
+zeros. Every row is a vector of its own, also where rows share a vec_id or have none (these come last among
+ties); a query leaves out its own row only. Fewer than k candidates: all of them.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from dataclasses import dataclass
 from decimal import Decimal
-from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import written
+
 SHARD_ROWS, QUERY_ROWS, _LIMIT = 16_384, 4_096, float(1 << 27)
-_STEP = 16  # terms whose contributions are added before candidates are thinned out again
+#: Rows of the first stretch, and how much longer each next one is.
+_FIRST, _GROWS = 512, 4
 
 
 def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and v, its integer components, of each vector that takes part; if one is beyond the limit, v is null and
+    """vec_id and v, its integer components, of each row that takes part; if one is beyond the limit, v is null and
     wide has them times ``scale`` without the floor."""
     scaled = F.transform("embedding", lambda x: x.cast("double") * scale)
     beyond = F.exists(scaled, lambda x: F.abs(x) > _LIMIT)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return (
-        embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad))
-        .groupBy("vec_id")
-        .agg(F.min("embedding").alias("embedding"))
-        .select("vec_id", F.when(~beyond, F.transform(scaled, lambda x: F.floor(x).cast("int"))).alias("v"), F.when(beyond, scaled).alias("wide"))
-    )
-
-
-def _matrix(rows: pd.DataFrame, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
-    for i, v in enumerate(rows["v"]):
-        out[i, : len(v)] = v
+    rows = embeddings.where(F.col("embedding").isNotNull() & ~F.exists("embedding", bad))
+    return rows.select("vec_id", F.when(~beyond, F.transform(scaled, lambda x: F.floor(x).cast("int"))).alias("v"), F.when(beyond, scaled).alias("wide"))
+
+
+def _vectors(rows: pd.DataFrame, width: int, kind) -> np.ndarray:
+    out = np.zeros((len(rows), width), kind)
+    for i, (v, wide) in enumerate(zip(rows["v"], rows["wide"], strict=True)):
+        own = v if v is not None else [int(x) for x in np.floor(wide)]
+        out[i, : len(own)] = [int(x) for x in own] if kind is object else own
     return out
 
 
-def _exact(asked: pd.DataFrame, rows: pd.DataFrame) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of all pairs, in Python's integers."""
-    whole = lambda df: [(int(i), [int(x) for x in (v if v is not None else np.floor(w))]) for i, v, w in zip(df["vec_id"], df["v"], df["wide"], strict=True)]
-    right = whole(rows)
-    return [(qi, i, sum(a * b for a, b in zip(q, v, strict=False))) for qi, q in whole(asked) for i, v in right if i != qi]
-
-
-def best(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of each query's best k in one shard, and ties with the last of them.
-
-    ``ids`` ascend, and so do the positions in all postings lists."""
-    top = {+1: np.maximum(x, 0).max(axis=0, initial=0), -1: np.maximum(-x, 0).max(axis=0, initial=0)}
-    lists = {s: [np.flatnonzero(s * x[:, d] > 0) for d in range(x.shape[1])] for s in (+1, -1)}
-    columns = np.ascontiguousarray(x.T)
-    start = np.linspace(0, len(ids) - 1, min(len(ids), 64 * k)).astype(np.int64) if len(ids) else np.empty(0, np.int64)
-    small = queries @ x[start].T if len(ids) else np.zeros((len(queries), 0), np.int64)
-    out = []
-    for qi, q in enumerate(queries):
-        me = ids[start] != query_ids[qi]
-        seen = small[qi][me]
-        least = int(np.partition(seen, len(seen) - k)[len(seen) - k]) if len(seen) >= k else None  # a k-th best so far
-        used = np.flatnonzero(q)
-        sign = np.where(q[used] > 0, 1, -1)
-        bound = np.array([abs(int(q[d])) * int(top[s][d]) for d, s in zip(used, sign, strict=True)], np.int64)
-        order = np.argsort(-bound, kind="stable")
-        used, sign, bound = used[order], sign[order], bound[order]
-        rest = np.append(np.cumsum(bound[::-1])[::-1], 0)  # of this term and all after it
-        essential = int(np.searchsorted(-rest, -least, side="right")) if least is not None and least > 0 else len(used)
-        if least is not None and least > 0:
-            found = np.zeros(len(ids), bool)
-            for d, s in zip(used[:essential], sign[:essential], strict=True):
-                found[lists[s][d]] = True
-                if found.all():
-                    break
+@dataclass
+class Postings:
+    """A term's list: positions of vectors, ascending, their values, where stretches begin, and the largest |value|."""
+
+    at: np.ndarray
+    value: np.ndarray
+    cuts: np.ndarray
+    top: int
+
+    @staticmethod
+    def of(column: np.ndarray, sign: int, edges: np.ndarray) -> Postings:
+        at = np.flatnonzero(column * sign > 0)
+        value = column[at]
+        return Postings(at, value, np.searchsorted(at, edges), max(map(abs, (value.min(), value.max()))) if len(at) else 0)
+
+    def stretch(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.cuts[s], self.cuts[s + 1])
+        return self.at[own], self.value[own]
+
+
+class Shard:
+    """Postings lists of a shard's vectors, whose ids ascend."""
+
+    def __init__(self, x: np.ndarray, first: int = _FIRST, grows: int = _GROWS):
+        edges, step = [0], first
+        while edges[-1] < len(x):
+            edges.append(min(len(x), edges[-1] + step))
+            step *= grows
+        self.edges, self.kind = np.array(edges), x.dtype
+        self.lists = {s: [Postings.of(x[:, d], s, self.edges) for d in range(x.shape[1])] for s in (1, -1)}
+
+    def best(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of a query's k best, best first, ties by position."""
+        terms = [(abs(int(c)) * int(self.lists[s][d].top), d, s, c) for d, c in enumerate(q) if c for s in (1 if c > 0 else -1,)]
+        terms.sort(key=lambda t: (-t[0], t[1]))
+        rest = [0] * (len(terms) + 1)  # bounds of this term and all after it
+        for i in range(len(terms) - 1, -1, -1):
+            rest[i] = rest[i + 1] + terms[i][0]
+        at, score = np.empty(0, np.int64), np.empty(0, self.kind)
+        for s in range(len(self.edges) - 1):
+            low, high = int(self.edges[s]), int(self.edges[s + 1])
+            least = score[-1] if len(score) == k else None  # the k-th best so far; later positions lose ties
+            if least is None or least < 0:  # also vectors in no list, or with a negative score, may be among the best
+                essential = len(terms)
+            else:
+                essential = next(i for i, bound in enumerate(rest) if bound <= least)
+            partial, found = np.zeros(high - low, self.kind), np.full(high - low, least is None or least < 0)
+            for _, d, sign, c in terms[:essential]:
+                own, value = self.lists[sign][d].stretch(s)
+                partial[own - low] += c * value
+                found[own - low] = True
             live = np.flatnonzero(found)
-        else:  # also vectors in no list, or with a negative score, may be among the best
-            live = np.arange(len(ids))
-        live = live[ids[live] != query_ids[qi]]
-        score = np.zeros(len(live), np.int64)
-        for at in range(0, len(used), _STEP):
-            for d in used[at : at + _STEP]:
-                score += q[d] * columns[d][live]
-            if least is not None:
-                ok = score + rest[min(at + _STEP, len(used))] >= least
-                if not ok.all():
-                    live, score = live[ok], score[ok]
-        if len(live) > k:
-            least = int(np.partition(score, len(score) - k)[len(score) - k])
-            ok = score >= least
-            live, score = live[ok], score[ok]
-        pick = np.lexsort((ids[live], -score))[:k]
-        out += [(int(query_ids[qi]), int(ids[live[p]]), int(score[p])) for p in pick]
+            partial = partial[live]
+            lists = [(d, -sign, c, essential) for _, d, sign, c in terms[:essential]]  # these can only take away
+            lists += [(d, x, c, i) for i, (_, d, sign, c) in enumerate(terms[essential:], essential) for x in (-sign, sign)]
+            for d, sign, c, coming in lists:
+                if least is not None and not (ok := partial + rest[coming] > least).all():
+                    live, partial = live[ok], partial[ok]
+                if not len(live):
+                    break
+                own, value = self.lists[sign][d].stretch(s)
+                if len(own):
+                    place = np.minimum(np.searchsorted(own, live + low), len(own) - 1)
+                    partial = partial + np.where(own[place] == live + low, c * value[place], 0)
+            at, score = np.concatenate([at, live + low]), np.concatenate([score, partial])
+            order = np.lexsort((at, -score))[:k] if self.kind != object else np.array(sorted(range(len(at)), key=lambda i: (-score[i], at[i]))[:k], np.int64)
+            at, score = at[order], score[order]
+        return at, score
+
+
+_MOST = 10**38 - 1  # what a decimal holds; beyond 64 bits a score among the best is an error anyway
+_FOUND = "query long, query_id long, copies long, vec_id long, score decimal(38, 0), mine boolean"
+
+
+def _search(asked: pd.DataFrame, rows: pd.DataFrame, k: int, kind) -> pd.DataFrame:
+    """Each query's k best of the rows; mine: whether a row is like the query's own."""
+    width = max(len(x) for df in (asked, rows) for c in ("v", "wide") for x in df[c] if x is not None)
+    rows = rows.sort_values("vec_id", na_position="last", kind="stable")
+    shard, ids, vectors = Shard(_vectors(rows, width, kind)), rows["vec_id"].array, _vectors(asked, width, kind)
+    best = [shard.best(q, k) for q in vectors]
+    own = [sum(int(x) * int(x) for x in q) for q in vectors]
+    out = asked.loc[asked.index.repeat([len(at) for at, _ in best]), ["query", "vec_id", "copies"]].rename(columns={"vec_id": "query_id"}).reset_index(drop=True)
+    out["vec_id"] = ids[np.concatenate([at for at, _ in best])]
+    out["score"] = pd.Series([Decimal(max(-_MOST, min(_MOST, int(x)))) for _, score in best for x in score], dtype=object)
+    like = [int(x) == mine for (_, score), mine in zip(best, own, strict=True) for x in score]
+    out["mine"] = np.array(like, bool) & ((out["vec_id"] == out["query_id"]).fillna(False) | (out["vec_id"].isna() & out["query_id"].isna())).to_numpy(bool)
     return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id and score; ``vectors`` and ``queries`` are of ``quantised``.
+    """query_id, rank, vec_id and score; ``vectors`` and ``queries``, some of them, are of ``quantised``.
 
     A grid: vectors in shards and queries in blocks of bounded size, each cell a task's work. Vectors are
-    sent once for each block of queries, queries once for each shard.
-    """
-    shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((vectors, shard_rows), (queries, query_rows)))
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    sent once for each block of queries, queries once for each shard. Equal query rows are asked once. One more than k
+    is sought, with the query's own row among the candidates, which then is taken out where it is found."""
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select(part(shards).cast("int").alias("s"), each(blocks).alias("b"), "vec_id", "v", "wide")
-    right = queries.select(each(shards).alias("s"), part(blocks).cast("int").alias("b"), "vec_id", "v", "wide")
+    asked = queries.groupBy("vec_id", "v", "wide").agg(F.count(F.lit(1)).alias("copies")).withColumn("query", F.monotonically_increasing_id())
+    asked = written(asked, "maxscore-queries")
+    shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((vectors, shard_rows), (asked, query_rows)))
+    anywhere = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")  # ids and vectors may repeat
+    left = vectors.select(anywhere.alias("s"), each(blocks).alias("b"), F.col("vec_id").cast("long"), "v", "wide")
+    right = asked.select(each(shards).alias("s"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("b"), "query", F.col("vec_id").cast("long"), "copies", "v", "wide")
 
     def cell(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        plain, big = (rows[rows["wide"].isna()].sort_values("vec_id"), rows[rows["wide"].notna()])
-        asked_plain, asked_big = asked[asked["wide"].isna()], asked[asked["wide"].notna()]
-        found = []
-        if len(plain) and len(asked_plain):
-            width = max(max(map(len, plain["v"])), max(map(len, asked_plain["v"])))
-            found = best(_matrix(asked_plain, width), asked_plain["vec_id"].to_numpy(), _matrix(plain, width), plain["vec_id"].to_numpy(), k)
-        if len(big) or len(asked_big):
-            each_query = defaultdict(list)
-            for x in [*found, *_exact(asked_plain, big), *_exact(asked_big, rows)]:
-                each_query[x[0]].append(x)
-            found = [x for own in each_query.values() for x in nsmallest(k, own, key=lambda x: (-x[2], x[1]))]
-        return pd.DataFrame({"query_id": np.array([x[0] for x in found], np.int64), "vec_id": np.array([x[1] for x in found], np.int64), "score": pd.Series([Decimal(x[2]) for x in found], dtype=object)})
-
-    cells = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(cell, "query_id long, vec_id long, score decimal(38, 0)")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+        rows["vec_id"], asked["vec_id"] = rows["vec_id"].astype("Int64"), asked["vec_id"].astype("Int64")
+        plain, big, asked_plain, asked_big = (df[df["wide"].isna() == yes] for df in (rows, asked) for yes in (True, False))
+        work = [(asked_plain, plain, np.int64), (asked_plain, big, object), (asked_big, rows, object)]
+        found = [_search(a, b, k + 1, kind) for a, b, kind in work if len(a) and len(b)]
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("query", "query_id", "copies", "vec_id", "score", "mine")})
+
+    cells = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(cell, _FOUND)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+    found = cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
+    mine = F.sum(F.col("mine").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = found.withColumn("own", mine).where(~(F.col("mine") & (F.col("own") == 1)))  # rows like the query's own are alike: one of them goes
+    found = found.withColumn("rank", F.col("rank") - F.least(F.col("own"), F.lit(1)).cast("int")).where(F.col("rank") <= k)
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

@@ -1,31 +1,29 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
-from plumbline.llm import search
+import duckdb
+import numpy as np
+import pytest
+
+from plumbline.llm import entries, search
 
 
 def brute(rows, k):
-    import math
-
-    best = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        if i not in best or v < best[i]:
-            best[i] = v
-    vs = {i: [math.floor(256 * x) for x in v] for i, v in best.items()}
-    out = set()
-    for q in vs:
-        scored = sorted((-sum(a * b for a, b in zip(vs[q], v)), i) for i, v in vs.items() if i != q)[:k]
-        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
+    """Every row is a candidate of every other row, whatever their ids."""
+    vs = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = Counter()
+    for n, (q, a) in enumerate(vs):
+        scored = sorted((-sum(x * y for x, y in zip(a, v)), i is None, i or 0) for m, (i, v) in enumerate(vs) if m != n)[:k]
+        out.update((q, r + 1, None if null else i, -s) for r, (s, null, i) in enumerate(scored))
     return out
 
 
 def check(spark, rows, k=3, **sizes):
     v = search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
-    got = [tuple(r) for r in search.top_k(v, v, k, **sizes).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute([r[:2] for r in rows], k)
+    assert Counter(tuple(r) for r in search.top_k(v, v, k, **sizes).collect()) == brute([r[:2] for r in rows], k)
 
 
 def test_against_brute_force_over_a_grid(spark):
@@ -49,6 +47,42 @@ def test_components_beyond_the_limit_are_not_held(spark):
     check(spark, rows, shard_rows=20, query_rows=30)
 
 
+def test_repeated_and_missing_ids_are_rows_of_their_own(spark):
+    r = random.Random(5)
+    vectors = [[r.choice([-0.5, 0.25, 1.0]) for _ in range(4)] for _ in range(25)]
+    rows = [(r.choice([0, 0, 1, 2, 3, None]), r.choice(vectors), 0) for _ in range(150)] + [(7, [3e6, 1.0, 0.0, 0.0], 0)] * 3 + [(7, [2e6, 1.0, 0.0, 0.0], 0)]
+    check(spark, rows, shard_rows=40, query_rows=20)
+    check(spark, [(1, [1.0], 0)] * 4, k=5)
+
+
+@pytest.mark.parametrize("kind", [np.int64, object])
+def test_a_threshold_rises_and_lists_become_non_essential(kind):
+    r = np.random.default_rng(6)
+    x = (r.normal(0, 30, (3000, 24)) * (r.random((3000, 24)) < 0.3) * (r.random(24) ** 4)).astype(int).astype(kind)
+    shard, read = search.Shard(x, first=64), []
+    own = search.Postings.stretch
+    search.Postings.stretch = lambda self, s: read.append((s, len(self.at))) or own(self, s)
+    try:
+        for q in x[:20]:
+            at, score = shard.best(q, 4)
+            want = sorted(range(len(x)), key=lambda i: (-int(sum(q * x[i])), i))[:4]
+            assert list(at) == want and [int(s) for s in score] == [int(sum(q * x[i])) for i in want]
+    finally:
+        search.Postings.stretch = own
+    assert len(read) < 20 * 24 * 2 * (len(shard.edges) - 1)
+
+
+def test_sql_and_query_agree_on_repeated_ids_and_large_components(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(r.randrange(0, 200), [r.gauss(0, 1) for _ in range(6)]) for _ in range(300)] + [(50, [3e6, 1.0]), (51, [2e6, 1.0, 2.0]), (50, [3e6, 1.0]), (None, [1.0] * 6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = Counter(c.execute(f"select query_id, rank, vec_id, score from ({entries.OP2_SQL})").fetchall())
+    assert Counter(tuple(x) for x in entries.op2_maxscore(spark, str(tmp_path)).collect()) == want
+    assert (50, 2, 51, 393216000000065536) in want
+
+
 def test_nothing(spark):
     v = search.quantised(spark.createDataFrame([], "vec_id long, embedding array<double>"))
     assert search.top_k(v, v).count() == 0
