@@ -40,7 +40,7 @@ from xxhash import xxh3_64_intdigest
 from plumbline.llm.common import deltas, drop, pack, ranges_of, release, slices, trim, undeltas, unpack, written_apart
 from plumbline.llm.jaccard import _sliced
 
-CHUNK_BYTES, RANGE_BYTES, LARGEST = 16 << 20, 32 << 20, 5
+CHUNK_BYTES, RANGE_BYTES, LARGEST = 16 << 20, 16 << 20, 5
 #: Hashes that stand for the beginning and the end of a text; words' hashes are larger.
 _BEGIN, _END = 0, 1
 #: The number of all words that training has not seen.
@@ -335,7 +335,8 @@ def _count_ngrams(rows: pa.Table, unigrams: Unigrams, store: bool) -> pa.Table:
     part, out = rows["part"][0].as_py(), []
     if part >= _HOT:  # to be answered once the partial sums are there
         return rows.select(["part", "chunk", "blob"])
-    own = [(c, unpack(b)) for c, b in zip(rows["chunk"].to_pylist(), rows["blob"].to_pylist(), strict=True)]
+    own = [(c, unpack(b.as_buffer())) for c, b in zip(rows["chunk"].to_pylist(), rows["blob"], strict=True)]
+    del rows
     joined = lambda k: np.concatenate([a[k] for _, a in own])
     b_all, b_at = np.unique(np.concatenate([undeltas(a[0]) for _, a in own]), return_inverse=True)
     w_all, w_at = np.unique(np.concatenate([_numbers(a[3], a[1]) for _, a in own]), return_inverse=True)
@@ -346,6 +347,8 @@ def _count_ngrams(rows: pa.Table, unigrams: Unigrams, store: bool) -> pa.Table:
     a_all, a_at = np.unique(np.concatenate([_numbers(a[6], a[5]) for _, a in own]), return_inverse=True)
     t_code, t_at = np.unique(np.repeat(p_at, joined(5)) * len(a_all) + a_at, return_inverse=True)
     del a_at
+    for _, a in own:  # decoded: what is left of them is told by their lengths
+        a[3], a[6] = np.empty(len(a[3]), bool), np.empty(len(a[6]), bool)
     triple = np.bincount(t_at, joined(7), len(t_code)).astype(np.int64)
     t_pair, t_a = np.divmod(t_code, len(a_all))
     del t_code
