@@ -3,7 +3,7 @@
 Every dimension gives two terms, its positive and its negative values, each with a postings list of the
 vectors that have it, in order of ids. For a query, the term of its component's own sign adds to a score, at most
 |q| * (the list's largest |x|); the other sign's term can only take away. A shard is gone through in stretches of
-ids. Before each one, terms are parted by the k-th best score so far: those at the low end whose bounds add up to no
+ids. Before each one, and for each query, terms are parted by the k-th best score so far: those at the low end whose bounds add up to no
 more than it are non-essential, for a vector in no other list cannot enter. The essential lists are traversed and
 their contributions accumulated; then the other lists are probed for the vectors found, largest bound first, and a vector
 drops out once its partial score plus the bounds still to come cannot reach the k-th best. What is found raises the k-th best
@@ -30,7 +30,9 @@ from plumbline.llm.common import written
 
 SHARD_ROWS, QUERY_ROWS, _LIMIT = 16_384, 4_096, float(1 << 27)
 #: Rows of the first stretch, and how much longer each next one is.
-_FIRST, _GROWS = 512, 4
+_FIRST, _GROWS = 1024, 15
+#: Queries that go through a shard together.
+_TOGETHER = 64
 
 
 def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
@@ -82,43 +84,58 @@ class Shard:
         self.edges, self.kind = np.array(edges), x.dtype
         self.lists = {s: [Postings.of(x[:, d], s, self.edges) for d in range(x.shape[1])] for s in (1, -1)}
 
-    def best(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of a query's k best, best first, ties by position."""
-        terms = [(abs(int(c)) * int(self.lists[s][d].top), d, s, c) for d, c in enumerate(q) if c for s in (1 if c > 0 else -1,)]
-        terms.sort(key=lambda t: (-t[0], t[1]))
-        rest = [0] * (len(terms) + 1)  # bounds of this term and all after it
-        for i in range(len(terms) - 1, -1, -1):
-            rest[i] = rest[i + 1] + terms[i][0]
-        at, score = np.empty(0, np.int64), np.empty(0, self.kind)
+    def best(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Positions and scores of each query's k best, best first, ties by position. Queries, some at a time, share the lists' traversal."""
+        return [found for i in range(0, len(queries), _TOGETHER) for found in self._best(queries[i : i + _TOGETHER], k)]
+
+    def _best(self, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, width = q.shape
+        tops = np.array([[self.lists[s][d].top for d in range(width)] for s in (1, -1)], self.kind).reshape(2, width)
+        bound = np.where(q > 0, q * tops[0], -q * tops[1])
+        order = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, order, 1)
+        rest = np.concatenate([np.cumsum(bound[:, ::-1], axis=1)[:, ::-1], np.zeros((n, 1), self.kind)], axis=1)  # bounds of a term and all after it
+        found = [(np.empty(0, np.int64), np.empty(0, self.kind)) for _ in range(n)]
         for s in range(len(self.edges) - 1):
             low, high = int(self.edges[s]), int(self.edges[s + 1])
-            least = score[-1] if len(score) == k else None  # the k-th best so far; later positions lose ties
-            if least is None or least < 0:  # also vectors in no list, or with a negative score, may be among the best
-                essential = len(terms)
-            else:
-                essential = next(i for i, bound in enumerate(rest) if bound <= least)
-            partial, found = np.zeros(high - low, self.kind), np.full(high - low, least is None or least < 0)
-            for _, d, sign, c in terms[:essential]:
-                own, value = self.lists[sign][d].stretch(s)
-                partial[own - low] += c * value
-                found[own - low] = True
-            live = np.flatnonzero(found)
-            partial = partial[live]
-            lists = [(d, -sign, c, essential) for _, d, sign, c in terms[:essential]]  # these can only take away
-            lists += [(d, x, c, i) for i, (_, d, sign, c) in enumerate(terms[essential:], essential) for x in (-sign, sign)]
-            for d, sign, c, coming in lists:
-                if least is not None and not (ok := partial + rest[coming] > least).all():
-                    live, partial = live[ok], partial[ok]
-                if not len(live):
+            # The k-th best so far, to which later positions lose ties. Without it, or with a negative one, vectors in no list may be among the best.
+            least = [score[-1] if len(score) == k and score[-1] >= 0 else None for _, score in found]
+            essential = np.array([width if x is None else int((rest[g] > x).sum()) for g, x in enumerate(least)])
+            chosen = np.zeros((n, width), bool)
+            np.put_along_axis(chosen, order, np.arange(width) < essential[:, None], 1)
+            weight, partial = np.where(chosen, q, 0).astype(self.kind), np.zeros((high - low, n), self.kind)
+            for d in np.flatnonzero(chosen.any(0)):
+                for sign in (1, -1):  # a query's own sign adds to it, and the other, which never makes a candidate, takes away
+                    own, value = self.lists[sign][d].stretch(s)
+                    if len(own):
+                        partial[own - low] += value[:, None] * weight[:, d]
+            partial = np.ascontiguousarray(partial.T)
+            for g in range(n):
+                found[g] = self._settled(q[g], partial[g], order[g], rest[g], int(essential[g]), least[g], found[g], s, k)
+        return found
+
+    def _settled(self, q, partial, order, rest, essential, least, found, s, k):
+        """The best so far and of a stretch, where ``partial`` has what the essential lists add up to."""
+        low, at, score = int(self.edges[s]), *found
+        # Who is in no essential list of the query's sign has nothing above zero here, and so falls short.
+        live = np.arange(len(partial)) if least is None else np.flatnonzero(partial > least - rest[essential])
+        if least is None and len(live) > k and self.kind != object:
+            live = np.flatnonzero(partial >= np.partition(partial, len(partial) - k)[len(partial) - k])
+        sums = partial[live]
+        for i in range(essential, len(order)):
+            d = order[i]
+            for sign in (1, -1) if q[d] < 0 else (-1, 1):  # what takes away first
+                if not len(live) or not q[d]:
                     break
                 own, value = self.lists[sign][d].stretch(s)
                 if len(own):
                     place = np.minimum(np.searchsorted(own, live + low), len(own) - 1)
-                    partial = partial + np.where(own[place] == live + low, c * value[place], 0)
-            at, score = np.concatenate([at, live + low]), np.concatenate([score, partial])
-            order = np.lexsort((at, -score))[:k] if self.kind != object else np.array(sorted(range(len(at)), key=lambda i: (-score[i], at[i]))[:k], np.int64)
-            at, score = at[order], score[order]
-        return at, score
+                    sums = sums + np.where(own[place] == live + low, q[d] * value[place], 0)
+                ok = sums > least - rest[i + ((sign > 0) == (q[d] > 0))]  # of this term's own list too once it is probed
+                live, sums = live[ok], sums[ok]
+        at, score = np.concatenate([at, live + low]), np.concatenate([score, sums])
+        first = np.lexsort((at, -score))[:k] if self.kind != object else np.array(sorted(range(len(at)), key=lambda i: (-score[i], at[i]))[:k], np.int64)
+        return at[first], score[first]
 
 
 _MOST = 10**38 - 1  # what a decimal holds; beyond 64 bits a score among the best is an error anyway
@@ -130,7 +147,7 @@ def _search(asked: pd.DataFrame, rows: pd.DataFrame, k: int, kind) -> pd.DataFra
     width = max(len(x) for df in (asked, rows) for c in ("v", "wide") for x in df[c] if x is not None)
     rows = rows.sort_values("vec_id", na_position="last", kind="stable")
     shard, ids, vectors = Shard(_vectors(rows, width, kind)), rows["vec_id"].array, _vectors(asked, width, kind)
-    best = [shard.best(q, k) for q in vectors]
+    best = shard.best(vectors, k)
     own = [sum(int(x) * int(x) for x in q) for q in vectors]
     out = asked.loc[asked.index.repeat([len(at) for at, _ in best]), ["query", "vec_id", "copies"]].rename(columns={"vec_id": "query_id"}).reset_index(drop=True)
     out["vec_id"] = ids[np.concatenate([at for at, _ in best])]

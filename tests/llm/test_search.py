@@ -59,17 +59,17 @@ def test_repeated_and_missing_ids_are_rows_of_their_own(spark):
 def test_a_threshold_rises_and_lists_become_non_essential(kind):
     r = np.random.default_rng(6)
     x = (r.normal(0, 30, (3000, 24)) * (r.random((3000, 24)) < 0.3) * (r.random(24) ** 4)).astype(int).astype(kind)
-    shard, read = search.Shard(x, first=64), []
-    own = search.Postings.stretch
-    search.Postings.stretch = lambda self, s: read.append((s, len(self.at))) or own(self, s)
+    shard, essential = search.Shard(x, first=64, grows=4), []
+    settled = search.Shard._settled
+    search.Shard._settled = lambda self, q, partial, order, rest, n, *more: essential.append(n) or settled(self, q, partial, order, rest, n, *more)
     try:
-        for q in x[:20]:
-            at, score = shard.best(q, 4)
+        for q, (at, score) in zip(x[:90], shard.best(x[:90], 4), strict=True):
             want = sorted(range(len(x)), key=lambda i: (-int(sum(q * x[i])), i))[:4]
             assert list(at) == want and [int(s) for s in score] == [int(sum(q * x[i])) for i in want]
     finally:
-        search.Postings.stretch = own
-    assert len(read) < 20 * 24 * 2 * (len(shard.edges) - 1)
+        search.Shard._settled = settled
+    first, last = essential[:64], essential[-26:]
+    assert all(n == 24 for n in first) and np.mean(last) < 10  # the threshold has risen
 
 
 def test_sql_and_query_agree_on_repeated_ids_and_large_components(spark, tmp_path):
