@@ -179,6 +179,14 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; sorting is many times faster than the hash table of ``np.unique``."""
+    a = np.sort(a)
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    return a[new]
+
+
 def deltas(a: np.ndarray) -> np.ndarray:
     """Differences of a sorted array, the first from zero."""
     return np.diff(a, prepend=a.dtype.type(0)) if len(a) else a

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, LongType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
-from plumbline.llm.common import deltas, pack, release, trim, undeltas, unpack, written
+from plumbline.llm.common import deltas, distinct, pack, release, trim, undeltas, unpack, written
 from plumbline.llm.graph import components
 
 CHUNK_BYTES, CELL_TOKENS = 16 << 20, 4_000_000
@@ -53,7 +53,7 @@ def ngram_hashes(text: bytes | None, n: int = 5) -> np.ndarray:
     z ^= z >> np.uint64(31)
     z *= np.uint64(0xBF58476D1CE4E5B9)
     z ^= z >> np.uint64(29)
-    return np.unique(z)
+    return distinct(z)
 
 
 def _cuts(parts: int) -> np.ndarray:

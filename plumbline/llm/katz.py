@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh3_64_intdigest
 
-from plumbline.llm.common import deltas, drop, pack, ranges_of, release, slices, trim, undeltas, unpack, written_apart
+from plumbline.llm.common import deltas, distinct, drop, pack, ranges_of, release, slices, trim, undeltas, unpack, written_apart
 from plumbline.llm.jaccard import _sliced
 
 CHUNK_BYTES, RANGE_BYTES, LARGEST = 16 << 20, 16 << 20, 5
@@ -166,11 +166,14 @@ def _count_words(rows: pa.Table, store: bool) -> pa.Table:
     all_, at = np.unique(np.concatenate([w for _, w, _ in own]), return_inverse=True)
     total = np.bincount(at, np.concatenate([c for *_, c in own]), len(all_)).astype(np.uint64)
     seen = total > 0
-    number = np.cumsum(seen) - 1
+    number, known = np.zeros(len(all_), np.uint32), np.flatnonzero(seen)
+    number[known[np.argsort(-total[known].astype(np.int64), kind="stable")]] = np.arange(len(known))  # frequent words have small numbers
+    first = 0
     for chunk, w, _ in own:
+        i = at[first : first + len(w)]
+        first += len(w)
         if chunk >= 0:
-            i = np.searchsorted(all_, w)
-            out.append((part, chunk, pack(deltas(number[i][seen[i]].astype(np.uint32)), total[i])))
+            out.append((part, chunk, pack(number[i][seen[i]], total[i])))
     if store and seen.any():
         out.append((part, _TABLE, pack(deltas(all_[seen]), total[seen])))
     c = total[seen & (all_ != _BEGIN)].astype(np.int64)
@@ -209,15 +212,17 @@ class _Chunk:
         numbers, counts, seen = [], [], []
         for part, blob in sorted(r for r in rows if 0 <= r[0] < _NGRAMS):
             n, c = unpack(blob)
-            numbers.append((np.uint64(part) << np.uint64(32)) | undeltas(n).astype(np.uint64))
+            numbers.append((np.uint64(part) << np.uint64(32)) | n.astype(np.uint64))
             counts.append(c.astype(np.int64))
             seen.append(c > 0)
-        seen, counts = np.concatenate(seen), np.concatenate(counts)
-        self.known = known = int(seen.sum())
-        self.numbers = np.append(np.concatenate(numbers), _UNKNOWN)
-        self.counts = np.append(counts[seen], 0)
+        seen, counts, numbers = map(np.concatenate, (seen, counts, numbers))
+        self.known = known = len(numbers)
+        order = np.argsort(numbers)
+        self.numbers = np.append(numbers[order], _UNKNOWN)
+        self.counts = np.append(counts[seen][order], 0)
         self.w_counts = counts[at]  # of each token
-        local = np.where(seen, np.cumsum(seen) - 1, known)
+        local = np.full(len(seen), known)
+        local[np.flatnonzero(seen)[order]] = np.arange(known)
         w, start = local[at], np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         begin = local[0]
         b, a = np.empty_like(w), np.empty_like(w)
@@ -274,7 +279,7 @@ def _ask(rows: list[tuple[int, bytes]], chunk: int, hot: float) -> Iterator[tupl
             own = b[i:j][heads]
             t = slice(ends[i], ends[j])
             yield int(part[i]), chunk, pack(deltas(c.numbers[own]), np.diff(np.append(heads, j - i)).astype(np.uint32), (c.counts[own] > hot).astype(np.uint8), w_step[i:j], c_w[i:j], n_a[i:j], a_step[t], learnt[t])
-    for q in np.unique(hot_place):
+    for q in distinct(hot_place):
         if q >= 0:
             own = hot_place == q
             yield _HOT + int(q), chunk, pack(c.numbers[c.h_b[own]], c.numbers[c.h_a[own]])
@@ -311,10 +316,16 @@ class _Sums:
         return out
 
     def take(self, i: np.ndarray, backs_off: np.ndarray | None = None) -> list[np.ndarray]:
-        """Arrays of some histories; what only backing off asks for is left out of the others."""
+        """Arrays of some histories. Of those that do not back off it is only told whether discounts leave them anything:
+        one type, of the least count that is there."""
         yes = np.ones(len(i), bool) if backs_off is None else backs_off
         small = lambda x: x.astype(np.uint32)
-        return [self.c[i].astype(np.uint64), *(small(self.types[i, k]) for k in range(LARGEST)), self.mass[i] * yes, *(small(self.low[i, k] * yes) for k in range(LARGEST)), (self.more[i] * yes).astype(np.uint64)]
+        types = self.types[i]
+        if not yes.all():
+            some, least = types.any(1) & ~yes, (types > 0).argmax(1)
+            types[~yes] = 0
+            types[some, least[some]] = 1
+        return [self.c[i].astype(np.uint64), *(small(types[:, k]) for k in range(LARGEST)), self.mass[i] * yes, *(small(self.low[i, k] * yes) for k in range(LARGEST)), (self.more[i] * yes).astype(np.uint64)]
 
     def put(self, i: np.ndarray, arrays: list[np.ndarray], add: bool = False) -> None:
         own = [arrays[0].astype(np.int64), np.stack(arrays[1 : 1 + LARGEST], 1).astype(np.int64), arrays[1 + LARGEST], np.stack(arrays[2 + LARGEST : -1], 1).astype(np.int64), arrays[-1].astype(np.int64)]
@@ -368,7 +379,7 @@ def _count_ngrams(rows: pa.Table, unigrams: Unigrams, store: bool) -> pa.Table:
         if chunk < 0:
             continue
         b, h = b[~hot[b]], t_h[t]
-        used = np.unique(h[~hot[h_b[h]]])
+        used = distinct(h[~hot[h_b[h]]])
         low_b, low_h = np.zeros(len(b_all), bool), np.zeros(len(h_code), bool)
         low_b[p_b[p[pair[p] == 0]]] = True
         low_h[h[triple[t] == 0]] = True
@@ -384,10 +395,10 @@ def _count_ngrams(rows: pa.Table, unigrams: Unigrams, store: bool) -> pa.Table:
     if hot.any():
         b = np.flatnonzero(hot)
         h = np.flatnonzero(hot[h_b] & (histories.c > 0))
-        for to in np.unique(at := (b_all[b] >> np.uint64(32)).astype(np.int64)):  # a word's own sums: a history without a first word
+        for to in distinct(at := (b_all[b] >> np.uint64(32)).astype(np.int64)):  # a word's own sums: a history without a first word
             i = b[at == to]
             out.append((_HOT + int(to), _PARTIAL, pack(b_all[i], np.full(len(i), _UNKNOWN), *words.take(i))))
-        for to in np.unique(at := (a_all[h_a[h]] >> np.uint64(32)).astype(np.int64)):
+        for to in distinct(at := (a_all[h_a[h]] >> np.uint64(32)).astype(np.int64)):
             i = h[at == to]
             out.append((_HOT + int(to), _PARTIAL, pack(b_all[h_b[i]], a_all[h_a[i]], *histories.take(i))))
     out.append((part, _STATS, pack(np.concatenate([_counts_of_counts(pair[pair > 0]), _counts_of_counts(triple[seen])]).astype(np.int64))))
