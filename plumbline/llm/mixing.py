@@ -3,33 +3,54 @@
 Targets: sources share the total of all sizes by weight, none beyond ``limit`` times its own size; what is
 over goes to the others by weight until none is above (solved in closed form over the sources in order of
 limit per weight). A source's documents fall into blocks by hash. It is taken whole floor(target / size)
-times, then once more in part: blocks in a permuted order while they fit, and of the block that does not fit
-the documents that do: in a permuted order, then bettered by single exchanges.
-
-Output: the block copies of all sources are counted, and a binary tree over the output shards divides the
-counts: at each node the left half's share of every source is drawn from the multivariate hypergeometric
-distribution, so quotas stay exact at every level. Each shard then draws its quota of a source's blocks,
-which are disjoint ranges of the source's permuted list, and orders its documents by a hash of its own.
+times, then once more in part: as many of its blocks as the rest has of the blocks' mean size.
+
+These are the quotas: of each source the blocks of whole passes, those to take in the last pass and those to leave. A binary
+tree over the output shards divides them: at each node the left half's share of every quota is drawn from the
+multivariate hypergeometric distribution, so quotas stay exact at every level. A shard then draws its quotas as
+disjoint ranges of the source's permuted blocks: which blocks are taken, and by which shard, is what the tree drew. Blocks
+differ in size, so a source's last pass is settled at its end: in the shards' order blocks are given back, or left ones
+taken, until the rest is met, and of the block at which it is met the documents that fit are taken: in a permuted
+order, then bettered by single exchanges. A shard orders its documents by a hash of its own.
 Every draw is seeded by node or hashed by id, so reruns agree.
 
+Blocks hold ``block_words`` words or more, so many that there are at most MAX_BLOCKS and one a source: the
+driver plans blocks, never documents. Sources of a mix are configured, so few. Shards grow with the words.
+
 Null text: size 0. Documents of size 0 are taken as their block is. Null sources are one source, the last.
-Repeated rows are units of their own. An empty table gives empty results.
+Repeated rows are units of their own, numbered among those of their id and source in order of size. An empty table
+gives empty results. doc_id and source may be of any type that orders.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from plumbline.llm.common import count_words, written
 
-BLOCK_WORDS, SHARDS, LIMIT, SEED = 200_000, 64, 3, 20_240
+BLOCK_WORDS, MAX_BLOCKS, SHARD_WORDS, LIMIT, SEED = 200_000, 200_000, 20_000_000, 3, 20_240
+#: Fewest and most output shards.
+SHARDS = (64, 65_536)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", count_words("text").alias("size"))
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and i of each row; i numbers the rows that share an id and a source, in order of size."""
+    sized = docs.select("doc_id", "source", count_words("text").alias("size"))
+    found = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))  # equal rows meet as a count
+    upto = F.sum("n").over(Window.partitionBy("doc_id", "source").orderBy("size"))
+    found = found.withColumn("upto", upto)
+    return found.select("doc_id", "source", "size", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("i"))
 
 
 def targets(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -71,105 +92,155 @@ def fitting(sizes: np.ndarray, room: float, rounds: int = 50) -> np.ndarray:
     return taken
 
 
-def copies(rows: DataFrame, limit: int = LIMIT, block_words: int = BLOCK_WORDS, seed: int = SEED, name: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """doc_id, source, size, source_size, target, block and copies of each row; and the blocks' table.
-
-    Windows run over blocks (source_size / block_words of them) and inside one block of each source; no
-    source's documents meet in one task."""
-    goal = written(targets(rows, limit), f"{name}-targets")
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    goal_ = goal.withColumnRenamed("source", "_s")
-    block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.greatest(F.lit(1), F.ceil((F.col("source_size") + F.col("source_rows")) / block_words)).cast("long"))  # empty documents fill blocks too
-    joined = rows.join(goal_, same("source", "_s")).withColumn("block", block).drop("_s", "source_rows")
-    full = F.least(F.lit(limit), F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).cast("int")
-    joined = joined.withColumn("full", full).withColumn("rest", F.when(F.col("full") < limit, F.col("target") - F.col("full") * F.col("source_size")).otherwise(0.0))
-    blocks = joined.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("full").alias("full"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block")
-    upto = F.sum("words").over(order)
-    kind = F.when(upto <= F.col("rest"), 2).when(upto - F.col("words") < F.col("rest"), 1).otherwise(0)
-    blocks = blocks.withColumn("part", kind).withColumn("room", F.col("rest") - (upto - F.col("words")))
-    blocks = written(blocks.select("source", "block", "words", "full", "part", "room"), f"{name}-blocks")
-    b = blocks.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "part", "room")
-    marked = joined.join(b, same("source", "_s") & (F.col("block") == F.col("_b"))).drop("_s", "_b", "rest")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def fits(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["turn", "doc_id"], kind="stable")
-        taken = fitting(part["size"].to_numpy(), float(part["room"].iloc[0]))
-        return part.assign(copies=(part["full"] + taken).astype("int32"))[columns]
-
-    columns = ["doc_id", "source", "size", "source_size", "target", "block", "copies"]
-    whole = marked.where("part != 1").select(*columns[:-1], (F.col("full") + F.when(F.col("part") == 2, 1).otherwise(0)).cast("int").alias("copies"))
-    cut = marked.where("part = 1").withColumn("turn", F.xxhash64(F.lit(seed + 2), "doc_id"))
-    cut = cut.groupBy("source", "block").applyInPandas(fits, f"doc_id {kind}, source string, size long, source_size long, target double, block long, copies int")
-    return whole.unionByName(cut), blocks
+# -- the plan of blocks -------------------------------------------------------------------------------------
 
 
 def split_quotas(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """shards x sources: the block copies of each shard. Columns sum to ``counts``, rows differ by 1 at most."""
+    """shards x quotas: the blocks of each shard. Columns sum to ``counts``, rows differ by 1 at most."""
     out = np.zeros((shards, len(counts)), np.int64)
-
-    def divide(low: int, high: int, own: np.ndarray) -> None:
+    todo = [(0, shards, np.asarray(counts, np.int64))]
+    while todo:
+        low, high, own = todo.pop()
         if high - low == 1:
             out[low] = own
-            return
+            continue
         middle = (low + high) // 2
-        total = int(own.sum())
-        left = total * (middle - low) // (high - low)
         rng = np.random.Generator(np.random.Philox(key=[seed, low << 32 | high]))
-        share = rng.multivariate_hypergeometric(own, left, method="marginals") if total < 10**9 else _marginals(rng, own, left)
-        divide(low, middle, share)
-        divide(middle, high, own - share)
-
-    divide(0, shards, np.asarray(counts, np.int64))
+        share = rng.multivariate_hypergeometric(own, int(own.sum()) * (middle - low) // (high - low), method="marginals")
+        todo += [(low, middle, share), (middle, high, own - share)]
     return out
 
 
-def _marginals(rng: np.random.Generator, own: np.ndarray, n: int) -> np.ndarray:
-    """As the library's, which stops at totals of 10^9: proportional shares, and the rest drawn without replacement."""
-    total = int(own.sum())
-    share = np.array([int(x) * n // total for x in own], np.int64)
-    for i in rng.permutation(len(own))[: n - int(share.sum())]:
-        share[i] += 1
-    return np.minimum(share, own)
-
-
-def mix(docs: DataFrame, shards: int = SHARDS, limit: int = LIMIT, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """One row for each document copy: doc_id, source, size, source_size, target, copy, shard, place; and rows
-    with copy null for documents that the mix leaves out.
-
-    What reaches the driver is one count per source and tree node; sources of a mix are configured, so few."""
-    taken, blocks = copies(written(sized(docs), "mix-sizes"), limit, block_words, seed)
-    units = blocks.withColumn("n", F.col("full") + (F.col("part") > 0).cast("int")).where("n > 0").select("source", "block", F.explode(F.expr("sequence(1, n)")).alias("copy"))
-    per = blocks.groupBy("source").agg(F.sum(F.col("full") + (F.col("part") > 0).cast("int")).alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
-    quotas = split_quotas(np.array([r["n"] for r in per], np.int64), shards, seed)
-    ends = np.cumsum(quotas, axis=0)  # a shard's blocks of a source end here in the permuted list
-    spark = docs.sparkSession
-    schema = "q_source string, ends array<long>"
-    quota = spark.createDataFrame([(r["source"], [int(x) for x in ends[:, i]]) for i, r in enumerate(per)], schema)
-    turn = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 3), "block", "copy"), "block", "copy"))
-    placed = units.withColumn("turn", turn).join(quota, F.col("source").eqNullSafe(F.col("q_source")))
-    placed = placed.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("copy").alias("_c"), F.expr("cast(size(filter(ends, e -> e < turn)) as int)").alias("shard"))
-    rows = taken.withColumn("copy", F.explode_outer(F.expr("if(copies > 0, sequence(1, copies), cast(null as array<int>))")))
-    out = rows.join(placed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("copy") == F.col("_c")), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", "copy", "shard", F.when(F.col("copy").isNotNull(), F.xxhash64(F.lit(seed + 4), "shard", "doc_id", "copy")).alias("place"))
+def plan(goal: list[tuple[int, float]], blocks: list[np.ndarray], shards: int, limit: int, seed: int) -> pd.DataFrame:
+    """s, block, copy, shard, room and alone of each block copy that is taken; goal: (size, target) and blocks: words of
+    each block, of every source s. room: what a block that is taken in part has to hold, else null; alone: it has no other copy."""
+    passes, quotas = [], []
+    for (size, target), words in zip(goal, blocks, strict=True):
+        full = min(limit, int(target // size)) if size else 0
+        rest = target - full * size if full < limit else 0.0
+        take = min(len(words), max(1, round(rest * len(words) / size))) if rest > 0 and size else 0
+        passes.append((full, rest))
+        quotas += [full * len(words), take, len(words) - take]
+    split = split_quotas(np.array(quotas, np.int64), shards, seed)
+    out = []
+    for s, ((full, rest), words) in enumerate(zip(passes, blocks, strict=True)):
+        rng = np.random.Generator(np.random.Philox(key=[seed + 1, s]))
+        whole, take, leave = split[:, 3 * s], split[:, 3 * s + 1], split[:, 3 * s + 2]
+        order = rng.permutation(full * len(words))
+        out.append(pd.DataFrame({"s": s, "block": order // max(1, full), "copy": order % max(1, full) + 1, "shard": np.repeat(np.arange(shards), whole), "room": np.nan, "alone": False}))
+        if rest <= 0:
+            continue
+        order = rng.permutation(len(words))
+        shard = np.repeat(np.arange(shards), take + leave)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(take + leave) - (take + leave), take + leave)
+        turn = np.argsort(place >= np.repeat(take, take + leave), kind="stable")  # what shards take, in their order; then what they leave
+        order, shard = order[turn], shard[turn]
+        upto = np.cumsum(words[order])
+        before = upto - words[order]
+        used = (upto <= rest) | (before < rest)
+        out.append(pd.DataFrame({"s": s, "block": order, "copy": full + 1, "shard": shard, "room": np.where(upto <= rest, np.nan, rest - before), "alone": full == 0})[used])
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"s": [], "block": [], "copy": [], "shard": [], "room": [], "alone": []})
+
+
+def _planned(rows: DataFrame, shards: int | None, limit: int, block_words: int, seed: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The sources' table, with their numbers s and counts of blocks; and the table of block copies."""
+    spark = rows.sparkSession
+    goal = written(targets(rows, limit).withColumn("s", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).cast("int")), f"{name}-targets")
+    size, n = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("source_rows"), F.lit(0))).first()
+    each = max(block_words, math.ceil((size + n) / MAX_BLOCKS))
+    goal = goal.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil((F.col("source_size") + F.col("source_rows")) / each)).cast("long"))  # empty documents fill blocks too
+    found = _in_blocks(rows, goal, seed).groupBy("s", "block").agg(F.sum("size").alias("words")).toPandas()
+    per = goal.select("s", "source_size", "target", "n_blocks").orderBy("s").collect()
+    words = [np.zeros(int(r["n_blocks"]), np.int64) for r in per]
+    for s, own in found.groupby("s"):
+        words[s][own["block"].to_numpy()] = own["words"].to_numpy()
+    shards = shards or min(SHARDS[1], max(SHARDS[0], -(-size // SHARD_WORDS)))
+    p = plan([(int(r["source_size"]), float(r["target"])) for r in per], words, shards, limit, seed)
+    schema = pa.schema([("s", pa.int32()), ("block", pa.int64()), ("copy", pa.int32()), ("shard", pa.int32()), ("room", pa.float64()), ("alone", pa.bool_())])
+    return goal, spark.createDataFrame(pa.Table.from_arrays([pa.array(p[f.name].to_numpy(), f.type, from_pandas=True) for f in schema], schema=schema))
+
+
+def _in_blocks(rows: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with s, source_size, target and block of each; they have doc_id, source and i."""
+    block = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "i"), F.col("n_blocks"))
+    own = goal.select(F.col("source").alias("_source"), "s", "source_size", "target", "n_blocks")
+    return rows.join(own, _same("source", "_source")).withColumn("block", block).drop("_source", "n_blocks")
+
+
+def _taken(rows: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, i and copy of what is taken of blocks that are taken in part; none of other blocks' rows."""
+    kinds = {f.name: f for f in rows.schema.fields}
+    out = StructType([kinds["doc_id"], kinds["source"], StructField("i", LongType()), StructField("copy", IntegerType())])
+
+    def fits(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["turn", "i"], kind="stable")
+        return part[fitting(part["size"].to_numpy(), float(part["room"].iloc[0]))][["doc_id", "source", "i", "copy"]]
+
+    cut = rows.join(blocks.where("room is not null"), ["s", "block"]).select("doc_id", "source", "i", "copy", "size", "room", "s", F.xxhash64(F.lit(seed + 2), "doc_id").alias("turn"))
+    some = cut.where("size > 0").groupBy("s").applyInPandas(fits, out)
+    return some.unionByName(cut.where("size = 0").select("doc_id", "source", "i", "copy"))
+
+
+def _dealt(rows: DataFrame, blocks: DataFrame, cut: DataFrame, seed: int) -> DataFrame:
+    """``rows``, which have s, block, doc_id, source and i, once for each copy with copy, shard and place; copy is null where none is taken."""
+    joined = rows.join(blocks, ["s", "block"], "left")
+    whole = joined.where("room is null").drop("room", "alone")
+    part = joined.where("room is not null")
+    own = cut.select(F.col("doc_id").alias("_d"), F.col("source").alias("_source"), F.col("i").alias("_i"), F.col("copy").alias("_c"))
+    part = part.join(own, _same("doc_id", "_d") & _same("source", "_source") & (F.col("i") == F.col("_i")), "left").where("_c is not null or alone")
+    part = part.withColumns({"copy": F.col("_c"), "shard": F.when(F.col("_c").isNotNull(), F.col("shard"))}).drop("_d", "_source", "_i", "_c", "room", "alone")
+    place = F.when(F.col("copy").isNotNull(), F.xxhash64(F.lit(seed + 4), "shard", "doc_id", "i", "copy"))
+    return whole.unionByName(part).withColumn("place", place)
+
+
+def mix(docs: DataFrame, shards: int | None = None, limit: int = LIMIT, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """One row for each document copy: doc_id, source, i, size, source_size, target, block, copy, shard, place; and rows
+    with copy null for documents that the mix leaves out. shards: by the words if not given."""
+    rows = written(units(docs), "mix-rows")
+    goal, blocks = _planned(rows, shards, limit, block_words, seed, "mix")
+    placed = _in_blocks(rows, goal, seed)
+    return _dealt(placed, blocks, _taken(placed, blocks, seed), seed).drop("s")
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken, from the rows of ``mix``; repeated rows are told by count."""
-    per = mixed.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.count("copy").alias("n"), F.greatest(F.lit(1), F.count(F.when(F.coalesce("copy", F.lit(1)) == 1, 1))).alias("rows"))
-    one = F.expr("explode(sequence(1, cast(rows as int)))")
-    share = F.expr("n div rows + if(i <= n % rows, 1, 0)")
-    return per.withColumn("i", one).select("doc_id", "size", "source_size", "target", (F.col("size") * share).alias("taken"))
+    """doc_id, size, source_size, target and taken of each row, from the copies that shards drew (``mix``); and n_shards, how many did."""
+    per = mixed.groupBy("doc_id", "source", "i", "size", "source_size", "target").agg(F.count("copy").alias("n"), F.count_distinct("shard").alias("n_shards"))
+    return per.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n")).alias("taken"), "n_shards")
+
 
+# -- documents ----------------------------------------------------------------------------------------------
 
-def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+
+def _numbered(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` with i, as ``units`` numbers them. Only rows that share an id and a source are sorted for it."""
+    shared = rows.where("i > 1").groupBy("doc_id", "source").agg(F.max("i")).select(F.col("doc_id").alias("_d"), F.col("source").alias("_source"))
+    if not shared.limit(1).count():
+        return docs.withColumn("i", F.lit(1).cast("long"))
+    on = _same("doc_id", "_d") & _same("source", "_source")
+    more = docs.join(shared, on, "left_semi").withColumns({"_size": count_words("text"), "_task": F.spark_partition_id()})
+    keys = ["doc_id", "source", "_size", "_task"]
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    start = more.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(Window.partitionBy("doc_id", "source").orderBy("_size", "_task")))
+    start = start.select(*(F.col(c).alias(f"{c}_") for c in keys), (F.col("_upto") - F.col("_n")).alias("_before"))
+    found = more.withColumn("_local", local).join(start, _same("doc_id", "doc_id_") & _same("source", "source_") & (F.col("_size") == F.col("_size_")) & (F.col("_task") == F.col("_task_")))
+    found = found.withColumn("i", F.col("_before") + F.col("_local")).select(*docs.columns, "i")
+    return docs.join(shared, on, "left_anti").withColumn("i", F.lit(1).cast("long")).unionByName(found)
+
+
+def mixed_documents(docs: DataFrame, shards: int | None = None, limit: int = LIMIT, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken, by shard and place.
 
-    Documents meet their copies by doc_id; rows that share an id share its copies in turn."""
-    found = mix(docs, **parameters).where("copy is not null").select(F.col("doc_id").alias("__mix_id"), F.col("shard").alias("__mix_shard"), F.col("place").alias("__mix_place"))
-    found = found.withColumn("__mix_turn", F.row_number().over(Window.partitionBy("__mix_id").orderBy("__mix_shard", "__mix_place")) - 1)
-    own = Window.partitionBy("doc_id")
-    rows = docs.withColumns({"__mix_row": F.row_number().over(own.orderBy("text")) - 1, "__mix_rows": F.count(F.lit(1)).over(own)})
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_turn") % F.col("__mix_rows") == F.col("__mix_row")))
-    return joined.repartition("__mix_shard").sortWithinPartitions("__mix_shard", "__mix_place").select(*(joined[c] for c in docs.columns))
+    Documents find their block by hash and its copies in the plan's table of blocks; texts are shuffled once, to their
+    shards. ``docs`` is read more than once, so it should be a table."""
+    rows = written(units(docs), "mix-rows")
+    goal, blocks = _planned(rows, shards, limit, block_words, seed, "mix")
+    cut = written(_taken(_in_blocks(rows, goal, seed), blocks, seed), "mix-cut")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # its columns may have any names
+    dealt = _dealt(_in_blocks(_numbered(docs.select("doc_id", "source", "text", whole), rows).drop("text"), goal, seed), blocks, cut, seed)
+    dealt = dealt.where("copy is not null").repartition(blocks_shards(blocks), "shard").sortWithinPartitions("shard", "place")
+    return dealt.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+
+
+def blocks_shards(blocks: DataFrame) -> int:
+    """How many shards the plan has."""
+    return (blocks.agg(F.max("shard")).first()[0] or 0) + 1

@@ -161,27 +161,80 @@ def test_splitting_tree():
     assert (quotas == mixing.split_quotas(counts, 16, 1)).all() and (quotas != mixing.split_quotas(counts, 16, 2)).any()
 
 
-def test_totals_beyond_the_library_are_shared_by_proportion():
-    counts = np.array([2 * 10**9, 10**9 + 7, 3])
-    quotas = mixing.split_quotas(counts, 4, 1)
-    assert (quotas.sum(0) == counts).all() and quotas.sum(1).max() - quotas.sum(1).min() <= 1
-    readme = (Path(__file__).resolve().parents[2] / "README.md").read_text()
-    assert "10^9 block copies" in readme and "proportional" in readme
+def test_the_tree_decides_what_is_taken(spark, monkeypatch):
+    """Other draws of the tree take other documents; targets are met all the same, and shards' quotas are the tree's."""
+    rows = corpus(3000)
+    df = spark.createDataFrame([(a, c, b) for a, b, c in rows], "doc_id long, text string, source string")
+    found, split, quotas = [], mixing.split_quotas, []
+    draws = [split, lambda counts, shards, seed: split(counts, shards, seed + 77), lambda counts, shards, seed: np.vstack([counts, np.zeros((shards - 1, len(counts)), np.int64)])]
+    for draw in draws:
+        monkeypatch.setattr(mixing, "split_quotas", lambda *a, draw=draw: quotas.append(draw(*a)) or quotas[-1])
+        mixed = mixing.mix(df, block_words=300, shards=8)
+        found.append((Counter(), {r.doc_id: r.taken for r in mixing.taken_words(mixed).collect()}))
+        sources = dict((d, s) for d, s, _ in rows)
+        for d, n in found[-1][1].items():
+            found[-1][0][sources[d]] += n
+        whole = mixed.where("copy is not null").select("source", "block", "copy", "shard").distinct().groupBy("source", "shard").count().collect()
+        order = sorted(set(sources.values()), key=lambda s: (s is None, s))
+        for r in whole:  # a source's last pass is settled at its end, so a shard's blocks differ from the quota by those only
+            s = order.index(r["source"])
+            assert r["count"] <= quotas[-1][r["shard"], 3 * s : 3 * s + 3].sum()
+    assert len({tuple(sorted(t.items())) for _, t in found}) == 3
+    sizes = Counter()
+    for d, s, t in rows:
+        sizes[s] += len(words(t))
+    want = waterfill(sizes)
+    assert all(abs(taken[s] - want[s]) <= 15 for taken, _ in found for s in want)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_a_plan_meets_targets_by_quotas(seed):
+    """Brute force over random sources: whole passes are whole, shards draw disjoint blocks, the rest is met but for one block."""
+    r = np.random.default_rng(seed)
+    blocks = [r.integers(0, 50, r.integers(1, 30)) for _ in range(4)]
+    goal = [(int(b.sum()), float(min(3.0, r.random() * 3.2) * b.sum())) for b in blocks]
+    p = mixing.plan(goal, blocks, 8, 3, seed)
+    assert not p.duplicated(["s", "block", "copy"]).any() and ((p["shard"] >= 0) & (p["shard"] < 8)).all()
+    for s, ((size, target), words_) in enumerate(zip(goal, blocks)):
+        own = p[p["s"] == s]
+        full = min(3, int(target // size)) if size else 0
+        assert sorted(own[own["copy"] <= full]["block"]) == sorted(list(range(len(words_))) * full)
+        last = own[own["copy"] > full]
+        cut = last[last["room"].notna()]
+        have = words_[last[last["room"].isna()]["block"]].sum() + cut["room"].sum()
+        assert len(cut) <= 1 and (own["copy"] <= full + 1).all() and (not size or have == pytest.approx(target - full * size if full < 3 else 0))
 
 
 def test_shards_are_disjoint_draws(spark):
     df = spark.createDataFrame([(a, c, b) for a, b, c in corpus()], "doc_id long, text string, source string")
     mixed = mixing.mix(df, block_words=300, shards=6).where("copy is not null")
-    assert mixed.count() == mixed.select("doc_id", "copy").distinct().count() and mixed.where("shard is null").count() == 0
+    assert mixed.count() == mixed.select("doc_id", "source", "copy").distinct().count() and mixed.where("shard is null").count() == 0
     whole = mixing.mixed_documents(df, block_words=300, shards=6)
     assert whole.columns == df.columns and whole.count() == mixed.count()
 
 
+def test_documents_are_taken_as_often_as_their_words(spark):
+    """Rows that share ids, sources of another type, and columns that clash with the operator's own."""
+    r = random.Random(3)
+    rows = [(r.choice([i, i % 7, None]), " ".join("w" * r.randint(1, 5) for _ in range(r.randint(0, 30))), r.choice([1, 1, 1, 2, None]), i, float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source int, block int, `i` double").repartition(5).cache()
+    taken, got = Counter(), Counter()
+    for x in mixing.mix(df, block_words=200, shards=5).where("copy is not null").collect():
+        taken[x.doc_id, x.source, x["size"]] += 1
+    whole = mixing.mixed_documents(df, block_words=200, shards=5)
+    for x in whole.collect():
+        got[x.doc_id, x.source, len(words(x.text))] += 1
+    assert whole.columns == df.columns and got == taken and sum(got.values())
+    per = mixing.taken_words(mixing.mix(df, block_words=200, shards=5)).collect()
+    assert len(per) == 400 and all(x.taken <= 3 * x["size"] for x in per)
+    assert max(Counter((x.block, x["i"]) for x in whole.collect()).values()) <= 3
+
+
 def test_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (2, "d e", "t"), (None, "x", None)], "doc_id long, text string, source string")
     assert mixing.taken_words(mixing.mix(df)).count() == 4
     assert mixing.mixed_documents(df).count() == mixing.mix(df).where("copy is not null").count()
-    assert mixing.taken_words(mixing.mix(df.limit(0))).count() == 0
+    assert mixing.taken_words(mixing.mix(df.limit(0))).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
     zero = spark.createDataFrame([(1, None, "s")], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.taken_words(mixing.mix(zero)).collect()] == [(0.0, 0)]
 
