@@ -80,9 +80,8 @@ class Discounts:
         return r * np.concatenate([[1.0], self.d, [1.0]])[np.where(r <= len(self.d), r, len(self.d) + 1)]
 
     def left(self, types: np.ndarray) -> np.ndarray:
-        """What is taken away, by counts of types with r = 1..; last axis r."""
-        k = len(self.d)
-        return types[..., :k] @ ((1 - np.array(self.d)) * np.arange(1, k + 1)) if k else np.zeros(types.shape[:-1])
+        """What is taken away, by counts of types with r = 1..; first axis r."""
+        return sum(((1 - d) * r * types[r - 1] for r, d in enumerate(self.d, 1)), np.zeros(types.shape[1:]))
 
 
 @dataclass(frozen=True)
@@ -205,62 +204,64 @@ def _numbers(step: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class _Chunk:
     """A chunk's distinct triples (b, w, a), pairs (b, w) and histories (b, a), each in order, with numbers and counts of words.
 
-    Words that training has not seen are one word, the last; ``known`` is the number of the others."""
+    A word's number is its rank in its range times ``parts`` plus the range. Words that training has not seen are one word,
+    the last; ``known`` is how many others there are."""
 
-    def __init__(self, rows: list[tuple[int, bytes]]):
+    def __init__(self, rows: list[tuple[int, bytes]], parts: int):
         at, self.sizes, self.train, self.ids = unpack(next(b for p, b in rows if p == -1))
         numbers, counts, seen = [], [], []
         for part, blob in sorted(r for r in rows if 0 <= r[0] < _NGRAMS):
             n, c = unpack(blob)
-            numbers.append((np.uint64(part) << np.uint64(32)) | n.astype(np.uint64))
+            numbers.append(n.astype(np.uint64) * np.uint64(parts) + np.uint64(part))
             counts.append(c.astype(np.int64))
             seen.append(c > 0)
         seen, counts, numbers = map(np.concatenate, (seen, counts, numbers))
         self.known = known = len(numbers)
         order = np.argsort(numbers)
         self.numbers = np.append(numbers[order], _UNKNOWN)
+        self.ranges = np.append((numbers[order] % np.uint64(parts)).astype(np.int32), np.int32(-1))
         self.counts = np.append(counts[seen][order], 0)
-        self.w_counts = counts[at]  # of each token
-        local = np.full(len(seen), known)
+        local = np.full(len(seen), known, np.int32)
         local[np.flatnonzero(seen)[order]] = np.arange(known)
-        w, start = local[at], np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        begin = local[0]
+        self.words = w = local[at]  # of each token
+        start, begin = np.cumsum(self.sizes, dtype=np.int64) - self.sizes, local[0]
         b, a = np.empty_like(w), np.empty_like(w)
         b[1:], a[2:] = w[:-1], w[:-2]
         a[1:2] = begin
         b[start] = begin
         a[start] = begin
-        second = start[self.sizes > 1] + 1
-        a[second] = begin
+        a[start[self.sizes > 1] + 1] = begin
         n = known + 1
         if n**3 < 1 << 63:
-            code = (b * n + w) * n + a
+            code = (b.astype(np.int64) * n + w) * n + a
         else:
-            code = np.unique(b * n + w, return_inverse=True)[1] * n + a
+            code = np.unique(b.astype(np.int64) * n + w, return_inverse=True)[1] * n + a
         order = np.argsort(code)
         new = _runs(code[order])
-        self.token = np.empty(len(code), np.int64)  # the triple of each token
-        self.token[order] = np.cumsum(new) - 1
+        del code
+        self.token = np.empty(len(w), np.int32)  # the triple of each token
+        self.token[order] = np.cumsum(new, dtype=np.int32) - 1
         first = order[new]
-        self.t_a, t_pair = a[first], b[first] * n + w[first]
+        del order, new
+        self.t_a, t_b, t_pair = a[first], b[first].astype(np.int64), w[first]
+        del a, b, first
+        t_pair = t_b * n + t_pair
         new = _runs(t_pair)
-        self.t_pair = np.cumsum(new) - 1
-        self.p_b, self.p_w = np.divmod(t_pair[new], n)
-        codes, self.t_history = np.unique(b[first] * n + self.t_a, return_inverse=True)
-        self.h_b, self.h_a = np.divmod(codes, n)
-        self.h_count = None
+        self.t_pair = np.cumsum(new, dtype=np.int32) - 1
+        self.p_b, self.p_w = (x.astype(np.int32) for x in np.divmod(t_pair[new], n))
+        codes, history = np.unique(t_b * n + self.t_a, return_inverse=True)
+        self.t_history = history.astype(np.int32)
+        self.h_b, self.h_a = (x.astype(np.int32) for x in np.divmod(codes, n))
 
     def places(self, hot: float) -> tuple[np.ndarray, np.ndarray]:
         """The range of each pair, and the range of each history if its middle word is hot; -1: none."""
-        part = (self.numbers >> np.uint64(32)).astype(np.int64)
-        part[-1] = -1
-        is_hot = self.counts > hot
+        part, is_hot = self.ranges, self.counts > hot
         return np.where(is_hot[self.p_b], part[self.p_w], part[self.p_b]), np.where(is_hot[self.h_b], part[self.h_a], -1)
 
 
-def _ask(rows: list[tuple[int, bytes]], chunk: int, hot: float) -> Iterator[tuple[int, int, bytes]]:
+def _ask(rows: list[tuple[int, bytes]], chunk: int, hot: float, parts: int) -> Iterator[tuple[int, int, bytes]]:
     trim()
-    c = _Chunk(rows)
+    c = _Chunk(rows, parts)
     place, hot_place = c.places(hot)
     learnt = np.bincount(c.token, np.repeat(c.train, c.sizes), len(c.t_a)).astype(np.uint32)
     pairs = np.argsort(place, kind="stable")
@@ -301,12 +302,12 @@ class _Sums:
 
     @staticmethod
     def none(n: int) -> _Sums:
-        return _Sums(np.zeros(n, np.int64), np.zeros((n, LARGEST), np.int64), np.zeros(n), np.zeros((n, LARGEST), np.int64), np.zeros(n, np.int64))
+        return _Sums(np.zeros(n, np.int64), np.zeros((LARGEST, n), np.uint32), np.zeros(n), np.zeros((LARGEST, n), np.uint32), np.zeros(n, np.int64))
 
     @staticmethod
     def of(n: int, history: np.ndarray, count: np.ndarray, mass=None, lower=None) -> _Sums:
-        out, types = _Sums.none(n), np.arange(1, LARGEST + 1)
-        each = lambda r: np.stack([np.bincount(history[r == k], minlength=n) for k in types], 1)
+        each = lambda r: np.stack([np.bincount(history[r == k], minlength=n) for k in range(1, LARGEST + 1)]).astype(np.uint32)
+        out = _Sums.none(n)
         out.c, out.types = np.bincount(history, count, n).astype(np.int64), each(count)
         if mass is not None:
             out.mass = np.bincount(history, mass, n)
@@ -318,28 +319,27 @@ class _Sums:
     def take(self, i: np.ndarray, backs_off: np.ndarray | None = None) -> list[np.ndarray]:
         """Arrays of some histories. Of those that do not back off it is only told whether discounts leave them anything:
         one type, of the least count that is there."""
-        yes = np.ones(len(i), bool) if backs_off is None else backs_off
-        small = lambda x: x.astype(np.uint32)
-        types = self.types[i]
-        if not yes.all():
-            some, least = types.any(1) & ~yes, (types > 0).argmax(1)
-            types[~yes] = 0
-            types[some, least[some]] = 1
-        return [self.c[i].astype(np.uint64), *(small(types[:, k]) for k in range(LARGEST)), self.mass[i] * yes, *(small(self.low[i, k] * yes) for k in range(LARGEST)), (self.more[i] * yes).astype(np.uint64)]
+        types, low, yes = self.types[:, i], self.low[:, i], backs_off
+        if yes is None:
+            return [self.c[i].astype(np.uint64), types.ravel(), self.mass[i], low.ravel(), self.more[i].astype(np.uint64)]
+        some, least = np.flatnonzero(types.any(0) & ~yes), (types > 0).argmax(0)
+        types[:, ~yes] = 0
+        types[least[some], some] = 1
+        return [self.c[i].astype(np.uint64), types.ravel(), self.mass[i] * yes, (low * yes).astype(np.uint32).ravel(), (self.more[i] * yes).astype(np.uint64)]
 
     def put(self, i: np.ndarray, arrays: list[np.ndarray], add: bool = False) -> None:
-        own = [arrays[0].astype(np.int64), np.stack(arrays[1 : 1 + LARGEST], 1).astype(np.int64), arrays[1 + LARGEST], np.stack(arrays[2 + LARGEST : -1], 1).astype(np.int64), arrays[-1].astype(np.int64)]
-        for mine, new in zip((self.c, self.types, self.mass, self.low, self.more), own, strict=True):
+        square = lambda a: a.reshape(LARGEST, len(i))
+        for mine, new in zip((self.c, self.types, self.mass, self.low, self.more), (arrays[0].astype(np.int64), square(arrays[1]), arrays[2], square(arrays[3]), arrays[4].astype(np.int64)), strict=True):
             if add:
-                np.add.at(mine, i, new)
+                np.add.at(mine.T, i, new.T)
             else:
-                mine[i] = new
+                mine[..., i] = new
 
 
-_WIDTH = 3 + 2 * LARGEST  # arrays of a _Sums
+_WIDTH = 5  # arrays of a _Sums
 
 
-def _count_ngrams(rows: pa.Table, unigrams: Unigrams, store: bool) -> pa.Table:
+def _count_ngrams(rows: pa.Table, parts: int, unigrams: Unigrams, store: bool) -> pa.Table:
     """Of one range: to each chunk the counts of its pairs and triples and the sums of its histories, in order; the
     range's part of the stored table; and partial sums of hot words' histories."""
     trim()
@@ -352,8 +352,8 @@ def _count_ngrams(rows: pa.Table, unigrams: Unigrams, store: bool) -> pa.Table:
     b_all, b_at = np.unique(np.concatenate([undeltas(a[0]) for _, a in own]), return_inverse=True)
     w_all, w_at = np.unique(np.concatenate([_numbers(a[3], a[1]) for _, a in own]), return_inverse=True)
     p_code, p_at = np.unique(np.repeat(b_at, joined(1)) * len(w_all) + w_at, return_inverse=True)
-    c_w = np.zeros(len(p_code), np.int64)
-    c_w[p_at] = joined(4)
+    c_w, stored = np.zeros(len(p_code), np.int64), [a for chunk, a in own if chunk == _TABLE]
+    c_w[p_at] = np.concatenate([np.zeros(len(a[3]), np.uint64) if chunk == _TABLE else a[4] for chunk, a in own])
     del w_at
     a_all, a_at = np.unique(np.concatenate([_numbers(a[6], a[5]) for _, a in own]), return_inverse=True)
     t_code, t_at = np.unique(np.repeat(p_at, joined(5)) * len(a_all) + a_at, return_inverse=True)
@@ -369,6 +369,8 @@ def _count_ngrams(rows: pa.Table, unigrams: Unigrams, store: bool) -> pa.Table:
     h_b, h_a = np.divmod(h_code, len(a_all))
     words = _Sums.of(len(b_all), p_b, pair, mass=np.where(pair > 0, unigrams.p(c_w), 0.0))
     histories = _Sums.of(len(h_code), t_h, triple, lower=pair[t_pair])
+    for a in stored:
+        words.mass[np.searchsorted(b_all, undeltas(a[0]))] = a[4]
     hot = np.zeros(len(b_all), bool)
     hot[b_at] = joined(2) > 0
     first_b = first_p = first_t = 0
@@ -391,14 +393,14 @@ def _count_ngrams(rows: pa.Table, unigrams: Unigrams, store: bool) -> pa.Table:
         first_word = _runs(p_b[pairs])
         b = p_b[pairs[first_word]]
         length = lambda new: np.diff(np.append(np.flatnonzero(new), len(new))).astype(np.uint32)
-        out.append((part, _TABLE, pack(deltas(b_all[b]), length(first_word), hot[b].astype(np.uint8), _steps(w_all[p_w[pairs]], first_word), c_w[pairs].astype(np.uint64), length(first_pair), _steps(a_all[t_a[seen]], first_pair), triple[seen].astype(np.uint32))))
+        out.append((part, _TABLE, pack(deltas(b_all[b]), length(first_word), hot[b].astype(np.uint8), _steps(w_all[p_w[pairs]], first_word), words.mass[b], length(first_pair), _steps(a_all[t_a[seen]], first_pair), triple[seen].astype(np.uint32))))
     if hot.any():
         b = np.flatnonzero(hot)
         h = np.flatnonzero(hot[h_b] & (histories.c > 0))
-        for to in distinct(at := (b_all[b] >> np.uint64(32)).astype(np.int64)):  # a word's own sums: a history without a first word
+        for to in distinct(at := b_all[b] % np.uint64(parts)):  # a word's own sums: a history without a first word
             i = b[at == to]
             out.append((_HOT + int(to), _PARTIAL, pack(b_all[i], np.full(len(i), _UNKNOWN), *words.take(i))))
-        for to in distinct(at := (a_all[h_a[h]] >> np.uint64(32)).astype(np.int64)):
+        for to in distinct(at := a_all[h_a[h]] % np.uint64(parts)):
             i = h[at == to]
             out.append((_HOT + int(to), _PARTIAL, pack(b_all[h_b[i]], a_all[h_a[i]], *histories.take(i))))
     out.append((part, _STATS, pack(np.concatenate([_counts_of_counts(pair[pair > 0]), _counts_of_counts(triple[seen])]).astype(np.int64))))
@@ -448,19 +450,19 @@ def probabilities(c: _Chunk, pair: np.ndarray, triple: np.ndarray, words: _Sums,
     """P3 of each distinct triple of a chunk."""
     whole2, alpha2 = _alpha(words, d2, words.mass, np.full(len(words.c), unigrams.unknown))
     p2 = np.where(pair > 0, d2.kept(pair) / whole2[c.p_b], alpha2[c.p_b] * unigrams.p(c.counts[c.p_w]))
-    mass = (histories.low @ d2.kept(np.arange(1, LARGEST + 1)) + histories.more) / whole2[c.h_b]
+    mass = sum((kept * low for kept, low in zip(d2.kept(np.arange(1, LARGEST + 1)), histories.low, strict=True)), histories.more.astype(float)) / whole2[c.h_b]
     whole3, alpha3 = _alpha(histories, d3, mass, alpha2[c.h_b] * unigrams.unknown)
     return np.where(triple > 0, d3.kept(triple) / whole3[c.t_history], alpha3[c.t_history] * p2[c.t_pair])
 
 
-def _evaluate(rows: list[tuple[int, bytes]], hot: float, hot_words: dict[int, list[np.ndarray]], unigrams: Unigrams, d2: Discounts, d3: Discounts, schema: pa.Schema) -> pa.Table:
+def _evaluate(rows: list[tuple[int, bytes]], parts: int, hot: float, hot_words: dict[int, list[np.ndarray]], unigrams: Unigrams, d2: Discounts, d3: Discounts, schema: pa.Schema) -> pa.Table:
     trim()
-    c = _Chunk(rows)
+    c = _Chunk(rows, parts)
     place, hot_place = c.places(hot)
-    pair, triple = np.zeros(len(place), np.int64), np.zeros(len(c.t_a), np.int64)
+    pair, triple = np.zeros(len(place), np.uint32), np.zeros(len(c.t_a), np.uint32)
     words, histories = _Sums.none(c.known + 1), _Sums.none(len(c.h_b))
     t_place, is_hot, p_place = place[c.t_pair], c.counts > hot, place
-    h_place = np.where(is_hot[c.h_b] | (c.h_b == c.known), -1, (c.numbers[c.h_b] >> np.uint64(32)).astype(np.int64))
+    h_place = np.where(is_hot[c.h_b], -1, c.ranges[c.h_b])
     answers = {p: b for p, b in rows if p >= _NGRAMS}
     by = lambda x: (np.argsort(x, kind="stable"), np.sort(x))
     (p_order, p_place), (t_order, t_place), (h_order, h_place), (s_order, s_place) = by(p_place), by(t_place), by(h_place), by(hot_place)
@@ -476,17 +478,18 @@ def _evaluate(rows: list[tuple[int, bytes]], hot: float, hot_words: dict[int, li
         b = b[_runs(b)]
         words.put(b[~is_hot[b]], a[2 : 2 + _WIDTH])
         histories.put(of(h_order, h_place, p - _NGRAMS), a[2 + _WIDTH :])
-    del answers, p_order, t_order, h_order, s_order
+    del rows, answers, p_order, t_order, h_order, s_order
     for i in np.flatnonzero(is_hot):
         if (found := hot_words.get(int(c.numbers[i]))) is not None:
             words.put(np.array([i]), found)
     logs = np.log10(probabilities(c, pair, triple, words, histories, unigrams, d2, d3))[c.token]
-    base = np.log10((c.w_counts + 1) / (unigrams.total + unigrams.types + 1))
+    counts = c.counts[c.words]
+    base = np.log10((counts + 1) / (unigrams.total + unigrams.types + 1))
     start = np.cumsum(c.sizes, dtype=np.int64) - c.sizes
     per = lambda x: pa.array(np.add.reduceat(x, start))
     ids = pa.ipc.open_stream(pa.py_buffer(c.ids.tobytes())).read_all()["id"].combine_chunks()
     total = pa.array(np.full(len(start), unigrams.total, np.int64))
-    return pa.table([ids, pa.array(c.train == 0), pa.array(c.sizes.astype(np.int64)), per((c.w_counts > 0).astype(np.int64)), total, per(base), per(logs)], schema=schema)
+    return pa.table([ids, pa.array(c.train == 0), pa.array(c.sizes.astype(np.int64)), per((counts > 0).astype(np.int64)), total, per(base), per(logs)], schema=schema)
 
 
 # -- on a DataFrame -----------------------------------------------------------------------------------------
@@ -539,10 +542,10 @@ def _run(docs: DataFrame, train, model: Model | None, answer: bool, chunk_bytes:
     unigrams = model.unigrams if model else Unigrams.of(*(s := _stats(known, LARGEST + 4))[:2], s[2:])
     hot = model.hot if model else max(1000.0, unigrams.total / parts)
     rows_of = lambda t: list(zip(t["part"].to_pylist(), t["blob"].to_pylist(), strict=True))
-    asked = by(payload.unionByName(answers), "chunk", n_chunks).applyInArrow(lambda t: _wire(list(_ask(rows_of(t), t["chunk"][0].as_py(), hot))), _WIRE_SQL)
+    asked = by(payload.unionByName(answers), "chunk", n_chunks).applyInArrow(lambda t: _wire(list(_ask(rows_of(t), t["chunk"][0].as_py(), hot, parts))), _WIRE_SQL)
     if model:
         asked = asked.unionByName(model.ngrams)
-    counted = by(asked, "part", parts).applyInArrow(lambda t: _count_ngrams(t, unigrams, fresh), _WIRE_SQL)
+    counted = by(asked, "part", parts).applyInArrow(lambda t: _count_ngrams(t, parts, unigrams, fresh), _WIRE_SQL)
     if not answer:
         counted = counted.where(f"chunk < 0 and part < {_HOT}")
     counts, counted_answers = written_apart(counted, "katz-ngrams", f"chunk < 0 and part < {_HOT}")
@@ -560,11 +563,11 @@ def _run(docs: DataFrame, train, model: Model | None, answer: bool, chunk_bytes:
         everything = everything.unionByName(summed)
         for r in own_sums.select("blob").collect():  # hot words: fewer than there are ranges
             b, *found = unpack(r["blob"])
-            hot_words |= {int(x): [y[i : i + 1] for y in found] for i, x in enumerate(b)}
+            hot_words |= {int(x): [y.reshape(-1, len(b))[:, i] for y in found] for i, x in enumerate(b)}
     names = [("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     schema, d2, d3 = pa.schema(names), model.pairs, model.triples
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return model, by(everything, "chunk", n_chunks).applyInArrow(lambda t: _evaluate(rows_of(t), hot, hot_words, unigrams, d2, d3, schema), out)
+    return model, by(everything, "chunk", n_chunks).applyInArrow(lambda t: _evaluate(rows_of(t), parts, hot, hot_words, unigrams, d2, d3, schema), out)
 
 
 def fit(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> Model:
