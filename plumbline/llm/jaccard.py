@@ -8,14 +8,17 @@
 2. N-grams are ordered globally, rare ones first. A set's prefix is so long that two alike sets must share
    an n-gram of both prefixes (the size less the least overlap, plus one). Sets with common prefix n-grams
    are grouped by connected components of links to each n-gram's smallest set: no pairs are listed.
-3. In a group the sets form a compressed trie. A set is looked up by a walk that counts the overlap of a
-   shared path once for all sets below it and leaves out subtrees whose lengths and remaining n-grams
-   cannot reach the least overlap, or that are connected with it already. Groups beyond a task's size are
-   cut into blocks; then what is not in a group's main component meets every block, so no link is lost.
+3. In a group the sets form a compressed trie, in the global order, common n-grams first. A set is looked up by a walk that counts the
+   overlap of a shared path once for all sets below it and leaves out subtrees whose lengths and remaining n-grams
+   cannot reach the least overlap, or that are connected with it already. A group of many sets has a trie for each n-gram
+   of prefixes, so that a chain of sets that share little is not searched as a whole. Groups beyond a task's size are
+   cut into blocks. What is then not in a group's main component meets every block if a task holds it, and if
+   not the sets of its own prefixes' n-grams, so no link is lost and no group meets itself block by block.
 
 Null texts and texts without words have empty sets and link with nothing. A text with fewer than n words is
 one n-gram of all of them. Rows with equal ids or texts are rows of their own in the result. Rows with a null
-id get a component id only from others that they are linked with. Only doc_id and text are read.
+id get a component id only from others that they are linked with. Only doc_id, of an integer type, and text are read.
+Words, n-grams and sets are told apart by 64-bit hashes; but for equal hashes of different ones the join is exact.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType, LongType, StructField, StructType
+from pyspark.sql.types import AtomicType, IntegralType, LongType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
-from plumbline.llm.common import deltas, distinct, pack, release, trim, undeltas, unpack, written
+from plumbline.llm.common import deltas, distinct, pack, ranges_for, release, slices, trim, undeltas, unpack, written
 from plumbline.llm.graph import components
 
-CHUNK_BYTES, CELL_TOKENS = 16 << 20, 4_000_000
+CHUNK_BYTES, RANGE_BYTES, CELL_TOKENS = 16 << 20, 32 << 20, 4_000_000
+#: Components of more sets, and sets of more rows, may be broadcast; and how many such there can be.
+LARGE, MOST_HOT = 200, 10_000
 #: An n-gram of more sets of one chunk is hot: its sets are told so at once, and do not meet.
 HOT_SETS, _HOT_DF = 16, 0xFFFFFFFF
 #: Odd multipliers, one for each place in an n-gram.
@@ -127,7 +132,7 @@ def _chunk(ids: list, texts: list, n: int, parts: int, hot_sets: int) -> Iterato
             if b > a:
                 own, counts = np.unique(k[a:b], return_counts=True)
                 yield _row(q, _HOT, own, counts.astype(np.uint32), t[a:b])
-        t = np.unique(t)
+        t = distinct(t)
         for p, (a, b) in enumerate(_sliced(t, parts)):
             if b > a:
                 yield _row(p, _HOT_NAMES, deltas(t[a:b]))
@@ -147,7 +152,7 @@ def _repeated(part: int, blobs: list[bytes], parts: int) -> Iterator[pa.RecordBa
         yield _row(part, _REPEATED, names, counts, t, np.full(len(t), _HOT_DF, np.uint32))
     if _NGRAMS not in own:
         return
-    hot = np.unique(np.concatenate([_NONE, *(undeltas(t) for (t,) in own.get(_HOT_NAMES, ()))]))
+    hot = distinct(np.concatenate([_NONE, *(undeltas(t) for (t,) in own.get(_HOT_NAMES, ()))]))
     t = np.concatenate([undeltas(t) for t, _, _ in own[_NGRAMS]])
     k = np.concatenate([names[place] for _, place, names in own[_NGRAMS]])
     del own
@@ -280,106 +285,206 @@ class Trie:
                 yield first
 
 
-def cell_links(keys: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], labels: np.ndarray, num: int = 4, den: int = 5) -> list[tuple[int, int]]:
-    """Links that connect all alike sets of a cell (a forest over ``labels``, which are connected already)."""
+class _Roots:
+    """Union-find over the sets of a group."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, at = np.unique(labels, return_index=True, return_inverse=True)
+        self.parent, self.left = first[at].tolist(), len(first)
+
+    def find(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            self.parent[max(i, j)] = min(i, j)
+            self.left -= 1
+
+
+def cell_links(keys: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], dfs: list[np.ndarray], labels: np.ndarray, num: int = 4, den: int = 5) -> list[tuple[int, int]]:
+    """Links that connect all alike sets of a group (a forest over ``labels``, which are connected already).
+
+    tokens: of each set, in the global order, rare ones first, with their counts. A trie holds them the other way round,
+    common ones first, so that paths are shared. A group of many sets is searched by the postings of its prefixes, so that sets which
+    share none never meet."""
     m = len(keys)
     if m < 2 or (labels == labels[0]).all():
         return []
-    _, local = np.unique(np.concatenate(tokens), return_inverse=True)
-    count = np.bincount(local)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))  # n-grams that most sets share lead, so that paths are shared
     ends = np.cumsum([len(t) for t in tokens])
-    shared = (count > 1).sum()
-    sets = [(r := np.sort(rank[local[e - len(t) : e]]))[: np.searchsorted(r, shared)] for t, e in zip(tokens, ends, strict=True)]
+    all_, local = np.unique(np.concatenate(tokens), return_inverse=True)
+    df = np.zeros(len(all_), np.uint32)
+    df[local] = np.concatenate(dfs)
+    shared = np.flatnonzero(np.bincount(local) > 1)
+    rank = np.full(len(all_), len(all_))
+    rank[shared[np.lexsort((~all_[shared], ~df[shared]))]] = np.arange(len(shared))
+    rank = rank[local]
+    sets = [(r := np.sort(rank[e - len(t) : e]))[: np.searchsorted(r, len(shared))] for t, e in zip(tokens, ends, strict=True)]
     order = sorted(range(m), key=lambda i: sets[i].astype(">u4").tobytes())
     sets, sizes, keys = [sets[i] for i in order], sizes[order], keys[order]
-    _, root = np.unique(labels[order], return_inverse=True)
-    root, out = root.astype(np.int64), []
+    roots, out, marks = _Roots(labels[order]), [], np.zeros(max(1, len(shared)), bool)
 
     def connect(i: int, j: int) -> None:
         out.append((int(keys[i]), int(keys[j])))
-        root[root == root[j]] = root[i]
+        roots.join(i, j)
 
-    marks = np.zeros(max(1, int(shared)), bool)
     for i in range(1, m):  # neighbours first: most of a group of copies is connected by them
-        if root[i] != root[i - 1]:
+        if roots.find(i) != roots.find(i - 1):
             marks[sets[i - 1]] = True
             if (num + den) * int(marks[sets[i]].sum()) >= num * int(sizes[i] + sizes[i - 1]):
                 connect(i - 1, i)
             marks[sets[i - 1]] = False
-    if (root == root[0]).all():
+    if roots.left == 1:
         return out
-    trie = Trie(sets, sizes)
-    for i in range(m - 1):
-        if (root == root[i]).all():
-            break
-        marks[sets[i]] = True
-        for j in trie.alike(i, marks, root, num, den):
-            if root[i] != root[j]:
-                connect(i, j)
-        marks[sets[i]] = False
+    for own in [np.arange(m)] if m <= _FEW else _postings_of(tokens, rank, ends, order, sizes, len(shared), num, den):
+        root = np.fromiter(map(roots.find, own.tolist()), np.int64, len(own))
+        if (root == root[0]).all():
+            continue
+        trie = Trie([sets[i] for i in own], sizes[own])
+        for i in range(len(own) - 1):
+            if (root == root[i]).all():
+                break
+            marks[sets[own[i]]] = True
+            for j in trie.alike(i, marks, root, num, den):
+                if root[i] != root[j]:
+                    connect(int(own[i]), int(own[j]))
+                    root[root == root[j]] = root[i]
+            marks[sets[own[i]]] = False
     return out
 
 
-def _links_of(cells: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b of ``cells`` (cell struct of ids, key, n, tokens, label)."""
+#: A group of no more sets is one trie.
+_FEW = 64
+
+
+def _postings_of(tokens: list[np.ndarray], rank: np.ndarray, ends: np.ndarray, order: list[int], sizes: np.ndarray, shared: int, num: int, den: int) -> Iterator[np.ndarray]:
+    """Of each n-gram in prefixes of several sets, these sets' places; equal lists of places once, short ones first."""
+    place, length = [], []
+    for i, k in enumerate(order):
+        most = _prefix(int(sizes[i]), len(tokens[k]), num, den)
+        place.append(rank[ends[k] - len(tokens[k]) : ends[k] - len(tokens[k]) + most])
+        length.append(most)
+    token, owner = np.concatenate(place), np.repeat(np.arange(len(order)), length)
+    keep = token < shared
+    by = np.lexsort((owner[keep], token[keep]))
+    token, owner = token[keep][by], owner[keep][by]
+    cuts = np.flatnonzero(np.append(np.append(True, token[1:] != token[:-1]), True))
+    seen: set[bytes] = set()
+    for i in np.argsort(np.diff(cuts), kind="stable"):
+        own = owner[cuts[i] : cuts[i + 1]]
+        if len(own) > 1 and (name := own.tobytes()) not in seen:
+            seen.add(name)
+            yield own
+
+
+def _prefix(size, length, num: int, den: int):
+    """How many of a set's repeated n-grams, rare ones first, hold one that any alike set's prefix has too."""
+    return np.maximum(0, size - (num * size + den - 1) // den + 1 - (size - length))
+
+
+_MEMBER = ["key", "n", "tokens", "dfs", "label"]
+
+
+def _links_of(members: DataFrame, cell_tokens: int, num: int, den: int, name: str) -> DataFrame:
+    """a, b: links of each group of ``members`` (g, key, n, tokens, dfs, label). Groups are bundled into cells of about ``cell_tokens``."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        found = cell_links(rows["key"].to_numpy(), rows["n"].to_numpy(), [np.frombuffer(t, np.uint64) for t in rows["tokens"].to_pylist()], rows["label"].to_numpy(), num, den)
+        trim()
+        rows, found = rows.sort_by("g").combine_chunks(), []
+        g = rows["g"].to_numpy()
+        cuts = np.flatnonzero(np.append(np.append(True, g[1:] != g[:-1]), True))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            own = rows.slice(i, j - i)
+            tokens, dfs = ([np.frombuffer(t, kind) for t in own[c].to_pylist()] for c, kind in (("tokens", np.uint64), ("dfs", np.uint32)))
+            found += cell_links(own["key"].to_numpy(), own["n"].to_numpy(), tokens, dfs, own["label"].to_numpy(), num, den)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return cells.groupBy("cell").applyInArrow(run, "a long, b long")
+    size = members.agg(F.coalesce(F.sum(F.octet_length("tokens")) / 8, F.lit(0))).first()[0]
+    cells = max(members.sparkSession.sparkContext.defaultParallelism, int(-(-size // cell_tokens)))
+    dealt = members.withColumn("cell", F.pmod(F.xxhash64("g"), F.lit(4 * cells))).repartition(cells, "cell")
+    return written(dealt.groupBy("cell").applyInArrow(run, "a long, b long"), name)
 
 
 def _labelled(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    found = components(links, name)
-    return nodes.join(found, nodes["key"] == found["node"], "left").select(nodes["*"], F.coalesce("label", "key").alias("label_")).drop("label").withColumnRenamed("label_", "label")
+    found = components(links, name).select("node", F.col("label").alias("_found"))
+    return nodes.join(found, nodes["key"] == found["node"], "left").withColumn("label", F.coalesce("_found", "key")).drop("node", "_found")
+
 
+def _all_links(sets: DataFrame, groups: DataFrame, postings: DataFrame, num: int, den: int, cell_tokens: int) -> DataFrame:
+    """Links that connect the alike sets of each group. sets: key, n, tokens, dfs; groups: node, label; postings: key, token.
 
-def _all_links(sets: DataFrame, groups: DataFrame, num: int, den: int, cell_tokens: int) -> DataFrame:
-    """Links that connect the alike sets of each group. sets: key, n, tokens; groups: node, label."""
-    sets = sets.join(groups.withColumnRenamed("label", "comp"), sets["key"] == F.col("node")).select("key", "n", "tokens", "comp")
-    size = F.octet_length("tokens") / 8
+    A group beyond a cell is cut into blocks by hash. What its blocks do not connect with its main component is the
+    rest: up to a cell of it meets every block. More of it meets only the sets that it shares an n-gram of its prefix with;
+    and if there are more of those than a cell holds, in blocks."""
+    size, part = F.octet_length("tokens") / 8, lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    g = lambda *c: F.xxhash64(*c).alias("g")  # groups whose hashes are equal are searched as one
+    sets = sets.join(groups.withColumnRenamed("label", "comp"), sets["key"] == F.col("node")).select("key", "n", "tokens", "dfs", "comp")
     blocks = sets.groupBy("comp").agg(F.ceil(F.sum(size) / cell_tokens).cast("int").alias("nb"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    sets = written(sets.join(blocks, "comp"), "jaccard-sets")
-    part = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
-    base = sets.select(F.struct("comp", part(F.col("nb")).alias("i"), F.lit(0).alias("j")).alias("cell"), "key", "n", "tokens", F.col("key").alias("label"))
-    links = written(_links_of(base, num, den), "jaccard-links")
-    if sets.where("nb > 1").limit(1).count():
-        big = sets.where("nb > 1")
-        now = written(_labelled(big, links, "jaccard-blocks"), "jaccard-labels")
-        first = now.groupBy("comp", "label").agg(F.min("key").alias("key")).join(now.select("key", "n", "tokens", "nb"), "key")
-        more = written(_links_of(first.select(F.struct("comp", part(F.col("nb")).alias("i"), F.lit(1).alias("j")).alias("cell"), "key", "n", "tokens", "label"), num, den), "jaccard-links")
-        links = links.unionByName(more)
-        now = written(_labelled(big, links, "jaccard-blocks"), "jaccard-labels")
-        main = now.groupBy("comp", "label").count().groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        left = now.join(main, "comp").where("label <> main").withColumn("size", size)
-        chunks = left.groupBy("comp").agg(F.ceil(F.sum("size") / cell_tokens).cast("int").alias("nl"))
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        rest = left.join(chunks, "comp").select("comp", part(F.col("nl")).alias("i"), each("nb").alias("j"), "key", "n", "tokens", "label")
-        whole = now.join(chunks, "comp").select("comp", each("nl").alias("i"), part(F.col("nb")).alias("j"), "key", "n", "tokens", "label")
-        cells = rest.unionByName(whole).select(F.struct("comp", "i", "j").alias("cell"), "key", "n", "tokens", "label")
-        links = links.unionByName(written(_links_of(cells, num, den), "jaccard-links"))
-    return links
+    sets = written(sets.join(blocks, "comp").withColumn("label", F.col("key")), "jaccard-sets")
+    links = [_links_of(sets.select(g("comp", part(F.col("nb"))), *_MEMBER), cell_tokens, num, den, "jaccard-links")]
+    big = sets.where("nb > 1")
+    if not big.limit(1).count():
+        return links[0]
+
+    def so_far(members: DataFrame) -> DataFrame:
+        return written(_labelled(members, reduce(DataFrame.unionByName, links), "jaccard-blocks"), "jaccard-labels")
+
+    def rest_of(now: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+        """What is not in a group's main component; and nl, how many cells it fills."""
+        main = now.groupBy(group, "label").count().groupBy(group).agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+        left = now.join(main, group).where("label <> main").drop("main")
+        return left, left.groupBy(group).agg(F.ceil(F.sum(size) / cell_tokens).cast("int").alias("nl"))
+
+    def against_blocks(left: DataFrame, now: DataFrame, chunks: DataFrame, group: str) -> None:
+        rest = left.join(chunks, group).select(group, part(F.col("nl")).alias("i"), each("nb").alias("j"), *_MEMBER)
+        whole = now.join(chunks, group).select(group, each("nl").alias("i"), part(F.col("nb")).alias("j"), *_MEMBER)
+        links.append(_links_of(rest.unionByName(whole).select(g(group, "i", "j"), *_MEMBER), cell_tokens, num, den, "jaccard-links"))
+
+    now = so_far(big)
+    first = now.groupBy("comp", "label").agg(F.min("key").alias("key")).join(now.select("key", "n", "tokens", "dfs", "nb"), "key")
+    links.append(_links_of(first.select(g("comp", part(F.col("nb"))), *_MEMBER), cell_tokens, num, den, "jaccard-links"))
+    now = so_far(big)
+    left, chunks = rest_of(now, "comp")
+    chunks = written(chunks, "jaccard-rest")
+    against_blocks(left, now, chunks.where("nl = 1"), "comp")
+    if chunks.where("nl > 1").limit(1).count():
+        wide = now.join(chunks.where("nl > 1").select("comp"), "comp", "left_semi")
+        open_ = left.join(chunks.where("nl > 1").select("comp"), "comp", "left_semi").select("key")
+        own = postings.join(wide.select("key"), "key", "left_semi")
+        asked = own.join(open_, "key", "left_semi").select("token").distinct()
+        per = own.join(asked, "token").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("key")).alias("x")).where("c > 1")
+        names = own.join(per.select("token", F.xxhash64("c", "s", "x").alias("posting")), "token").select("posting", "key").distinct()  # n-grams of the same sets are one
+        met = names.join(wide.drop("comp", "nb"), "key")
+        sizes = met.groupBy("posting").agg(F.ceil(F.sum(size) / cell_tokens).cast("int").alias("nb"))
+        met = written(met.join(sizes, "posting"), "jaccard-postings")
+        links.append(_links_of(met.where("nb = 1").select(g("posting"), *_MEMBER), cell_tokens, num, den, "jaccard-links"))
+        if met.where("nb > 1").limit(1).count():
+            again = so_far(met.where("nb > 1"))
+            left, chunks = rest_of(again, "posting")
+            against_blocks(left, again, chunks, "posting")
+    return reduce(DataFrame.unionByName, links)
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | None = None, chunk_bytes: int = CHUNK_BYTES, cell_tokens: int = CELL_TOKENS, hot_sets: int = HOT_SETS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; num / den is the least similarity."""
+    """doc_id, n_shingles and component_id of every row; num / den is the least similarity. parts: ranges of hashes, by the texts' bytes if not given."""
     rows = _rows_of(docs, n, num, den, parts, chunk_bytes, cell_tokens, hot_sets)
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").cast(docs.schema["doc_id"].dataType).alias("component_id"))
 
 
 def _rows_of(docs: DataFrame, n: int, num: int, den: int, parts: int | None, chunk_bytes: int, cell_tokens: int, hot_sets: int) -> DataFrame:
     """doc_id, key, n, _label and least of every row: its set, the set's component, and the component's smallest id."""
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"documents are named by integers here, and doc_id is a {kind.simpleString()}")
+    parts = parts or ranges_for(docs, "text", RANGE_BYTES)
 
     def chunks(batches):
-        trim()
         ids, texts, size = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids.append(doc)
                 texts.append(text)
@@ -391,33 +496,52 @@ def _rows_of(docs: DataFrame, n: int, num: int, den: int, parts: int | None, chu
             yield from _chunk(ids, texts, n, parts, hot_sets)
 
     packed = "part int, blob binary"
+    by = lambda df: df.repartition(parts, "part").groupBy("part")
     table_of = lambda batches, schema: pa.Table.from_batches(list(batches), schema=schema)
     wire = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
     ngrams = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(chunks, packed)
-    repeated = ngrams.groupBy("part").applyInArrow(lambda t: table_of(_repeated(t["part"][0].as_py(), t["blob"].to_pylist(), parts), wire), packed)
-    state = repeated.groupBy("part").applyInArrow(lambda t: table_of(_candidates(t["blob"].to_pylist(), num, den), _STATE), "doc_id long, key long, n long, tokens binary, dfs binary")
+    repeated = by(ngrams).applyInArrow(lambda t: table_of(_repeated(t["part"][0].as_py(), t["blob"].to_pylist(), parts), wire), packed)
+    state = by(repeated).applyInArrow(lambda t: table_of(_candidates(t["blob"].to_pylist(), num, den), _STATE), "doc_id long, key long, n long, tokens binary, dfs binary")
     state = written(state, "jaccard-state")
     del ngrams, repeated
-    release(spark)  # the plans that were written are gone, and with them what they shuffled
-    rows, sets = state.where("tokens is null").select("doc_id", "key", "n"), state.where("tokens is not null").select("key", "n", "tokens")
+    release(docs.sparkSession)  # the plans that were written are gone, and with them what they shuffled
+    rows, sets = state.where("tokens is null").select("doc_id", "key", "n"), state.where("tokens is not null").select("key", "n", "tokens", "dfs")
 
     def prefixes(batches):
         for batch in batches:
             sizes = batch.column(1).to_numpy()
             tokens = [np.frombuffer(t, np.uint64) for t in batch.column(2).to_pylist()]
-            length = np.array([len(t) for t in tokens], np.int64)
-            take = np.maximum(0, sizes - (num * sizes + den - 1) // den + 1 - (sizes - length))
+            take = _prefix(sizes, np.array([len(t) for t in tokens], np.int64), num, den)
             all_ = np.concatenate([t[:k] for t, k in zip(tokens, take, strict=True)]) if len(tokens) else _NONE
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), take)), pa.array(all_.view(np.int64))], names=["key", "token"])
 
-    postings = sets.mapInArrow(prefixes, "key long, token long")
+    postings = sets.select("key", "n", "tokens").mapInArrow(prefixes, "key long, token long")
     pivots = postings.groupBy("token").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("df")).where("df > 1").drop("df")
     edges = postings.join(pivots, "token").where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     groups = components(edges, "jaccard-groups")
-    label = components(_all_links(sets, groups, num, den, cell_tokens), "jaccard-components")
-    own = rows.join(label, F.col("key") == F.col("node"), "left").select("doc_id", "key", "n", F.coalesce("label", "key").alias("_label"))
-    least = own.where("_label is not null").groupBy("_label").agg(F.min("doc_id").alias("least"))
-    return own.join(least, "_label", "left").select("doc_id", "key", "n", "_label", "least")
+    label = components(_all_links(sets, groups, postings, num, den, cell_tokens), "jaccard-components")
+    return _with_least(rows, label)
+
+
+def _with_least(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Adds to rows (doc_id, key, n) their component and its smallest id.
+
+    Copies meet as one row a set. Sets of more rows than one in MOST_HOT of all, and components of more sets, are fewer
+    than MOST_HOT: these are broadcast, so that no task gathers their rows; the others meet by name."""
+    own = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    own = written(own.join(label, F.col("key") == F.col("node"), "left").select("key", "least", "copies", F.coalesce("label", "key").alias("_label")), "jaccard-keys")
+    found = own.groupBy("_label").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("members"))
+    n_rows, n_sets = own.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.lit(1))).first()
+    hot = written(found.where(F.col("members") > max(LARGE, n_sets // MOST_HOT)).select("_label", F.col("least").alias("_hot")), "jaccard-hot")
+    own = own.drop("least").join(F.broadcast(hot), "_label", "left")
+    cold = own.where("_hot is null").drop("_hot").join(found.drop("members"), "_label")
+    keys = written(cold.unionByName(own.where("_hot is not null").withColumnRenamed("_hot", "least"), allowMissingColumns=True), "jaccard-least")
+    many = F.col("copies") > max(LARGE, n_rows // MOST_HOT)
+    common = keys.where(many).select("key", F.col("_label").alias("_l"), F.col("least").alias("_m"))
+    rows = rows.join(F.broadcast(common), "key", "left")
+    few = rows.where("key is not null and _l is null").drop("_l", "_m").join(keys.where(~many).drop("copies"), "key")
+    rest = rows.where("key is null or _l is not null").withColumnsRenamed({"_l": "_label", "_m": "least"})
+    return few.unionByName(rest).select("doc_id", "key", "n", "_label", "least")
 
 
 def representatives(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | None = None, chunk_bytes: int = CHUNK_BYTES, cell_tokens: int = CELL_TOKENS, hot_sets: int = HOT_SETS) -> DataFrame:

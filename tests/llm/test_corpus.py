@@ -55,7 +55,7 @@ def near_copies(n=500, seed=3):
     return rows + [(7, None), (8, ""), (10, " \n"), (None, rows[0][1]), (13, rows[0][1].upper()), (13, rows[1][1]), (16, "a b c"), (19, "A\tb  c")]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"cell_tokens": 2_000, "chunk_bytes": 5_000}, {"cell_tokens": 300, "parts": 3}, {"hot_sets": 2, "chunk_bytes": 4_000}, {"hot_sets": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"cell_tokens": 2_000, "chunk_bytes": 5_000}, {"cell_tokens": 1_000, "parts": 3}, {"hot_sets": 2, "chunk_bytes": 4_000}, {"hot_sets": 1}])
 def test_join_against_brute_force(spark, sizes):
     rows = near_copies()
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long").repartition(3)
@@ -84,12 +84,51 @@ def test_of_rows_that_share_an_id_or_have_none_one_stays(spark):
     assert sorted(map(tuple, jaccard.representatives(named).collect()), key=repr) == sorted((w for w in want if w[0] and w[0] > 3), key=repr)
 
 
+def in_order(sets):
+    """Sets in their global order, rare ones first, and their counts."""
+    tokens, df = np.unique(np.concatenate(sets), return_counts=True)
+    df = dict(zip(tokens.tolist(), df.tolist()))
+    sets = [np.array(sorted(s.tolist(), key=lambda t: (df[t], t)), np.uint64) for s in sets]
+    return sets, [np.array([df[t] for t in s.tolist()], np.uint32) for s in sets]
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_groups_of_many_sets_are_searched_by_postings(few, monkeypatch):
+    monkeypatch.setattr(jaccard, "_FEW", few)
+    r = np.random.default_rng(4)
+    bases = [r.integers(0, 2**62, 50).astype(np.uint64) for _ in range(9)]
+    sets = [np.unique(np.concatenate([bases[i % 9][r.random(50) < 0.93], bases[(i + 1) % 9][:2]])) for i in range(150)]
+    n = np.array([len(s) for s in sets])
+    links = jaccard.cell_links(np.arange(150), n, *in_order(sets), np.arange(150))
+    alike = lambda a, b: 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (n[a] + n[b])
+    assert all(alike(a, b) for a, b in links)
+    mine, all_ = (graph.union_find(*np.array(e).T) for e in (links, [(a, b) for a in range(150) for b in range(a) if alike(a, b)]))
+    assert mine[0].tolist() == all_[0].tolist() and mine[1].tolist() == all_[1].tolist()
+
+
+def test_a_long_chain_of_sets_that_share_little(spark):
+    """Each text has one passage of the text before it and one of the next: a component of 10^5 sets, few of them alike."""
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat((F.col("id") + j).cast("string"), F.lit(f"w{k}")) for j in (0, 1) for k in range(26))).alias("text"))
+    more = spark.createDataFrame([(n + 5, " ".join(f"{i}w{k}" for i in (500, 501) for k in range(26))[:-4])], "doc_id long, text string")
+    out = jaccard.join(df.unionByName(more), cell_tokens=400_000)
+    assert out.count() == n + 1
+    assert [tuple(r) for r in out.where("doc_id <> component_id").collect()] == [(n + 5, 47, 500)]
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(TypeError, match="integers"):
+        jaccard.join(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    out = jaccard.join(spark.createDataFrame([(2, "a b"), (1, "A b")], "doc_id int, text string"))
+    assert out.schema["component_id"].dataType.simpleString() == "int" and {r.component_id for r in out.collect()} == {1}
+
+
 def test_trie_finds_every_connection():
     r = np.random.default_rng(1)
     base = r.integers(0, 2**62, 80).astype(np.uint64)
     sets = [np.unique(np.where(r.random(80) < 0.06, r.integers(0, 2**62, 80).astype(np.uint64), base)) for _ in range(60)]
     n = np.array([len(s) for s in sets])
-    links = jaccard.cell_links(np.arange(60), n, sets, np.arange(60))
+    links = jaccard.cell_links(np.arange(60), n, *in_order(sets), np.arange(60))
     alike = lambda a, b: 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (n[a] + n[b])
     assert all(alike(a, b) for a, b in links)
     mine, all_ = (graph.union_find(*np.array(e).T) for e in (links, [(a, b) for a in range(60) for b in range(a) if alike(a, b)]))
