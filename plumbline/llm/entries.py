@@ -99,11 +99,17 @@ rules(verdict, rule, rule_host, rule_path) AS (VALUES
 ruled AS (
   SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS rule_verdict
   FROM parsed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+suffixes(s) AS (VALUES {suffixes}),
 bad AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+named AS (SELECT *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'gs') AS name FROM parsed),
+cut AS (
+  SELECT name, CASE WHEN regexp_matches(name, '^[0-9.]+$|[\[\]:]') THEN 0 ELSE coalesce(max(len(string_split(s, '.'))), 1) END AS labels
+  FROM (SELECT DISTINCT name FROM named) LEFT JOIN suffixes ON name = s OR ends_with(name, '.' || s) GROUP BY name),
 h AS (
-  SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad,
-    list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, split_part(host, '.', -1) AS suffix
-  FROM parsed LEFT JOIN bad USING (page_id) GROUP BY host),
+  SELECT name, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad,
+    CASE WHEN labels = 0 THEN name ELSE array_to_string(list_slice(string_split(name, '.'), -labels - 1, -1), '.') END AS domain,
+    CASE WHEN labels = 0 THEN '' ELSE array_to_string(list_slice(string_split(name, '.'), -labels, -1), '.') END AS suffix
+  FROM named JOIN cut USING (name) LEFT JOIN bad USING (page_id) GROUP BY name, labels),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 r AS (SELECT (coalesce(sum(bad), 0) + 0.2) / (coalesce(sum(n), 0) + 2.0) AS p, coalesce(sum(n), 0) + 2.0 AS t FROM s),
@@ -112,10 +118,10 @@ s1 AS (SELECT suffix, (bad + least(m, t) * p) / (n + least(m, t)) AS p, n + leas
 d0 AS (SELECT d.*, s1.p, s1.t FROM d JOIN s1 USING (suffix)), md AS (SELECT least(1000, greatest(2, coalesce(CASE WHEN coalesce(sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) / sum(n), 0) <= 0 THEN 1000.0 ELSE sum(n * p * (1 - p)) / sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) - 1 END, 1000))) AS m FROM d0 WHERE n > 0),
 d1 AS (SELECT domain, suffix, (bad + least(m, t) * p) / (n + least(m, t)) AS p, n + least(m, t) AS t FROM d0, md),
 h0 AS (SELECT h.*, d1.p, d1.t FROM h JOIN d1 USING (domain, suffix)), mh AS (SELECT least(1000, greatest(2, coalesce(CASE WHEN coalesce(sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) / sum(n), 0) <= 0 THEN 1000.0 ELSE sum(n * p * (1 - p)) / sum(n * ((bad / n - p) ** 2 - p * (1 - p) / n)) - 1 END, 1000))) AS m FROM h0 WHERE n > 0),
-h1 AS (SELECT host, (bad + least(m, t) * p) / (n + least(m, t)) AS p, n + least(m, t) AS t FROM h0, mh)
+h1 AS (SELECT name, (bad + least(m, t) * p) / (n + least(m, t)) AS p, n + least(m, t) AS t FROM h0, mh)
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN p - 1.645 * sqrt(p * (1 - p) / (t + 1)) > 0.35 THEN 'block' ELSE 'allow' END) AS verdict
-FROM parsed LEFT JOIN ruled USING (page_id) LEFT JOIN h1 USING (host)
-"""
+FROM named LEFT JOIN ruled USING (page_id) LEFT JOIN h1 USING (name)
+""".replace("{suffixes}", ", ".join(f"('{s}')" for s in hosts.SUFFIXES))
 
 OP10_SQL = r"""
 WITH RECURSIVE w AS (

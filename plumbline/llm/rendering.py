@@ -1,24 +1,36 @@
 """Layout-aware HTML rendering: a tree with implied tags, visibility rules, and text laid out by blocks.
 
 All visible text is emitted, navigation and footers too; only what a browser without scripts would not show
-is left out: head, scripts, styles, templates, comments, and elements hidden by ``hidden``, by their style or
-by simple selectors of the page's style sheets. White
-space collapses but in ``pre``; blocks start new lines, paragraphs and headings are set off by a blank line;
-list items get bullets or numbers and their lists' indent; table cells are padded to their columns.
+is left out: head, scripts, styles, templates, comments, what a closed ``details`` holds beside its summary, and elements
+hidden by ``hidden``, by their style or by the page's style sheets. Selectors of tags, classes and ids, alone or joined by
+blanks (within) and ``>`` (child), are obeyed; others, and rules inside @media and the like, are not. What
+``visibility`` hides is shown again within an element that it makes visible.
+
+White space collapses but in ``pre``; blocks start new lines, paragraphs and headings are set off by a blank line;
+list items get bullets or numbers and their lists' indent; table cells, of any width, are padded to their columns. Columns
+without text of their own take no room. The output grows with the input: indents stop growing at INDENTS levels,
+a table whose padding would be over PADDING times its text has its cells set apart by two blanks only, and tables
+nested more than TABLES deep are laid out as blocks.
 
 Null and empty html render as the empty text. Tags left open at the end are closed, a tag cut off by the
-end is dropped, stray end tags are ignored. Pages are rendered row by row: repeats give equal rows.
+end is dropped, stray end tags are ignored. Pages are rendered row by row: repeats give equal rows. Only page_id and html are read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
+from plumbline.llm.common import slices
+
+#: Levels of indents that are told apart, how many blanks a character of a table may cost, and levels of tables.
+INDENTS, PADDING, TABLES = 20, 8, 50
+
 # Element classes of the HTML standard.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -57,7 +69,8 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -199,7 +212,7 @@ def parse(text: str) -> Node:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\Z", re.I).search(text, at)
                 raw = text[at : close.start() if close else len(text)]
                 stack[-1].children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
-                if tag == "style" and _NONE.search(raw):
+                if tag == "style" and (_NONE.search(raw) or _VISIBILITY.search(raw)):
                     styles.append(raw)
                 at = close.end() if close else len(text)
                 pop_to(len(stack) - 1)
@@ -227,25 +240,65 @@ def parse(text: str) -> Node:
 
 _AT_RULE = re.compile(r"/\*.*?\*/|@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^{};]*;", re.S)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?(?:\.([\w-]+)|#([\w-]+))?")
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+
+
+def _selector(text: str) -> list[tuple[str, frozenset[str]]] | None:
+    """The parts of a selector from the last to the first: how each stands to the part after it, and its names."""
+    found, how = [], " "
+    for word in text.replace(">", " > ").split():
+        if word == ">":
+            how = ">"
+            continue
+        m = _COMPOUND.fullmatch(word)
+        if not m:
+            return None
+        tag = {m[1].lower()} if m[1] and m[1] != "*" else set()
+        found.append((how, frozenset(tag | set(re.findall(r"[.#][\w-]+", m[2])))))
+        how = " "
+    return [(found[i + 1][0] if i + 1 < len(found) else "", names) for i, (_, names) in reversed(list(enumerate(found)))]
 
 
 def _apply_styles(root: Node, css: str) -> None:
-    """Marks elements that the page's own style sheets hide, by simple selectors: tag, .class, #id, tag.class, tag#id."""
-    rules = set()
+    """Marks elements that the page's own style sheets hide or make visible."""
+    rules: dict[str, list] = defaultdict(list)  # by a name of their last part
     for selectors, body in _RULE.findall(_AT_RULE.sub(" ", css)):
-        if _NONE.search(body):
-            rules |= {m.groups() for x in selectors.split(",") if (m := _SIMPLE.fullmatch(x.strip())) and x.strip()}
+        shown = _VISIBILITY.findall(body)
+        effect = "none" if _NONE.search(body) else shown[-1].lower() if shown else ""
+        for text in selectors.split(",") if effect else ():
+            if parts := _selector(text):
+                rules[min(parts[0][1], default="*")].append((parts, effect))
     if not rules:
         return
-    todo = [root]
+    path: list[set[str]] = []  # names of the elements above
+    above: Counter = Counter()
+    todo: list[tuple[Node, bool]] = [(root, False)]
     while todo:
-        node = todo.pop()
-        tags, id_ = (node.tag, None), node.attrs.get("id")
-        names = [(t, c.strip(), None) for t in tags for c in node.attrs.get("class", "").split()] + [(t, None, id_) for t in tags if id_] + [(node.tag, None, None)]
-        if not rules.isdisjoint(names):
-            node.attrs["hidden"] = ""
-        todo += [c for c in node.children if not isinstance(c, str)]
+        node, leaving = todo.pop()
+        if leaving:
+            above.subtract(path.pop())
+            continue
+        id_ = node.attrs.get("id", "").strip()
+        own = {node.tag, *("." + c for c in node.attrs.get("class", "").split()), *({"#" + id_} if id_ else ())}
+        for name in (*own, "*"):
+            for parts, effect in rules.get(name, ()):
+                if parts[0][1] <= own and all(above[n] > 0 for _, names in parts[1:] for n in names) and _stands(parts[1:], path):
+                    node.attrs["hidden" if effect == "none" else "_visibility"] = effect
+        path.append(own)
+        above.update(own)
+        todo.append((node, True))
+        todo += [(c, False) for c in node.children if not isinstance(c, str)]
+
+
+def _stands(parts: list[tuple[str, frozenset[str]]], path: list[set[str]]) -> bool:
+    """Do the elements above match the parts before the last, from the innermost on?"""
+    ends = {len(path)}  # where the element stands that the part before has matched
+    for how, names in parts:
+        places = (e - 1 for e in ends if e) if how == ">" else range(max(ends))
+        ends = {i for i in places if names <= path[i]}
+        if not ends:
+            return False
+    return True
 
 
 def _shown(node: Node) -> bool:
@@ -256,6 +309,12 @@ def _shown(node: Node) -> bool:
     return not ("style" in node.attrs and _NONE.search(node.attrs["style"]))
 
 
+def _visibility(node: Node) -> str:
+    """What an element's own style, or else the style sheets, say of visibility."""
+    found = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else ()
+    return found[-1].lower() if found else node.attrs.get("_visibility", "")
+
+
 class _Page:
     """Lines so far, the open line, and the gap that is due before the next text."""
 
@@ -264,7 +323,7 @@ class _Page:
         self.line: list[str] = []
         self.space = False
         self.gap = 0  # 0: go on, 1: new line, 2: blank line
-        self.indents: list[str] = []
+        self.indent, self.indents = "", [""]  # now, and of each open level
         self.mark = ""
 
     def block(self, gap: int) -> None:
@@ -278,12 +337,16 @@ class _Page:
                 self.lines.append("")
             self.gap = 0
         if not self.line:
-            indent = "".join(self.indents)
-            if self.mark:
-                indent = indent[: len(indent) - len(self.mark)] + self.mark
-                self.mark = ""
-            self.line.append(indent)
-            self.space = False
+            self.line.append(self.indents[-2] + self.mark if self.mark else self.indent)
+            self.mark, self.space = "", False
+
+    def deeper(self, width: int) -> None:
+        self.indent = self.indent + " " * width if len(self.indents) <= INDENTS else self.indent
+        self.indents.append(self.indent)
+
+    def back(self) -> None:
+        self.indents.pop()
+        self.indent = self.indents[-1]
 
     def _end_line(self) -> None:
         if self.line:
@@ -356,33 +419,47 @@ def _cells(table: Node) -> tuple[list[Node], list[list[tuple[Node, int]]]]:
     return captions, rows
 
 
-def _table(page: _Page, table: Node, depth: int, widest: int = 40) -> None:
+def _table(page: _Page, table: Node, depth: int, visible: bool) -> None:
     captions, rows = _cells(table)
     for node in captions:
         page.block(1)
-        _lay_out(page, [node], depth)
+        _lay_out(page, [node], depth, visible)
         page.block(1)
     # Cells keep their lines side by side; the parser has put loose content before the table.
-    laid = [[(render(c.children, depth + 1).split("\n"), wide) for c, wide in row] for row in rows]
+    laid = []
+    for row in rows:
+        own = []
+        for c, wide in row:
+            said = _visibility(c)
+            own.append((render(c.children, depth + 1, said == "visible" if said else visible).split("\n"), wide))
+        laid.append(own)
     widths: list[int] = []
     for row in laid:
         at = 0
         for lines, wide in row:
             widths += [0] * (at + wide - len(widths))
             if wide == 1:
-                widths[at] = max(widths[at], min(widest, max(map(len, lines))))
+                widths[at] = max(widths[at], max(map(len, lines)))
             at += wide
+    before, columns = [0], [0]  # of the columns before: their width, and how many have text of their own
+    for w in widths:
+        before.append(before[-1] + w)
+        columns.append(columns[-1] + (w > 0))
+    room = lambda at, end: before[end] - before[at] + 2 * max(0, columns[end] - columns[at] - 1)
+    text = sum(len(x) for row in laid for lines, _ in row for x in lines)
+    aligned = sum(room(0, sum(wide for _, wide in row)) * max((len(lines) for lines, _ in row), default=0) for row in laid) <= PADDING * text + 4096
     for row in laid:
         if not any(line for lines, _ in row for line in lines):
             continue
         for k in range(max(len(lines) for lines, _ in row)):
             parts, at = [], 0
             for lines, wide in row:
-                room = sum(widths[at : at + wide]) + 2 * (wide - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
+                line = lines[k] if k < len(lines) else ""
+                if line or columns[at + wide] > columns[at]:
+                    parts.append(line.ljust(room(at, at + wide)) if aligned else line)
                 at += wide
             page.block(1)
-            page.literal("  ".join(parts).rstrip(" "))
+            page.literal("  ".join(parts if aligned else filter(None, parts)).rstrip(" "))
     page.block(1)
 
 
@@ -391,23 +468,26 @@ def _number(attrs: dict[str, str]) -> int:
     return int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else 1
 
 
-def _lay_out(page: _Page, nodes: list, depth: int = 0) -> None:
+def _lay_out(page: _Page, nodes: list, depth: int = 0, visible: bool = True) -> None:
     todo: list = [(x, False) for x in reversed(nodes)]
+    seen = [visible]
     counters: list[list] = []  # of open lists: [ordered, next number]
     pre = 0
     while todo:
         node, leaving = todo.pop()
         if isinstance(node, str):
-            page.literal(node) if pre else page.text(node)
+            if seen[-1]:
+                page.literal(node) if pre else page.text(node)
             continue
         tag = node.tag
         if leaving:
+            seen.pop()
             if tag in ("pre", "xmp", "textarea"):
                 pre -= 1
             elif tag in ("ul", "ol", "menu", "dir"):
                 counters.pop()
             if tag in ("li", "dd", "blockquote"):
-                page.indents.pop()
+                page.back()
                 if tag == "li":
                     page.mark = ""
             if tag in _BLOCK:
@@ -418,9 +498,13 @@ def _lay_out(page: _Page, nodes: list, depth: int = 0) -> None:
         if tag == "br":
             page.newline()
             continue
-        if tag == "table" and depth < 20:
+        if said := _visibility(node):
+            visible = said == "visible"
+        else:
+            visible = seen[-1]
+        if tag == "table" and depth < TABLES:
             page.block(2)
-            _table(page, node, depth)
+            _table(page, node, depth, visible)
             page.block(2)
             continue
         if tag in ("td", "th"):
@@ -434,22 +518,25 @@ def _lay_out(page: _Page, nodes: list, depth: int = 0) -> None:
             if counters and counters[-1][0]:
                 mark = f"{counters[-1][1]}. "
                 counters[-1][1] += 1
-            page.indents.append(" " * len(mark))
+            page.deeper(len(mark))
             page.mark = mark
         elif tag in ("dd", "blockquote"):
-            page.indents.append("  ")
+            page.deeper(2)
         elif tag in ("pre", "xmp", "textarea"):
             pre += 1
         todo.append((node, True))
+        seen.append(visible)
         children = node.children
+        if tag == "details" and "open" not in node.attrs:
+            children = [x for x in children if not isinstance(x, str) and x.tag == "summary"][:1]
         if tag == "pre" and children and isinstance(children[0], str) and children[0].startswith("\n"):
             children = [children[0][1:], *children[1:]]
         todo += [(x, False) for x in reversed(children)]
 
 
-def render(nodes: list, depth: int = 0) -> str:
+def render(nodes: list, depth: int = 0, visible: bool = True) -> str:
     page = _Page()
-    _lay_out(page, nodes, depth)
+    _lay_out(page, nodes, depth, visible)
     return page.done()
 
 
@@ -462,7 +549,7 @@ def render_pages(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [render_page(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array([x.count("\n") + 1 if x else 0 for x in texts], pa.int64())], schema=out)
 
