@@ -10,8 +10,8 @@
    are grouped by connected components of links to each n-gram's smallest set: no pairs are listed.
 3. In a group the sets form a compressed trie, in the global order, common n-grams first. A set is looked up by a walk that counts the
    overlap of a shared path once for all sets below it and leaves out subtrees whose lengths and remaining n-grams
-   cannot reach the least overlap, or that are connected with it already. A group of many sets has a trie for each n-gram
-   of prefixes, so that a chain of sets that share little is not searched as a whole. Groups beyond a task's size are
+   cannot reach the least overlap, or that are connected with it already. A group of many sets whose prefixes' n-grams
+   part it has a trie for each of these, so that a chain of sets that share little is not searched as a whole. Groups beyond a task's size are
    cut into blocks. What is then not in a group's main component meets every block if a task holds it, and if
    not the sets of its own prefixes' n-grams, so no link is lost and no group meets itself block by block.
 
@@ -36,7 +36,7 @@ from xxhash import xxh3_64_intdigest
 from plumbline.llm.common import deltas, distinct, pack, ranges_for, release, slices, trim, undeltas, unpack, written
 from plumbline.llm.graph import components
 
-CHUNK_BYTES, RANGE_BYTES, CELL_TOKENS = 16 << 20, 32 << 20, 4_000_000
+CHUNK_BYTES, RANGE_BYTES, CELL_TOKENS = 16 << 20, 32 << 20, 1_000_000
 #: Components of more sets, and sets of more rows, may be broadcast; and how many such there can be.
 LARGE, MOST_HOT = 200, 10_000
 #: An n-gram of more sets of one chunk is hot: its sets are told so at once, and do not meet.
@@ -339,7 +339,12 @@ def cell_links(keys: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], df
             marks[sets[i - 1]] = False
     if roots.left == 1:
         return out
-    for own in [np.arange(m)] if m <= _FEW else _postings_of(tokens, rank, ends, order, sizes, len(shared), num, den):
+    groups = [np.arange(m)]
+    if m > _FEW:
+        postings = list(_postings_of(tokens, rank, ends, order, sizes, len(shared), num, den))
+        if sum(len(own) ** 2 for own in postings) < m * m:  # else the postings are much the same sets over and over
+            groups = postings
+    for own in groups:
         root = np.fromiter(map(roots.find, own.tolist()), np.int64, len(own))
         if (root == root[0]).all():
             continue
