@@ -1,15 +1,18 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
 Two logistic classifiers start from the same labelled documents, one seeing what a text is made of, the
-other its language, source and length. In each round each of them labels the documents of an unlabelled pool
-that it is surest of, and the other learns from these. Each view is then calibrated (Platt) on labelled
+other its language, source and length. In each round each of them labels all unlabelled documents, and the other
+learns from those that it is sure of. Each view is then calibrated (Platt) on labelled
 documents kept aside, and the calibrated views' log-odds are combined by a logistic of the same fold, so that
 a view which tells nothing gets no say. Every document is scored.
 
-The labelled sample and the pool are bounded, drawn in order of a hash of ids. Null and empty texts, null
-metadata and missing columns are feature values of their own. With fewer than ``least_labels`` of either
+Features of all documents are written once. A round reads them, counts each view's sure documents of either label, and brings to
+the driver about ``exchanged`` of each, those of the smallest hashes, equal documents once. So the documents learnt from are bounded, both those
+that are labelled and those that a view labels; the documents that views label and choose from are not.
+
+Null and empty texts, null metadata and missing columns are feature values of their own. With fewer than ``least_labels`` of either
 label nothing is learned: all scores are 1 and every document is kept. Conflicting labels of an id count as
-low quality. Repeated rows score alike.
+low quality. Repeated rows score alike. Columns other than doc_id, text, lang, source and n_chars are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from operator import eq
+from functools import reduce
+from operator import eq, or_
 from zlib import crc32
 
 import numpy as np
@@ -26,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import drop, slices, written
 
-LABELLED, POOL, ROUNDS = 8_000, 8_000, 4
+LABELLED, EXCHANGED, ROUNDS, SURE = 8_000, 1_000, 4, 0.97
 _SHAPES, _LANGS, _SOURCES = 128, 16, 64
 _UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
 _SIGNS = [b"#*$%&", b"|", b"!", b"?", b".", b",", b"<>", b"{}[]()", b"\n", b"-_=+/\\", bytes(range(128, 256))]
@@ -121,27 +125,23 @@ class Model:
         return np.stack([_sigmoid(z @ self.combined[0] + self.combined[1]), *map(_sigmoid, own)], 1)
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, sure: float = 0.97, share: float = 0.1, least_labels: int = 5) -> Model | None:
-    """y: 1 high quality, 0 low, -1 unlabelled. Rows are in a random order; of the labelled every third calibrates."""
-    labelled = np.flatnonzero(y >= 0)
-    fold = np.arange(len(labelled)) % 3 == 2
-    aside, known, pool = labelled[fold], labelled[~fold], np.flatnonzero(y < 0)
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, confident, rounds: int = ROUNDS, least_labels: int = 5) -> Model | None:
+    """text, meta and y (1 high quality, 0 low) of labelled documents in a random order, of which every third calibrates.
+
+    confident(views) gives, for each view, {name: (label, text row, metadata row)} of unlabelled documents that it is sure of."""
+    fold = np.arange(len(y)) % 3 == 2
+    aside, known = np.flatnonzero(fold), np.flatnonzero(~fold)
     if min((y[known] == 0).sum(), (y[known] == 1).sum(), (y[aside] == 0).sum() + 4, (y[aside] == 1).sum() + 4) < least_labels:
         return None
-    given = [dict(), dict()]  # pool rows' labels, for the text view and for the metadata view
-    for _ in range(rounds + 1):
+    given: tuple[dict, dict] = ({}, {})  # what each view has been taught by the other
+    for turn in range(rounds + 1):
         views = []
-        for x, more in zip((text, meta), given, strict=True):
-            rows = np.concatenate([known, np.fromiter(more, np.int64, len(more))])
-            views.append(logistic(x[rows], np.concatenate([y[known], np.fromiter(more.values(), np.float64, len(more))])))
-        for view, x, other in zip(views, (text, meta), reversed(given), strict=True):
-            free = np.array([i for i in pool if i not in other], np.int64)
-            if not len(free):
-                continue
-            p = _sigmoid(view.logit(x[free]))
-            for label, confidence in ((1, p), (0, 1 - p)):
-                best = np.argsort(-confidence, kind="stable")[: max(1, int(share * len(free)))]
-                other.update((int(free[i]), label) for i in best if confidence[i] >= sure)
+        for k, (x, more) in enumerate(zip((text, meta), given, strict=True)):
+            rows = np.vstack([x[known], *(r[1 + k][None] for r in more.values())])
+            views.append(logistic(rows, np.concatenate([y[known], [r[0] for r in more.values()]])))
+        if turn < rounds:
+            for own, other in zip(confident(tuple(views)), reversed(given), strict=True):
+                other.update(own)
     z = [v.logit(x[aside]) for v, x in zip(views, (text, meta), strict=True)]
     platts = tuple(platt(v, y[aside]) for v in z)
     return Model(tuple(views), platts, platt(np.stack([v * a[0] + b for v, (a, b) in zip(z, platts, strict=True)], 1), y[aside]))
@@ -158,26 +158,59 @@ def _views(batch) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([text_view(t) for t in text]) if text else np.zeros((0, width[0]), np.float32), np.stack([meta_view(*m) for m in zip(lang, source, n_chars, strict=True)]) if text else np.zeros((0, width[1]), np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
-    """labels: (doc_id, quality). ``labelled`` / 2 of either label at most, and ``pool`` others, reach the driver as features."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("_y"))
-    turn = F.xxhash64(F.lit("co-training"), "doc_id")
-    pick = lambda rows, n: rows.orderBy(turn, "doc_id").limit(n)
-    others = docs.where("doc_id is not null").select("doc_id").join(known, "doc_id", "left_anti").withColumn("_y", F.lit(-1))
-    sample = pick(known.where("_y = 0"), labelled // 2).unionByName(pick(known.where("_y > 0").withColumn("_y", F.lit(1)), labelled // 2)).unionByName(pick(others, pool).distinct())
-    rows = _with_meta(docs).join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).withColumn("_turn", turn).drop("_id")
+_STORED = ["turn", "a", "b"]
 
-    def run(batches):
+
+def _rows(batch) -> tuple[np.ndarray, np.ndarray]:
+    """The two views of stored features."""
+    return tuple(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(batch.num_rows, -1) for c in (1, 2))
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, exchanged: int = EXCHANGED, rounds: int = ROUNDS, sure: float = SURE) -> Model | None:
+    """labels: (doc_id, quality). At most ``labelled`` / 2 rows of either label are learnt from, and about ``exchanged`` of each view and label a round."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("_y")).withColumnRenamed("doc_id", "_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def views_of(batches):
         for batch in slices(batches):
             a, b = _views(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(6), batch.column(5), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], names=["turn", "y", "a", "b"])
-
-    found = rows.mapInArrow(run, "turn long, y int, a binary, b binary").collect()
-    if not found:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], names=["doc_id", "turn", "a", "b"])
+
+    named = _with_meta(docs).withColumn("_turn", F.xxhash64(F.lit("co-training"), "doc_id", "text"))
+    found = named.mapInArrow(views_of, f"doc_id {kind}, turn long, a binary, b binary")
+    found = written(found.join(known, F.col("doc_id") == F.col("_id"), "left").select(F.coalesce("_y", F.lit(-1)).alias("y"), *_STORED), "co-training")
+    taught = [r for y in (0, 1) for r in found.where("y = 0" if not y else "y > 0").orderBy("turn", "a", "b").limit(labelled // 2).collect()]
+    if not taught:
+        drop(found)
         return None
-    found.sort(key=lambda r: (r["turn"], r["a"], r["b"]))
-    stack = lambda k: np.stack([np.frombuffer(r[k], np.float32) for r in found])
-    return cotrain(stack("a"), stack("b"), np.array([r["y"] for r in found]), rounds)
+    taught.sort(key=lambda r: (r["turn"], r["a"], r["b"]))
+    pool = found.where("y < 0").select(*_STORED)
+
+    def confident(views):
+        def judged(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    p = [_sigmoid(v.logit(x)) for v, x in zip(views, _rows(batch), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in p)], names=[*_STORED, "p0", "p1"])
+
+        told = pool.mapInArrow(judged, "turn long, a binary, b binary, p0 double, p1 double")
+        groups = [(v, y, F.col(f"p{v}") >= sure if y else F.col(f"p{v}") <= 1 - sure) for v in (0, 1) for y in (0, 1)]
+        counts = told.agg(*(F.count(F.when(c, 1)) for *_, c in groups)).first()
+        share = lambda n: F.pmod(F.xxhash64("turn"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, exchanged / max(1, n)))
+        picked = [c & share(n) for (*_, c), n in zip(groups, counts, strict=True)]
+        some = told.where(reduce(or_, picked)).dropDuplicates(["turn"]).select(*_STORED, *(c.alias(f"c{i}") for i, c in enumerate(picked)))
+        out: tuple[dict, dict] = ({}, {})
+        for r in some.orderBy("turn").limit(8 * exchanged).collect():
+            rows = tuple(np.frombuffer(r[c], np.float32) for c in ("a", "b"))
+            for i, (v, y, _) in enumerate(groups):
+                if r[f"c{i}"]:
+                    out[v][r["turn"]] = (y, *rows)
+        return out
+
+    stack = lambda k: np.stack([np.frombuffer(r[k], np.float32) for r in taught])
+    model = cotrain(stack("a"), stack("b"), np.array([min(1, r["y"]) for r in taught]), confident, rounds)
+    drop(found)
+    return model
 
 
 def _scores(model: Model | None, batch) -> np.ndarray:

@@ -90,10 +90,64 @@ def test_views_teach_each_other():
     r = np.random.default_rng(2)
     truth = r.integers(0, 2, 600)
     text, meta = truth[:, None] * 2.0 + r.normal(0, 0.5, (600, 3)), truth[:, None] * 2.0 + r.normal(0, 0.5, (600, 2))
-    y = np.where(np.arange(600) < 40, truth, -1)
-    model = co.cotrain(text, meta, y)
+    asked = []
+
+    def confident(views):
+        asked.append(views)
+        p = [1 / (1 + np.exp(-v.logit(x[40:]))) for v, x in zip(views, (text, meta))]
+        return tuple({i: (int(q[i] > 0.5), text[40 + i], meta[40 + i]) for i in range(560) if abs(q[i] - 0.5) > 0.45} for q in p)
+
+    model = co.cotrain(text[:40], meta[:40], truth[:40], confident)
     p = model.scores(text, meta)
-    assert ((p[:, 0] > 0.5) == truth).mean() > 0.97 and p.shape == (600, 3)
+    assert ((p[:, 0] > 0.5) == truth).mean() > 0.97 and p.shape == (600, 3) and len(asked) == co.ROUNDS
+    alone = co.cotrain(text[:40], meta[:40], truth[:40], lambda views: ({}, {}))
+    assert any((v.w != w.w).any() for v, w in zip(model.views, alone.views))
+
+
+def test_every_unlabelled_document_may_teach(spark):
+    """Brute force over the whole pool: a view is taught documents that the other is sure of, from anywhere in the table."""
+    rows = list(documents(500))
+    df = frame(spark, rows)
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows[:120]], "doc_id long, quality int")
+    taught, cotrain = [], co.cotrain
+
+    def spied(text, meta, y, confident, *more):
+        def ask(views):
+            found = confident(views)
+            taught.append((views, found))
+            return found
+
+        return cotrain(text, meta, y, ask, *more)
+
+    co.cotrain = spied
+    try:
+        co.fit(df, labels, rounds=2)
+    finally:
+        co.cotrain = cotrain
+    texts = {co.text_view(r[1].encode()).tobytes() for r in rows[120:]} | {co.text_view(None).tobytes()}
+    for views, found in taught:
+        for k, own in enumerate(found):
+            want = {}
+            for r in rows[120:] + [(9001, None, None, None, None), (9002, "", "en", "s", 0)]:
+                x = (co.text_view((r[1] or "").encode()), co.meta_view(*r[2:5]))
+                p = 1 / (1 + np.exp(-float(views[k].logit(x[k][None])[0])))
+                if p >= co.SURE or p <= 1 - co.SURE:
+                    want[x[0].tobytes(), x[1].tobytes()] = int(p > 0.5)
+            assert {(a.tobytes(), b.tobytes()): y for y, a, b in own.values()} == want
+    assert len({x for _, found in taught for own in found for x in own}) > 200 and texts
+
+
+def test_cotraining_edge_cases(spark):
+    rows = list(documents(300))
+    df = frame(spark, rows).unionByName(frame(spark, rows[:50])).withColumnsRenamed({"score": "y"})  # repeated rows, a clashing column
+    df = df.unionByName(spark.createDataFrame([(9003, "long words " * 200_000, "en", "s", 5, None)], df.schema))
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows[:200]] + [(0, 1), (1, 0), (None, 1), (77, None), (123456, 0)], "doc_id long, quality int")
+    model = co.fit(df, labels)
+    got = co.score(df, model).collect()
+    assert len(got) == 355 and len({(r.doc_id, r.score) for r in got}) == 303
+    assert co.keep(df, model).columns == df.columns and co.fit(df.limit(0), labels) is None and co.score(df.limit(0), model).count() == 0
+    few = co.fit(df, labels.limit(6))
+    assert few is None and {r.kept for r in co.score(df, few).collect()} == {True}
 
 
 def test_cotraining_without_labels_or_columns(spark):
