@@ -77,7 +77,7 @@ class Linear:
     b: float
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((x - self.mean) / self.scale) @ self.w + self.b, -30, 30)
+        return np.clip((((x - self.mean) / self.scale) * self.w).sum(1) + self.b, -30, 30)  # by rows: equal rows score alike in any batch
 
 
 def _sigmoid(z):
@@ -122,7 +122,7 @@ class Model:
         """Columns: the combined probability of high quality, the text's and the metadata's own."""
         own = [v.logit(x) * a[0] + b for v, x, (a, b) in zip(self.views, (text, meta), self.platts, strict=True)]
         z = np.stack(own, 1)
-        return np.stack([_sigmoid(z @ self.combined[0] + self.combined[1]), *map(_sigmoid, own)], 1)
+        return np.stack([_sigmoid((z * self.combined[0]).sum(1) + self.combined[1]), *map(_sigmoid, own)], 1)
 
 
 def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, confident, rounds: int = ROUNDS, least_labels: int = 5) -> Model | None:
