@@ -1,15 +1,19 @@
-"""BPE encoding and decoding; long texts by tree concatenation.
+"""BPE encoding and decoding; unsplit text by tree concatenation.
 
-Short texts are encoded whole, in batches. A long text is cut into pieces that other tasks encode. A cut
-before white space that follows a letter, digit or sign is safe: the pre-tokenizer's pattern never joins
-across it and never looks back, so ids on both sides are those of the whole text. Where no such cut is
-near, the stretch is split as the pre-tokenizer does, and a pre-token longer than a piece is halved until
-its parts fit. Such halves are joined in a binary tree: a window of tokens around the join is encoded
+A pre-token of over TREE_CHARS characters is halved until its parts fit, the halves are encoded, and they are joined in a binary
+tree: a window of tokens around the join is encoded
 again, and grows until its first token is the left side's and its last token the right side's. A
 byte-pair encoding is the text's own exactly if every two neighbouring tokens are their own encoding; the
 window's outer tokens are unchanged, so every pair lies in the left part, the window or the right part,
 and the joined ids are those of the undivided pre-token.
 
+Texts of up to PIECE_CHARS characters are encoded in their task, in batches, each distinct stretch once while it is remembered. A longer text is cut into
+pieces that other tasks encode. A cut
+before white space that follows a letter, digit or sign is safe: the pre-tokenizer's pattern never joins
+across it and never looks back, so ids on both sides are those of the whole text. Where no such cut is
+near, the stretch is split as the pre-tokenizer does, and the halves of a pre-token longer than a piece are pieces of their own,
+joined where all of the text's ids meet. Ids are the library's whichever way a text takes.
+
 Null texts are encoded as empty ones: no ids, and the empty string's hashes. Rows that repeat give equal
 rows. Only doc_id and text are read. The library's own treatment of special tokens in a text is kept.
 """
@@ -27,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import trim
+from plumbline.llm.common import slices, trim
 
-PIECE_CHARS = 65_536
+#: Characters of a pre-token that is encoded as a whole, and of a text that is encoded in one task.
+TREE_CHARS, PIECE_CHARS = 32, 65_536
 _BATCH_CHARS, _BATCH_ROWS = 1_000_000, 400
 _DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -61,11 +66,35 @@ def _token_bytes(path: str) -> list[bytes]:
     return out
 
 
-def encode_texts(texts: list[str], path: str) -> list[list[int]]:
-    """Ids of whole texts, as the library gives them."""
+def encode_texts(texts: list[str], path: str, most: int | None = None) -> list[list[int]]:
+    """Ids of whole texts, as the library gives them; those with unsplit runs of over ``most`` characters by way of the tree."""
+    most = most or TREE_CHARS
+    run = re.compile(rf"\S{{{most},}}|\s{{{most + 1},}}")  # no other text has a longer pre-token
+    unsplit = [i for i, x in enumerate(texts) if len(x) > most and run.search(x)]
+    if not unsplit:
+        return _whole(texts, path)
+    out = dict(zip(unsplit, (encode_unsplit(texts[i], path, most) for i in unsplit), strict=True))
+    rest = [i for i in range(len(texts)) if i not in out]
+    out |= zip(rest, _whole([texts[i] for i in rest], path), strict=True)
+    return [out[i] for i in range(len(texts))]
+
+
+def _whole(texts: list[str], path: str) -> list[list[int]]:
     return [e.ids for e in _library(path)[0].encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def encode_unsplit(text: str, path: str, most: int) -> list[int]:
+    """Ids of a text by its pre-tokens, of which longer ones are encoded by halves and joined."""
+    return _encode_pretokens(_pretokens(text, path), path, most)
+
+
+def _encode_pretokens(tokens: list[str], path: str, most: int) -> list[int]:
+    special = _special(path)
+    parts = [[x] if x in special else _halves(x, most) for x in tokens]
+    ids = iter(_library(path)[1].encode_batch_fast([x for own in parts for x in own], add_special_tokens=False))
+    return [i for own in parts for i in join_tree([next(ids).ids for _ in own], path)]
+
+
 def decode_ids(ids: list[list[int]], path: str) -> list[str]:
     return _library(path)[0].decode_batch(ids, skip_special_tokens=False)
 
@@ -112,7 +141,7 @@ class Memo:
             self.odd = {x: y for x, y in self.odd.items() if x in self.known}
             self.warm = set()
         known, names = self.known, _library(self.path)[2].__getitem__
-        plain = [x for x in new if _PLAIN.fullmatch(x)]
+        plain = [x for x in new if len(x) <= TREE_CHARS and _PLAIN.fullmatch(x)]
         other = list(new.difference(plain))
         ids = encode_texts(other, self.path)
         for x, own, text in zip(other, ids, decode_ids(ids, self.path), strict=True):
@@ -169,7 +198,7 @@ def _halves(text: str, most: int) -> list[str]:
 def pieces(text: str, path: str, most: int = PIECE_CHARS) -> list[tuple[list[str], bool, bool]]:
     """(parts, patterned, inner): parts to encode on their own; with the pattern or as single pre-tokens;
     inner: the piece goes on with the pre-token in which the piece before it ends."""
-    out, at = [], 0
+    out, at, special = [], 0, _special(path)
     while at < len(text):
         if len(text) - at <= most:
             out.append(([text[at:]], True, False))
@@ -186,7 +215,7 @@ def pieces(text: str, path: str, most: int = PIECE_CHARS) -> list[tuple[list[str
             if size + len(token) > most and group:
                 out.append((group, False, False))
                 group, size = [], 0
-            if len(token) > most:
+            if len(token) > most and token not in special:
                 out += [([half], False, i > 0) for i, half in enumerate(_halves(token, most))]
             else:
                 group.append(token)
@@ -197,9 +226,13 @@ def pieces(text: str, path: str, most: int = PIECE_CHARS) -> list[tuple[list[str
     return out
 
 
+@lru_cache(maxsize=2)
+def _special(path: str) -> frozenset[str]:
+    return frozenset(t.content for t in _library(path)[0].get_added_tokens_decoder().values())
+
+
 def _pretokens(text: str, path: str) -> list[str]:
-    whole = _library(path)[0]
-    special = sorted((t.content for t in whole.get_added_tokens_decoder().values()), key=len, reverse=True)
+    whole, special = _library(path)[0], sorted(_special(path), key=len, reverse=True)
     out = []
     for part in re.split("(" + "|".join(map(re.escape, special)) + ")", text) if special else [text]:
         if part in special:
@@ -210,8 +243,9 @@ def _pretokens(text: str, path: str) -> list[str]:
 
 
 def encode_piece(parts: list[str], patterned: bool, path: str) -> list[int]:
-    t = _library(path)[0 if patterned else 1]
-    return [i for e in t.encode_batch_fast(parts, add_special_tokens=False) for i in e.ids]
+    if patterned:
+        return [i for own in encode_texts(parts, path) for i in own]
+    return _encode_pretokens(parts, path, TREE_CHARS)
 
 
 # -- joining ------------------------------------------------------------------------------------------------
@@ -258,11 +292,11 @@ def concatenate(parts: list[tuple[list[int], bool]], path: str) -> list[int]:
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids of each row, encoded whole in its task."""
+    """doc_id and ids of each row, encoded whole in its task; null texts have none, repeated rows equal ones."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encode_texts(batch.column(1).to_pylist(), path), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
