@@ -56,6 +56,7 @@ def test_remembered_stretches_give_the_same_digests():
 def test_texts_go_through_the_tree(monkeypatch):
     r = random.Random(9)
     runs = ["".join(r.choice(["a", "b", "the", "ing", "é", "漢", "😀", "-", "1"]) for _ in range(r.randint(20, 400))) for _ in range(120)]
+    runs += ["".join(r.choice(["a", "b", "the", "ing", "é", "er"]) for _ in range(r.randint(20, 400))) for _ in range(60)]
     some = [f"Some {a} words,{' ' * r.randint(1, 90)}{b}.\nMore" for a, b in zip(runs[::2], runs[1::2])] + runs + ["short words only", "<|endoftext|>" * 9, ""]
     want = [library(x) for x in some]
     assert bpe.encode_texts(some, PATH) == want
