@@ -94,12 +94,9 @@ def batched_signals(tables: dict[str, DataFrame], candidates: Sequence[tuple[str
             c = columns_of(tables[t], k)[0]
             if c not in need.setdefault(t, []):
                 need[t].append(c)
-    parts = []
-    for t, cols in need.items():
-        for c in cols:  # a column at a time, on its own type: Parquet reads no other, and rows are counted before they leave a task
-            counted = tables[t].groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-            parts.append(counted.select(F.lit(t).alias("t"), F.lit(c).alias("c"), F.when(F.col(c).cast("string") != "", canonical(tables[t], c)).alias("v"), "n"))
-    values = reduce(DataFrame.unionByName, parts).groupBy("t", "c", "v").agg(F.sum("n").alias("n"))
+    # A column at a time: Parquet reads no other. All columns are one stage, whose tasks count a value's rows before they send it.
+    parts = [tables[t].select(F.lit(t).alias("t"), F.lit(c).alias("c"), F.when(F.col(c).cast("string") != "", canonical(tables[t], c)).alias("v")) for t, cols in need.items() for c in cols]
+    values = reduce(DataFrame.unionByName, parts).groupBy("t", "c", "v").agg(F.count(F.lit(1)).alias("n"))
     named = [(i, ct, columns_of(tables[ct], ck)[0], pt, columns_of(tables[pt], pk)[0]) for i, (ct, ck, pt, pk) in enumerate(candidates)]
     roles = [r for i, ct, ck, pt, pk in named for r in ((i, ct, ck, "c"), (i, pt, pk, "p"))]
     sides = values.join(F.broadcast(spark.createDataFrame(roles, "i int, t string, c string, role string")), ["t", "c"])

@@ -52,17 +52,20 @@ def split_evenly(total: Column, n: Column, i: Column, decimals: int = 2) -> Colu
 def fifo(supply: DataFrame, demand: DataFrame, key: str, order: str, quantity: str) -> DataFrame:
     """(key, supply_no, demand_no, allocated): demands take from supplies in order, first in first out.
 
-    Both sides become intervals of the running total; two intervals of a key that intersect are an
-    allocation. Only intervals of one key meet, and each meets those that it overlaps."""
+    The running totals of both sides cut a key's quantity into stretches; each belongs to the supply and the demand
+    whose totals it does not go beyond. Both sides' cuts are sorted together and read from the end, so no rows are paired."""
 
-    def intervals(df: DataFrame, side: str) -> DataFrame:
+    def cuts(df: DataFrame, side: str) -> DataFrame:
         w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        end = F.sum(quantity).over(w)
-        return df.where(F.col(quantity) > 0).select(key, F.col(order).alias(f"{side}_no"), (end - F.col(quantity)).alias(f"{side}_from"), end.alias(f"{side}_to"))
-
-    s, d = intervals(supply, "supply"), intervals(demand, "demand")
-    met = s.join(d, key).where((F.col("supply_from") < F.col("demand_to")) & (F.col("demand_from") < F.col("supply_to")))
-    return met.select(key, "supply_no", "demand_no", (F.least("supply_to", "demand_to") - F.greatest("supply_from", "demand_from")).alias("allocated"))
+        own = df.select(key, F.col(order).alias("_no"), F.col(quantity).alias("_q"), F.sum(quantity).over(w).alias("_upto"))
+        return own.where("_q > 0").select(key, "_upto", *(F.col("_no").alias(f"{s}_no") if s == side else F.lit(None).cast(df.schema[order].dataType).alias(f"{s}_no") for s in ("supply", "demand")))
+
+    back = Window.partitionBy(key).orderBy(F.desc("_upto"))
+    so_far = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.col("_upto") - F.coalesce(F.lead("_upto").over(back), F.lit(0))
+    met = cuts(supply, "supply").unionByName(cuts(demand, "demand"))
+    met = met.select(key, *(F.last(c, ignorenulls=True).over(so_far).alias(c) for c in ("supply_no", "demand_no")), size.alias("allocated"))
+    return met.where("allocated > 0 and supply_no is not null and demand_no is not null")
 
 
 def month_end(df: DataFrame, key: str, day: str, value: str, tie: str) -> DataFrame:

@@ -81,6 +81,10 @@ def test_witness_needs_informative_rows(spark):
     assert not witness.discover(zeros, ["a", "b", "t"]).collect()
     assert not witness.discover(good.limit(10), ["a", "b", "t"]).collect()
     assert witness.supports("t = b + a", [dict(target="t", left_input="a", op="+", right_input="b")])
+    last = witness.discover(good, ["t", "a", "b"]).collect()
+    assert [(r.target, r.formula) for r in last] == [("b", "t - a")]
+    told = [r.asDict() for r in last]
+    assert all(witness.supports(f, told) for f in ("t = a + b", "t = b + a", "a = t - b", "b = t - a")) and not any(witness.supports(f, told) for f in ("t = a - b", "a = t + b", "t = a * b", "t", "t = a + b + c"))
 
 
 def test_contract_validation(spark):
