@@ -2,8 +2,9 @@
 
 Texts of a batch are turned into word numbers that no two texts share, sorted by prefix doubling in one
 suffix array, and measured by its longest common prefixes (LCP). The LCP intervals' labels are the text's
-maximal repeated substrings; a suffix's deepest interval has the larger of its two neighbouring LCPs, so
-the spans [i, i + that) are the occurrences of maximal repeats, and their union is what repeats.
+repeated substrings that cannot be prolonged to the right; a suffix's deepest interval has the larger of its two neighbouring LCPs, so
+the spans [i, i + that) are their occurrences. Each of these lies within an occurrence of a repeat that cannot be prolonged to either
+side, so that the spans' union is the union of the maximal repeats' spans, and the longest of both are the same.
 
 Nulls and texts without words have no words and no repeats, and fail the base rule of 50 words. Rows are
 judged one by one: repeated rows and ids get equal verdicts. Other columns are not read.
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import slices
+
 _SPACE, _CONTINUATION, _SYMBOLS = b" \t\n\x0b\x0c\r", bytes(range(0x80, 0xC0)), b"#*$%&|<>"
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
 
@@ -155,7 +158,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             m = measured(batch.column(1).to_pylist(), limits)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[k]) for k in (*_MEASURES, "base_failed", "kept"))], names=["doc_id", *_MEASURES, "base_failed", "kept"])
 
@@ -168,7 +171,7 @@ def keep(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if x is None else x.encode() for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(measured(texts, limits)["kept"]))
 
