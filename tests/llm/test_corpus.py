@@ -276,20 +276,3 @@ def test_repeated_rows_and_empty_tables(spark):
     assert mixing.taken_words(mixing.mix(df.limit(0))).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
     zero = spark.createDataFrame([(1, None, "s")], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.taken_words(mixing.mix(zero)).collect()] == [(0.0, 0)]
-
-
-def test_pipeline_on_the_smallest_tables(spark):
-    import corpus_pipeline
-
-    from pathlib import Path
-
-    sf = "/root/testdata/sf0.001"
-    if not Path(sf).exists():
-        pytest.skip("the driver's tables are not here")
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, sf), f"test-{name}")
-        assert docs.columns == columns and docs.count()
-    out = corpus_pipeline.run(spark, sf)
-    assert out.count() == docs.count() and out.where(F.col("n_tokens") <= 0).count() == 0
