@@ -1,7 +1,11 @@
 """A corpus in five stages: classified, ruled, deduplicated, mixed and encoded.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and is written before the
-next one reads it. All but the last return the columns of documents.
+next one reads it. All but the last return the columns of documents, with any that documents have besides; the last one row for each row of the mix.
+
+Null and empty texts are scored like others, fail the rules' 50 words and so go in the second stage. Rows without an id, or
+that share one, are rows of their own until the third stage, which keeps one row of each group of near duplicates and of each
+id. Without labels of either kind the first stage keeps everything. An empty table gives empty stages. Ids are integers.
 """
 
 from __future__ import annotations
@@ -51,7 +55,7 @@ STAGES = [
     ("bpe_encoding", bpe_encoding),
 ]
 
-#: SQL has neither the classifier, nor the permuted draws, nor the tokenizer; tests hold the stages against brute force.
+#: SQL has neither the classifier, nor the permuted draws, nor the tokenizer: tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
