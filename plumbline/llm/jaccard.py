@@ -552,7 +552,7 @@ def _with_least(rows: DataFrame, label: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, parts: int | None = None, chunk_bytes: int = CHUNK_BYTES, cell_tokens: int = CELL_TOKENS, hot_sets: int = HOT_SETS) -> DataFrame:
     """Of each component the row with the smallest id stays; of several such rows, and of those without an id, the first by text.
 
-    Rows without n-grams are alike if their ids and texts are equal. A row without an id stands beside a component's row
+    Rows without n-grams are alike if their ids and texts are equal. A row without an id stays only where its component has no row
     with one. Most ids belong to one row; only rows of other ids meet their component by their text."""
     own = written(_rows_of(docs, n, num, den, parts, chunk_bytes, cell_tokens, hot_sets).select("doc_id", "key", "_label", "least"), "jaccard-rows")
     stays = F.col("doc_id") == F.coalesce("least", "doc_id")
@@ -577,7 +577,7 @@ def representatives(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, par
 
     rows = reduce(DataFrame.unionByName, more).mapInArrow(keyed, StructType([*docs.schema.fields, StructField("__key", LongType())]))
     label = own.where("key is not null").select(F.col("key").alias("__k"), F.col("_label").alias("__label"), F.col("least").alias("__least")).distinct()
-    rows = rows.join(label, F.col("__key") == F.col("__k"), "left").where("doc_id is null or doc_id = coalesce(__least, doc_id)")
+    rows = rows.join(label, F.col("__key") == F.col("__k"), "left").where("doc_id is null and __least is null or doc_id = coalesce(__least, doc_id)")
     order = ["text", *(f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "text"))]
     first = F.row_number().over(Window.partitionBy("__label", "doc_id", F.when(F.col("__label").isNull(), F.col("text"))).orderBy(*order))
     return once.unionByName(rows.withColumn("__first", first).where("__first = 1").select(*docs.columns))
