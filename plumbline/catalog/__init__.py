@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from plumbline import registry
-from plumbline.catalog import analytics, evidence, layers, metadata, relational  # noqa: F401  (they register their queries)
+from plumbline.catalog import analytics, evidence, layers, metadata, oracles, relational  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict:

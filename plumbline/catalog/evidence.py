@@ -145,8 +145,11 @@ def _(t):
 
 @query("E14_evidence_audit")
 def _(t):
-    e = _judged(t).withColumn("evidence_complete", F.lit(True)).withColumn("name_ok", F.lit(True)).withColumnRenamed("child", "source").withColumnRenamed("parent", "target")
-    return mining.evidence_audit(e)
+    """All candidates as if they were verified, with faults planted: a key, an overlap and a complete count are missing."""
+    e = _judged(t).withColumn("name_ok", F.col("reason") != "name_mismatch").withColumns({"status": F.lit("verified"), "child_key": F.when(F.col("child") != "region", F.col("child_key")), "evidence_complete": F.col("child") != "supplier"})
+    ok = F.create_map(*(F.lit(x) for ct, ck, pt, pk in CANDIDATES for x in (f"{ct}>{pt}.{pk}", names.compatible(ck, pt, pk, ct))))
+    e = e.withColumns({"overlap": F.when(F.col("child") != "nation", F.col("overlap")), "name_ok": ok[F.concat_ws("", "child", F.lit(">"), "parent", F.lit("."), "parent_key")]})
+    return mining.evidence_audit(e.withColumnRenamed("child", "source").withColumnRenamed("parent", "target"))
 
 
 @query("E12_A13_outlier_codes", "WITH d AS (SELECT n_regionkey AS category, CASE WHEN c_custkey % 29 = 0 THEN 'ODD' ELSE r_name END AS v FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey), n AS (SELECT category, v, count(*) AS n FROM d GROUP BY ALL), e AS (SELECT category, min_by(v, (-n, v)) AS expected FROM n GROUP BY category HAVING sum(n) >= 10 AND max(n) >= 0.8 * sum(n)) SELECT category, expected, v AS outlier, n FROM n JOIN e USING (category) WHERE v <> expected")
@@ -216,7 +219,7 @@ def _(t):
 # -- witnesses ----------------------------------------------------------------------------------------------
 
 
-@query("A11_witness", "SELECT 'disc_price' AS target, 'l_extendedprice * keep' AS formula, '*' AS op, count(*) AS n_rows, count(*) AS n_matched FROM lineitem UNION ALL SELECT 'charge', 'disc_price * gross', '*', count(*), count(*) FROM lineitem")
+@query("A11_witness")
 def _(t):
     li = t("lineitem").select("l_extendedprice", (1 - F.col("l_discount")).alias("keep"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("disc_price"), (1 + F.col("l_tax")).alias("gross"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("charge"))
     found = witness.discover(li, li.columns)
@@ -275,13 +278,13 @@ def ontology() -> graphs.Graph:
     return g
 
 
-@query("K1_K3_verified_joins", "SELECT * FROM (VALUES " + ", ".join(f"('{r.child}', '{r.child_key}', '{r.parent}', '{r.parent_key}', '')" for r in RELATIONS) + ") v(source_table, child_key, target_table, parent_key, role)")
+@query("K1_K3_verified_joins")
 def _(t):
     tables = ir.project(t("region").sparkSession, ontology())
     return ir.verified_joins(tables["ont_relation"], tables["ont_evidence"], tables["ont_object"])
 
 
-@query("K2_consumable_metrics", "SELECT 'revenue' AS metric, 'certified' AS status UNION ALL SELECT 'orders', 'verified'")
+@query("K2_consumable_metrics")
 def _(t):
     from plumbline.operators.metrics import Contract
 
@@ -311,7 +314,7 @@ def _(t):
     return t("region").sparkSession.createDataFrame([(d["object"], d["via"], d["fan_out"]) for d in graphs.dimensions(ontology(), "orders")], "object string, via string, fan_out boolean")
 
 
-@query("U8_merge_relations", "SELECT 'a' AS source, 'b' AS target, '' AS role, 'rejected' AS status, 'human' AS decided_by UNION ALL SELECT 'c', 'd', '', 'verified', 'machine' UNION ALL SELECT 'e', 'f', '', 'candidate', 'machine'")
+@query("U8_merge_relations")
 def _(t):
     spark, s = t("region").sparkSession, "source string, target string, role string, status string, decided_by string"
     old = spark.createDataFrame([("a", "b", "", "rejected", "human"), ("c", "d", "", "candidate", "machine")], s)
@@ -319,7 +322,7 @@ def _(t):
     return ir.merge_relations(old, new)
 
 
-@query("U7_triple_changes", "SELECT 'a' AS s, 'p' AS p, 'x' AS removed, 'z' AS added")
+@query("U7_triple_changes")
 def _(t):
     spark, s = t("region").sparkSession, "s string, p string, o string"
     d = ir.triple_changes(spark.createDataFrame([("a", "p", "x"), ("a", "p", "y"), ("b", "p", "q")], s), spark.createDataFrame([("a", "p", "y"), ("a", "p", "z"), ("b", "p", "q")], s))

@@ -31,7 +31,7 @@ _TABLES = sorted(_ALIASED)
 _SCHEMA = {n: [(c, "bigint") for c in cols.values()] for n, cols in _ALIASED.items()}
 
 
-@query("S2_tables", _values([(n,) for n in _TABLES], "table_name"))
+@query("S2_tables")
 def _(t):
     return _frame(t, [(n,) for n in _TABLES if t(n).columns and not n.startswith(src.INTERNAL)], "table_name string")
 
@@ -41,29 +41,29 @@ def _(t):
     return _frame(t, [(c.lower(), c) for c in t("lineitem").columns], "folded string, real string")
 
 
-@query("S5_resolved_columns", "SELECT 'l_orderkey' AS a, 'l_suppkey' AS b")
+@query("S5_resolved_columns")
 def _(t):
     return _frame(t, [tuple(keys.columns_of(t("lineitem"), "L_OrderKey, l_SUPPKEY"))], "a string, b string")
 
 
-@query("S10_S11_documentation", "SELECT 'lang' AS column_name, 'ISO language' AS text")
+@query("S10_S11_documentation")
 def _(t):
     spark = t("region").sparkSession
     spark.createDataFrame([("documents", "lang", "ISO language"), ("documents", "lang", None)], "table_name string, column_name string, description string").createOrReplaceTempView("docs_of_columns")
     return src.field_documentation(spark, ["docs_of_columns"]).select("column_name", "text")
 
 
-@query("S12_S13_uploaded_long", _values([("华东", "2025年", "收入", 10.0), ("华东", "2025年", "成本", 6.0), ("华东", "2026年", "收入", 12.0), ("华东", "2026年", "成本", 7.0)], "\"地区\", \"期间\", \"项目\", \"值\"").replace("10.0", "10.0::DOUBLE").replace(" 6.0", " 6.0::DOUBLE"))
+@query("S12_S13_uploaded_long")
 def _(t):
     return headers.uploaded(t("region").sparkSession, "up", "地区,2025年,,2026年,\n,收入,成本,收入,成本\n华东,10,6,12,7\n")["up_long"]
 
 
-@query("S14_rest_records", _values([("1", "[2]"), ("3", None)], "a, b"))
+@query("S14_rest_records")
 def _(t):
     return src.read_rest(t("region").sparkSession, '{"data": [{"a": 1, "b": [2]}, {"a": 3}]}')
 
 
-@query("F2_validation", _values([("bad_agg", False), ("good", True), ("no_column", False)], "contract, valid"))
+@query("F2_validation")
 def _(t):
     cases = {"good": metrics.Contract("m", "orders", "sum", "o_totalprice"), "bad_agg": metrics.Contract("m", "orders", "median", "x"), "no_column": metrics.Contract("m", "orders", "sum")}
 
@@ -88,7 +88,7 @@ def _(t):
 _CONCEPTS = (answers.Concept("紧急订单", "orders", metrics.Filter("o_orderpriority", "=", "1-URGENT"), ("加急",)), answers.Concept("坏账", "customer", metrics.Filter("c_acctbal", "<", -1e12)), answers.Concept("幽灵", "ghosts", metrics.Filter("x", "=", 1)))
 
 
-@query("F11_concept_filters", _values([("o_orderpriority", "=", "1-URGENT"), ("o_orderdate", ">=", "1996-02-01"), ("o_orderdate", "<=", "1996-02-29")], "column_name, op, value"))
+@query("F11_concept_filters")
 def _(t):
     found = answers.filters_for("1996年2月的加急有多少", _CONCEPTS, "o_orderdate", date(2024, 1, 1))
     return _frame(t, [(f.column, f.op, f.value) for f in found], "column_name string, op string, value string")
@@ -100,29 +100,29 @@ def _(t):
     return _frame(t, [(c.name, c.status) for c in done], "concept string, status string")
 
 
-@query("F12_filter_parser", _values([("a = 1 AND b IN ('x', 'y')", 2), ("a = 1 OR b = 2", None), ("a IS NOT NULL", 1)], "text, n_filters"))
+@query("F12_filter_parser")
 def _(t):
     rows = [(w, None if (f := mining.filters_of(w)) is None else len(f)) for w in ("a = 1 AND b IN ('x', 'y')", "a = 1 OR b = 2", "a IS NOT NULL")]
     return _frame(t, rows, "text string, n_filters int")
 
 
-@query("F15_scope", _values([("nation",)], "beyond"))
+@query("F15_scope")
 def _(t):
     return _frame(t, [(x,) for x in answers.in_scope("WITH a AS (SELECT * FROM nation) SELECT * FROM a, region", {"region"})], "beyond string")
 
 
-@query("F16_literals", _values([("it''s", '"a""b"')], "literal, name").replace("'it''''s'", "'it''''s'"))
+@query("F16_literals")
 def _(t):
     sql = metrics.to_sql(metrics.Contract("m", "orders", "count", None, (metrics.Filter("x", "=", "it's"),)))
     return _frame(t, [(sql.split("'", 1)[1].rsplit("'", 1)[0], metrics._quoted('a"b'))], "literal string, name string")
 
 
-@query("J20_join_hints", _values([("orders JOIN customer ON orders.o_custkey = customer.c_custkey",), ("customer JOIN nation ON customer.c_nationkey = nation.n_nationkey",), ("supplier JOIN nation ON supplier.s_nationkey = nation.n_nationkey",)], "hint"))
+@query("J20_join_hints")
 def _(t):
     return _frame(t, [(h,) for h in answers.join_hints(ontology().edges, ["orders", "customer", "supplier"])], "hint string")
 
 
-@query("A12_supported_formulas", _values([("t = a + b", True), ("t = b + a", True), ("t = a - b", False)], "formula, supported"))
+@query("A12_supported_formulas")
 def _(t):
     w = [{"target": "t", "left_input": "a", "op": "+", "right_input": "b"}]
     return _frame(t, [(f, witness.supports(f, w) is not None) for f in ("t = a + b", "t = b + a", "t = a - b")], "formula string, supported boolean")
@@ -134,7 +134,7 @@ def _(t):
     return _frame(t, [(b["n"], b["diff"], b["lo"], b["hi"])], "n int, diff double, lo double, hi double")
 
 
-@query("A35_A36_votes", "SELECT 1 AS winner, 0.5::DOUBLE AS stability")
+@query("A35_A36_votes")
 def _(t):
     return _frame(t, [(results.vote([[], [(1, "a")], [(1.0, "a")], []]), results.jaccard({"a", "b", "c"}, {"b", "c", "d"}))], "winner int, stability double")
 
@@ -153,7 +153,7 @@ def _(t):
     return _frame(t, found, "child string, child_key string, parent string, parent_key string")
 
 
-@query("E8_declared_merge", _values([("a", "b", "verified"), ("a", "c", "rejected"), ("a", "d", "candidate")], "source, target, status"))
+@query("E8_declared_merge")
 def _(t):
     s = "source string, target string, role string, status string, decided_by string"
     old = _frame(t, [("a", "b", "", "candidate", "machine"), ("a", "c", "", "rejected", "human")], s)
@@ -161,18 +161,18 @@ def _(t):
     return ir.merge_relations(old, new).select("source", "target", "status")
 
 
-@query("E11_applied_verdicts", _values([("orders", "customer", "candidate"), ("lineitem", "orders", "verified")], "source, target, status"))
+@query("E11_applied_verdicts")
 def _(t):
     done = answers.apply_verdicts(ontology().edges[:2], {("orders", "customer", ""): "refuted"})
     return _frame(t, [(e.source, e.target, e.status) for e in done], "source string, target string, status string")
 
 
-@query("E15_gates", _values([(0, 0, "pass"), (0, 2, "review"), (1, 0, "fail")], "blocking, queue, verdict"))
+@query("E15_gates")
 def _(t):
     return _frame(t, [(b, q, mining.quality_gate(b, q)) for b, q in ((0, 0), (0, 2), (1, 0))], "blocking int, queue int, verdict string")
 
 
-@query("E16_families", _values([("order", 3), ("customer", 1)], "family, n"))
+@query("E16_families")
 def _(t):
     return _frame(t, [(k, len(v)) for k, v in names.families(["ods_order", "dwd_order", "dwd_order_bak", "dim_customer"]).items()], "family string, n int")
 
@@ -183,13 +183,13 @@ def _(t):
     return _frame(t, [(k, len(v)) for k, v in p.items()], "finding string, n int")
 
 
-@query("E20_basis", _values([("值「BUILDING」出现在列中", True), ("没有引用", False)], "reason, quoted"))
+@query("E20_basis")
 def _(t):
     values = [r.v for r in t("customer").select(F.col("c_mktsegment").alias("v")).distinct().collect()]
     return _frame(t, [(x, answers.quoted_basis(x, values)) for x in ("值「BUILDING」出现在列中", "没有引用")], "reason string, quoted boolean")
 
 
-@query("E21_code_contracts", _values([("customer", "c_custkey", "orders", "o_custkey", 2)], "left_table, left_column, right_table, right_column, seen"))
+@query("E21_code_contracts")
 def _(t):
     return _frame(t, mining.join_contracts(["SELECT 1 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"] * 2), "left_table string, left_column string, right_table string, right_column string, seen int")
 
@@ -199,7 +199,7 @@ def _(t):
     return answers.grounded_values({"part": t("part")}, ["brand#11", "nothing"], {"part": ["p_brand", "p_type"]})
 
 
-@query("G2_G3_questions", _values([("orders,region", "partial", "ok,ok,ok"), ("orders,ghost", "partial", "broken")], "anchors, verdict, route").replace("'partial', 'ok,ok,ok'", "'answerable', 'ok,ok,ok'"))
+@query("G2_G3_questions")
 def _(t):
     g = ontology()
     rows = [("orders,region", graphs.answerable(g, ["orders", "region"]), ",".join(graphs.route(g, ["orders", "customer", "nation", "region"]))), ("orders,ghost", graphs.answerable(g, ["orders", "ghost"]), ",".join(graphs.route(g, ["orders", "ghost"])))]
@@ -211,7 +211,7 @@ def _(t):
     return _frame(t, graphs.search(ontology(), ["customer", "nation"]), "object string, points int")
 
 
-@query("G8_U4_impact", _values([("breaking", "margin")], "verdict, touched"))
+@query("G8_U4_impact")
 def _(t):
     new = ontology()
     del new.objects["part"]
@@ -219,19 +219,19 @@ def _(t):
     return _frame(t, [(change["verdict"], x) for x in graphs.impact(change, {"margin": ["part"], "sales": ["orders"]})], "verdict string, touched string")
 
 
-@query("G9_chain", _values([(0, "lineitem", "orders"), (1, "orders", "customer")], "step, source, target"))
+@query("G9_chain")
 def _(t):
     edges, _why = graphs.chain(ontology(), ["lineitem", "orders", "customer"])
     return _frame(t, [(i, e.source, e.target) for i, e in enumerate(edges)], "step int, source string, target string")
 
 
-@query("U5_drift", _values([("missing_column", "orders", "o_gone"), ("missing_table", "ghosts", None)], "type, table_name, column_name"))
+@query("U5_drift")
 def _(t):
     found = graphs.drift({"ORDERS": ["O_ORDERKEY", "o_gone"], "ghosts": []}, {"orders": t("orders").columns})
     return _frame(t, [(d["type"], d["table"].lower(), d.get("column")) for d in found], "type string, table_name string, column_name string")
 
 
-@query("U9_concept_merge", _values([("a", "human"), ("b", "machine")], "concept, decided_by"))
+@query("U9_concept_merge")
 def _(t):
     f = metrics.Filter("x", "=", 1)
     done = answers.merged_concepts([answers.Concept("a", "t", f, decided_by="human")], [answers.Concept("a", "t", f), answers.Concept("b", "t", f)])
@@ -256,7 +256,7 @@ def _(t):
     return _frame(t, [(i, x) for i, b in enumerate(blocks) for x in b.tables.values() if x], "block int, table_name string")
 
 
-@query("Q5_tables_read", _values([("customer",), ("orders",)], "table_name"))
+@query("Q5_tables_read")
 def _(t):
     spark = t("region").sparkSession.newSession()
     for n in ("orders", "customer"):
@@ -265,14 +265,14 @@ def _(t):
     return _frame(t, [(x,) for x in gates.tables_read(spark, "SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")], "table_name string")
 
 
-@query("Q7_valid_rows", _values([(0, False), (1, True)], "statement, accepted"))
+@query("Q7_valid_rows")
 def _(t):
     base = "SELECT n_name, count(*) FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"
     rule = [gates.ValidRows("nation", "soft_delete", "del_flag")]
     return _frame(t, [(i, gates.valid_rows(base + tail, RELATIONS, rule).ok) for i, tail in enumerate(("", " AND COALESCE(n.del_flag, 'N') = 'N'"))], "statement int, accepted boolean")
 
 
-@query("Q10_intent", _values([("customer", "")], "missing, extra"))
+@query("Q10_intent")
 def _(t):
     v = answers.intent({"order": "orders", "customer": "customer"}, "SELECT sum(o_totalprice) FROM orders")
     return _frame(t, [(",".join(v["missing"]), ",".join(v["extra"]))], "missing string, extra string")
@@ -284,20 +284,20 @@ def _(t):
     return _frame(t, [(answers.record([{"sql": "x", **r}])["answer_id"],)], "answer_id string")
 
 
-@query("Q15_Q16_audit", _values([("n", "verified"), ("wrong", "candidate")], "metric, status"))
+@query("Q15_Q16_audit")
 def _(t):
     n = t("nation").count()
     done = answers.readjudicated({"nation": t("nation")}, [metrics.Contract("n", "nation", "count"), metrics.Contract("wrong", "nation", "count")], {"n": n, "wrong": n + 100})
     return _frame(t, [(c.name, c.status) for c in done], "metric string, status string")
 
 
-@query("Q17_replay", _values([("broken", "b"), ("changed", "c"), ("same", "a")], "outcome, statement"))
+@query("Q17_replay")
 def _(t):
     found = answers.replayed({"a": "1", "b": "2", "c": "3"}, {"a": "1", "b": "failed", "c": "4"})
     return _frame(t, [(k, x) for k, xs in found.items() for x in xs], "outcome string, statement string")
 
 
-@query("Q18_questions", _values([("为什么利润下降", "explain"), ("是否合规", "judge"), ("如果涨价", "what_if"), ("哪些订单超限", "monitor"), ("追溯批次", "trace"), ("订单金额", "lookup")], "question, kind"))
+@query("Q18_questions")
 def _(t):
     return _frame(t, [(q, wording.question_kind(q)) for q in ("为什么利润下降", "是否合规", "如果涨价", "哪些订单超限", "追溯批次", "订单金额")], "question string, kind string")
 
@@ -308,6 +308,6 @@ def _(t):
     return t("customer").sparkSession.sql(sql.replace('"customer"', "{c}"), c=t("customer"))
 
 
-@query("A10_field_classes", "SELECT 'o_orderkey' AS column_name, 'near_unique' AS class UNION ALL SELECT 'o_orderstatus', 'low_cardinality'")
+@query("A10_field_classes")
 def _(t):
     return profile.columns_profile(t("orders"), ["o_orderkey", "o_orderstatus"]).select("column_name", "class")

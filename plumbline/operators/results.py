@@ -25,6 +25,14 @@ def digest(df: DataFrame, length: int = 16) -> DataFrame:
     return sums.select(F.substring(F.sha1(F.concat_ws(":", F.col("n_rows").cast("string"), F.col("s").cast("string"), F.col("x").cast("string"))), 1, length).alias("digest"), "n_rows")
 
 
+def exact_digest(df: DataFrame, length: int = 16) -> DataFrame:
+    """digest and n_rows of a fetched result: SHA-1 of its distinct rows as text, sorted. It gathers the rows, so it is for
+    results that are shown; ``digest`` is for any size."""
+    row = F.concat_ws("\x1f", *(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) for c in sorted(df.columns)))
+    rows = df.agg(F.sort_array(F.collect_set(row)).alias("r"))
+    return rows.select(F.substring(F.sha1(F.array_join("r", "\n").cast("binary")), 1, length).alias("digest"), F.size("r").cast("long").alias("n_rows"))
+
+
 def normal(v):
     """A cell for equality: booleans and numbers as rounded floats, numeric text as numbers, other text trimmed."""
     if v is None:
