@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plumbline.catalog.evidence import _ALIASED, RELATIONS, ontology
 from plumbline.operators import channels, cleaning, timelines
 from plumbline.plans import mining
+from plumbline.plans import relational_ir as ir
 from plumbline.registry import query
 
 # -- summary layers -----------------------------------------------------------------------------------------
@@ -183,3 +185,26 @@ def _(t):
 @query("E12_kinds", "SELECT 'encoding_conflict' AS kind, (SELECT count(*) FROM (SELECT p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1)) + (SELECT count(*) FROM (SELECT p_type FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1)) AS n_findings UNION ALL SELECT 'empty_shell', count(*) FROM (SELECT 1 FROM orders HAVING min(o_orderstatus) = max(o_orderstatus))")
 def _(t):
     return cleaning.all_kinds([("encoding_conflict", cleaning.encoding_conflicts(t("part"), "p_brand", "p_type")), ("empty_shell", cleaning.empty_shells(t("orders"), ["o_orderstatus"]))])
+
+
+# -- the ontology as triples --------------------------------------------------------------------------------
+
+_E = "(VALUES " + ", ".join(f"({i}, '{r.child}', '{r.parent}', '{r.child_key}', '{r.parent_key}', '{r.status}')" for i, r in enumerate(RELATIONS)) + ") e(i, source, target, child_key, parent_key, status)"
+_O = "(VALUES " + ", ".join(f"('{n}', '{c}')" for n, cs in _ALIASED.items() for c in cs.values()) + ") o(object, attribute)"
+_TRIPLES = f"""SELECT DISTINCT 'urn:model:object/' || object AS s, 'type' AS p, 'Object' AS o FROM {_O} UNION ALL SELECT DISTINCT 'urn:model:object/' || object, 'label', object FROM {_O} UNION ALL SELECT 'urn:model:object/' || object, 'attribute', attribute FROM {_O}
+  UNION ALL SELECT 'urn:model:relation/' || i, unnest(['type', 'from', 'to', 'child_key', 'parent_key', 'status']), unnest(['Relation', 'urn:model:object/' || source, 'urn:model:object/' || target, child_key, parent_key, status]) FROM {_E}"""
+
+
+@query("K8_triples", _TRIPLES)
+def _(t):
+    return ir.triples(ir.project(t("region").sparkSession, ontology()))
+
+
+@query("K8_n_triples", f"SELECT '<' || s || '> <urn:model:' || p || '> ' || CASE WHEN starts_with(o, 'urn:model:') THEN '<' || o || '>' ELSE '\"' || o || '\"' END || ' .' AS line FROM ({_TRIPLES})")
+def _(t):
+    return ir.n_triples(ir.triples(ir.project(t("region").sparkSession, ontology())))
+
+
+@query("G10_relation_view", f"SELECT 'urn:model:relation/' || i AS relation, 'urn:model:object/' || source AS source, 'urn:model:object/' || target AS target, status FROM {_E}")
+def _(t):
+    return ir.relation_view(ir.triples(ir.project(t("region").sparkSession, ontology())))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,32 @@ def verified_joins(relations: DataFrame, evidence: DataFrame, objects: DataFrame
     return relations.where("status = 'verified'").join(evidence, "relation_id").join(t("source"), "source", "left").join(t("target"), "target", "left").select("source_table", "child_key", "target_table", "parent_key", "role")
 
 
+def triples(tables: dict[str, DataFrame], base: str = "urn:model:") -> DataFrame:
+    """s, p, o of the ontology's tables: kinds and names of objects, attributes, and each relation with its ends, keys and status."""
+    name = lambda kind, *c: F.concat_ws("", F.lit(f"{base}{kind}/"), *(F.col(x).cast("string") for x in c))
+    one = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o")).where("o is not null")
+    obj, att, rel = tables["ont_object"], tables["ont_attribute"], tables["ont_relation"].join(tables["ont_evidence"], "relation_id")
+    parts = [
+        one(obj, name("object", "object"), "type", F.lit("Object")), one(obj, name("object", "object"), "label", F.col("name")), one(att, name("object", "object"), "attribute", F.col("attribute")),
+        one(rel, name("relation", "relation_id"), "type", F.lit("Relation")), one(rel, name("relation", "relation_id"), "from", name("object", "source")), one(rel, name("relation", "relation_id"), "to", name("object", "target")),
+        *(one(rel, name("relation", "relation_id"), p, F.col(p)) for p in ("child_key", "parent_key", "status")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def n_triples(found: DataFrame, base: str = "urn:model:") -> DataFrame:
+    """One line of N-Triples for each triple, as a column ``line``; ends that are no names of the model are literals."""
+    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace("o", r"([\\\\\"])", r"\\\\$1"), "\n", r"\\\\n"), F.lit('"'))
+    o = F.when(F.startswith("o", F.lit(base)), F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(quoted)
+    return found.select(F.concat(F.lit("<"), "s", F.lit(f"> <{base}"), "p", F.lit("> "), o, F.lit(" .")).alias("line"))
+
+
+def relation_view(found: DataFrame) -> DataFrame:
+    """relation, source, target and status, from triples: a query over two patterns joined by their subject."""
+    of = lambda p, name: found.where(F.col("p") == p).select(F.col("s").alias("relation"), F.col("o").alias(name))
+    return of("from", "source").join(of("to", "target"), "relation").join(of("status", "status"), "relation")
+
+
 def dumped(tables: dict[str, DataFrame]) -> str:
     """CREATE TABLE and INSERT statements, in a stable order."""
     lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"

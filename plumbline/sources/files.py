@@ -14,17 +14,18 @@ MAX_MEMBER, MAX_TOTAL = 2_000_000, 50_000_000
 TEXT_SUFFIXES = (".sql", ".xml", ".java", ".py", ".md", ".txt", ".csv", ".json", ".yaml", ".yml")
 
 
-def members(content: bytes, most: int = MAX_TOTAL) -> Iterator[tuple[str, str]]:
-    """(name, text) of the text members of a ZIP; entries that climb out, are too large or too many bytes are left out."""
+def members(content: bytes, most: int = MAX_TOTAL, largest: int = MAX_MEMBER) -> Iterator[tuple[str, str | None, str | None]]:
+    """(name, text, left_out) of a ZIP's text members. One that is too large, or comes after too many bytes, or climbs out of the
+    archive, has no text and says why it is left out."""
     total = 0
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for info in sorted(z.infolist(), key=lambda i: i.filename):
-            if info.is_dir() or info.file_size > MAX_MEMBER or ".." in info.filename.split("/") or not info.filename.lower().endswith(TEXT_SUFFIXES):
+            if info.is_dir() or not info.filename.lower().endswith(TEXT_SUFFIXES):
                 continue
-            total += info.file_size
-            if total > most:
-                return
-            yield info.filename, z.read(info).decode("utf-8", "replace")
+            why = "climbs out" if ".." in info.filename.split("/") else "too large" if info.file_size > largest else "archive too large" if total + info.file_size > most else None
+            if why is None:
+                total += info.file_size
+            yield info.filename, None if why else z.read(info).decode("utf-8", "replace"), why
 
 
 def docx_text(content: bytes) -> str:
@@ -37,7 +38,8 @@ def docx_text(content: bytes) -> str:
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, member, text of every archive, document or text file under a path."""
+    """path, member, text and left_out of every archive's members, document and text file under a path; what is too large has
+    no text and says so."""
 
     def run(frames):
         for frame in frames:
@@ -45,11 +47,12 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
             for p, content in zip(frame["path"], frame["content"], strict=True):
                 low = p.lower()
                 if low.endswith(".zip"):
-                    out += [(p, n, t) for n, t in members(content)]
+                    out += [(p, *m) for m in members(content)]
                 elif low.endswith(".docx"):
-                    out.append((p, "", docx_text(content)))
-                elif low.endswith(TEXT_SUFFIXES) and len(content) <= MAX_MEMBER:
-                    out.append((p, "", content.decode("utf-8", "replace")))
-            yield pd.DataFrame(out, columns=["path", "member", "text"])
+                    out.append((p, "", docx_text(content), None))
+                elif low.endswith(TEXT_SUFFIXES):
+                    large = len(content) > MAX_MEMBER
+                    out.append((p, "", None if large else content.decode("utf-8", "replace"), "too large" if large else None))
+            yield pd.DataFrame(out, columns=["path", "member", "text", "left_out"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, member string, text string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, member string, text string, left_out string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import uuid
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
@@ -99,11 +101,36 @@ def imported(df: DataFrame, key: str | None, full: int = FULL_COPY, sample: int
     return (df.orderBy(F.desc(key)) if key else df).limit(sample), True
 
 
+#: Words of statements and functions that an external source never gets, and what opens a read-only session there.
+DENIED = (
+    "insert", "update", "delete", "merge", "truncate", "create", "alter", "drop", "grant", "revoke", "exec", "execute", "into", "load_file", "outfile", "dumpfile", "sleep", "pg_sleep", "pg_read_file", "xp_cmdshell", "attach", "pragma",
+)
+READ_ONLY = {"mysql": "SET SESSION TRANSACTION READ ONLY", "mariadb": "SET SESSION TRANSACTION READ ONLY", "postgresql": "SET SESSION CHARACTERISTICS AS TRANSACTION READ ONLY", "oracle": "SET TRANSACTION READ ONLY"}
+
+
+def checked_external(sql: str) -> str:
+    """One SELECT or WITH without denied words outside literals and quoted names; else an error."""
+    bare = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)
+    if not re.match(r"\s*(select|with)\b", bare, re.I) or ";" in bare.rstrip().rstrip(";"):
+        raise ValueError("an external source is asked one SELECT at a time")
+    if found := sorted({w for w in re.findall(r"[a-z_]+", bare.lower()) if w in DENIED}):
+        raise ValueError(f"not for an external source: {', '.join(found)}")
+    return sql
+
+
+def external_options(url: str, table: str, columns: Sequence[str], properties: dict | None = None) -> dict:
+    """Options of a JDBC read: one checked SELECT, in a session that is read-only where the database knows such sessions."""
+    if not re.fullmatch(r"[\w$.]+", table) or not all(re.fullmatch(r"[\w$]+", c) for c in columns):
+        raise ValueError("tables and columns are plain names")
+    kind = url.removeprefix("jdbc:").partition(":")[0].lower()
+    own = {"sessionInitStatement": READ_ONLY[kind]} if kind in READ_ONLY else {}
+    return {"url": url, "query": checked_external(f"SELECT {', '.join(columns)} FROM {table}"), **own, **(properties or {})}
+
+
 def read_external(spark: SparkSession, url: str, table: str, columns: Sequence[tuple[str, str]], properties: dict | None = None) -> DataFrame:
-    """A JDBC table with local types; columns that are not copied are null. One SELECT, no other statement."""
+    """A JDBC table with local types; columns that are not copied are null."""
     kept = [(c, local_type(t)) for c, t in columns]
-    query = f"SELECT {', '.join(c for c, t in kept if t)} FROM {table}"
-    df = spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load()
+    df = spark.read.format("jdbc").options(**external_options(url, table, [c for c, t in kept if t], properties)).load()
     return df.select(*(df[c].cast(t).alias(c) if t else F.lit(None).cast("string").alias(c) for c, t in kept))
 
 
@@ -153,17 +180,44 @@ def read_rest(spark: SparkSession, payload: str) -> DataFrame:
     return spark.createDataFrame([tuple(flat(r.get(n)) for n in names) for r in rows], schema)
 
 
-def save(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Writes beside the target and moves there at the end, so that readers see the old or the new files, never a part."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").format(kind).save(f"{path}.part")
+def _pointer(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    new, target = jvm.org.apache.hadoop.fs.Path(f"{path}.part"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(new, target):
-        raise OSError(f"cannot move {path}.part to {path}")
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    return jvm, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def save(df: DataFrame, path: str, kind: str = "parquet", keep: int = 2) -> None:
+    """Writes a version of its own below ``path``, then puts a pointer to it in the old pointer's place by one rename: ``load`` finds
+    the old version or the new one, whole, at any time. The newest ``keep`` versions stay, for readers that have begun."""
+    spark, version = df.sparkSession, f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.format(kind).save(f"{path}/{version}")
+    jvm, pointer, fs = _pointer(spark, path)
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}/_next-{version}")
+    out = fs.create(new, True)
+    out.write(bytearray(f"{kind} {version}".encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, pointer, overwrite)
+    versions = sorted(f.getPath().getName() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.isDirectory() and f.getPath().getName().startswith("v-"))
+    for old in versions[: max(0, len(versions) - keep)]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The version that ``save`` has last put in place."""
+    jvm, pointer, fs = _pointer(spark, path)
+    stream = fs.open(pointer)
+    kind, _, version = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").partition(" ")
+    stream.close()
+    return spark.read.format(kind).load(f"{path}/{version}")
+
+
+def save_field_profile(df: DataFrame, columns: Sequence[str], path: str) -> None:
+    """The profile of columns as one CSV with a header."""
+    from plumbline.operators.profile import columns_profile
+
+    columns_profile(df, columns).orderBy("column_name").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def append_events(df: DataFrame, path: str) -> None:

@@ -29,10 +29,17 @@ def alerts(events: DataFrame, time: str, key: str, rules: Sequence[Rule], late:
 
 
 def newest(events: DataFrame, time: str, key: str, value: str) -> DataFrame:
-    """The latest value of each key (complete or update mode)."""
+    """The latest value of each key (complete or update mode). State holds one row a key, for as long as the stream runs: for keys of a bounded number."""
     return events.groupBy(key).agg(F.max_by(value, time).alias(value), F.max(time).alias(time))
 
 
+def newest_per_day(events: DataFrame, time: str, key: str, value: str, late: str = "1 day") -> DataFrame:
+    """The latest value of each key and day; a day's state goes when the watermark has passed it, so that state stays bounded for any keys."""
+    own = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    out = own.groupBy(F.window(time, "1 day"), key).agg(F.max_by(value, time).alias(value), F.max(time).alias(time))
+    return out.select(F.to_date("window.start").alias("day"), key, value, time)
+
+
 def reverify(events: DataFrame, check: Callable[[DataFrame], None], checkpoint: str):
     """Runs ``check`` on every micro-batch, for bindings that new data may support or refute."""
     return events.writeStream.foreachBatch(lambda batch, _: check(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

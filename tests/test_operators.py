@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from datetime import date
 
 import pytest
@@ -237,7 +238,14 @@ def test_sources(spark, tmp_path):
     assert was and [r.k for r in cut.collect()] == [29, 28, 27, 26, 25]
     src.save(df, str(tmp_path / "t"))
     src.save(df.limit(3), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 3 and not (tmp_path / "t.part").exists()
+    before = src.load(spark, str(tmp_path / "t"))
+    assert before.count() == 3
+    src.save(df, str(tmp_path / "t"))
+    assert src.load(spark, str(tmp_path / "t")).count() == 30 and before.count() == 3  # who has begun reads on
+    src.save(df.limit(1), str(tmp_path / "t"), "json")
+    assert src.load(spark, str(tmp_path / "t")).count() == 1 and len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("v-")]) == 2
+    src.save_field_profile(df, ["k"], str(tmp_path / "profile"))
+    assert spark.read.csv(str(tmp_path / "profile"), header=True).first()["class"] == "near_unique"
     s = src.Sources(spark)
     s.register(src.Source("here", str(tmp_path), ()))
     with pytest.raises(KeyError):
@@ -257,7 +265,38 @@ def test_archives(spark, tmp_path):
         z.writestr("image.png", "x")
     with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
         z.writestr("word/document.xml", '<w:p a="1"><w:t>one &amp; </w:t><w:t>two</w:t></w:p><w:p ><w:t>three</w:t></w:p>')
-    assert {(r.member, r.text) for r in files.texts(spark, str(tmp_path)).collect()} == {("q.sql", "select 1"), ("", "one & two\nthree")}
+    found = {(r.member, r.text, r.left_out) for r in files.texts(spark, str(tmp_path)).collect()}
+    assert found >= {("q.sql", "select 1", None), ("", "one & two\nthree", None)} and all(t is None and why for m, t, why in found if m not in ("q.sql", ""))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("a.sql", "x" * 10)
+        z.writestr("b.sql", "y" * 100)
+        z.writestr("c.sql", "z" * 12)
+    assert [(n, why) for n, _, why in files.members(data.getvalue(), most=15, largest=50)] == [("a.sql", None), ("b.sql", "too large"), ("c.sql", "archive too large")]
+
+
+def test_workbooks(spark):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>地区</t></si><si><r><t>2025</t></r><r><t>年</t></r></si><si><t>收入</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="B2" t="s"><v>2</v></c><c r="C2" t="inlineStr"><is><t>成本</t></is></c></row><row><c r="A3" t="str"><v>华东</v></c><c r="B3"><f>5+5</f><v>10</v></c><c r="C3"><v>6.5</v></c></row></sheetData></worksheet>')
+    out = headers.uploaded(spark, "w", headers.workbook_text(data.getvalue()))
+    assert out["w"].columns == ["地区", "2025年_收入", "2025年_成本"] and {tuple(r) for r in out["w_long"].collect()} == {("华东", "2025年", "收入", 10.0), ("华东", "2025年", "成本", 6.5)}
+
+
+def test_external_sources_are_only_read():
+    o = src.external_options("jdbc:mysql://h/db", "sales.orders", ["id", "amount"])
+    assert o["query"] == "SELECT id, amount FROM sales.orders" and o["sessionInitStatement"].endswith("READ ONLY") and "sessionInitStatement" not in src.external_options("jdbc:h2:mem", "t", ["a"])
+    assert src.checked_external("WITH a AS (SELECT 'drop; delete' AS x FROM t) SELECT * FROM a;")
+    for bad in ("DELETE FROM t", "SELECT 1; SELECT 2", "SELECT * INTO x FROM t", "WITH a AS (DELETE FROM t RETURNING 1) SELECT * FROM a", "SELECT pg_sleep(9)", "SELECT load_file('/etc/passwd')", "", "EXPLAIN SELECT 1"):
+        with pytest.raises(ValueError):
+            src.checked_external(bad)
+    for table, column in (("t; drop table x", "a"), ("t", "a, (select 1)")):
+        with pytest.raises(ValueError):
+            src.external_options("jdbc:h2:mem", table, [column])
 
 
 def test_merges(spark):
