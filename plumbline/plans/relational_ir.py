@@ -58,7 +58,8 @@ def triples(tables: dict[str, DataFrame], base: str = "urn:model:") -> DataFrame
 
 def n_triples(found: DataFrame, base: str = "urn:model:") -> DataFrame:
     """One line of N-Triples for each triple, as a column ``line``; ends that are no names of the model are literals."""
-    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace("o", r"([\\\\\"])", r"\\\\$1"), "\n", r"\\\\n"), F.lit('"'))
+    plain = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")], F.col("o"))
+    quoted = F.concat(F.lit('"'), plain, F.lit('"'))
     o = F.when(F.startswith("o", F.lit(base)), F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(quoted)
     return found.select(F.concat(F.lit("<"), "s", F.lit(f"> <{base}"), "p", F.lit("> "), o, F.lit(" .")).alias("line"))
 

@@ -354,3 +354,8 @@ def test_registered_tables_and_event_logs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 2
     df = spark.createDataFrame([(bytearray(b"\x01\x00"),), (bytearray(b"123456789"),)], "b binary")
     assert [r[0] for r in df.select(src.bit_value(df["b"])).collect()] == ["256", "313233343536373839"]
+
+
+def test_triples_escape_literals(spark):
+    df = spark.createDataFrame([("urn:model:a", "p", 'say "x" \\ y\nz'), ("urn:model:a", "q", "urn:model:b")], "s string, p string, o string")
+    assert [r.line for r in ir.n_triples(df).collect()] == ['<urn:model:a> <urn:model:p> "say \\"x\\" \\\\ y\\nz" .', "<urn:model:a> <urn:model:q> <urn:model:b> ."]
