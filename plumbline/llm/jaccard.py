@@ -427,9 +427,10 @@ def _all_links(sets: DataFrame, groups: DataFrame, postings: DataFrame, num: int
     size, part = F.octet_length("tokens") / 8, lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     g = lambda *c: F.xxhash64(*c).alias("g")  # groups whose hashes are equal are searched as one
-    sets = sets.join(groups.withColumnRenamed("label", "comp"), sets["key"] == F.col("node")).select("key", "n", "tokens", "dfs", "comp")
-    blocks = sets.groupBy("comp").agg(F.ceil(F.sum(size) / cell_tokens).cast("int").alias("nb"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    sets = written(sets.join(blocks, "comp").withColumn("label", F.col("key")), "jaccard-sets")
+    named = groups.select("node", F.col("label").alias("comp"))
+    blocks = sets.select("key", size.alias("size")).join(named, F.col("key") == F.col("node")).groupBy("comp").agg(F.ceil(F.sum("size") / cell_tokens).cast("int").alias("nb"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    named = named.join(blocks, "comp")  # names only: a set's n-grams are sent once to meet its group's name, and once to its cell
+    sets = written(sets.join(named, sets["key"] == F.col("node")).select("comp", "key", "n", "tokens", "dfs", "nb", F.col("key").alias("label")), "jaccard-sets")
     links = [_links_of(sets.select(g("comp", part(F.col("nb"))), *_MEMBER), cell_tokens, num, den, "jaccard-links")]
     big = sets.where("nb > 1")
     if not big.limit(1).count():
@@ -556,10 +557,10 @@ def representatives(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, par
     with one. Most ids belong to one row; only rows of other ids meet their component by their text."""
     own = written(_rows_of(docs, n, num, den, parts, chunk_bytes, cell_tokens, hot_sets).select("doc_id", "key", "_label", "least"), "jaccard-rows")
     stays = F.col("doc_id") == F.coalesce("least", "doc_id")
-    ids = own.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(stays).alias("stays")).where("stays")
-    ids = written(ids.select("doc_id", "rows"), "jaccard-ids")
-    once = docs.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    shared, unnamed = ids.where("rows > 1").select("doc_id"), docs.where("doc_id is null")
+    ids = own.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(stays).alias("stays"))
+    ids = written(ids.where("not stays or rows > 1"), "jaccard-ids")  # most ids stay and belong to one row: the others are fewer
+    once = docs.where("doc_id is not null").join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    shared, unnamed = ids.where("stays and rows > 1").select("doc_id"), docs.where("doc_id is null")
     more = []
     if shared.limit(1).count():
         more.append(docs.join(shared, "doc_id", "left_semi").select(*docs.columns))
