@@ -122,7 +122,7 @@ def _(t):
 @query("E9_name_channel", "SELECT count(*) AS n_pairs, round(avg(CASE WHEN lower(n_name) = lower(nation_name) THEN 1.0 ELSE 0.0 END), 4) AS agree FROM (SELECT DISTINCT c_nationkey, upper(n_name) AS nation_name FROM customer JOIN nation x ON x.n_nationkey = c_nationkey) JOIN nation ON n_nationkey = c_nationkey")
 def _(t):
     n = t("nation")
-    child = t("customer").join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey")).select("c_nationkey", F.upper("n_name").alias("nation_name")).distinct()
+    child = t("customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("c_nationkey", F.upper("n_name").alias("nation_name")).distinct()
     j = child.join(n, F.col("n_nationkey") == F.col("c_nationkey"))
     return j.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(F.when(F.lower("n_name") == F.lower("nation_name"), 1.0).otherwise(0.0)), 4).alias("agree"))
 
@@ -154,7 +154,7 @@ def _(t):
 
 @query("E12_A13_outlier_codes", "WITH d AS (SELECT n_regionkey AS category, CASE WHEN c_custkey % 29 = 0 THEN 'ODD' ELSE r_name END AS v FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey), n AS (SELECT category, v, count(*) AS n FROM d GROUP BY ALL), e AS (SELECT category, min_by(v, (-n, v)) AS expected FROM n GROUP BY category HAVING sum(n) >= 10 AND max(n) >= 0.8 * sum(n)) SELECT category, expected, v AS outlier, n FROM n JOIN e USING (category) WHERE v <> expected")
 def _(t):
-    d = t("customer").join(F.broadcast(t("nation")), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(t("region")), F.col("r_regionkey") == F.col("n_regionkey"))
+    d = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
     return keys.outliers(d.select("n_regionkey", F.when(F.col("c_custkey") % 29 == 0, "ODD").otherwise(F.col("r_name")).alias("v")), "n_regionkey", "v")
 
 

@@ -135,7 +135,7 @@ _CODED = "SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 11 = 0 THEN 'X' E
 
 
 def _coded(t):
-    return t("customer").join(F.broadcast(t("nation")), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 11 == 0, "X").otherwise(F.substring("n_name", 1, 2)).alias("code"))
+    return t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 11 == 0, "X").otherwise(F.substring("n_name", 1, 2)).alias("code"))
 
 
 @query("F9_recode", f"WITH d AS ({_CODED}), n AS (SELECT c_nationkey AS category, code, count(*) AS n FROM d GROUP BY ALL), e AS (SELECT category, min_by(code, (-n, code)) AS expected FROM n GROUP BY category) SELECT c_custkey, c_nationkey, CASE WHEN code = 'X' THEN expected ELSE code END AS code FROM d JOIN e ON category = c_nationkey")
@@ -277,7 +277,7 @@ def _(t):
     orders = t("orders").join(t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
     items = t("lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     found = t("supplier").join(items.select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_semi")
-    return found.join(F.broadcast(t("nation")), F.col("n_nationkey") == F.col("s_nationkey"), "left").select("s_suppkey", "n_name").distinct()
+    return found.join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"), "left").select("s_suppkey", "n_name").distinct()
 
 
 @query("J17_self_join", "SELECT a.n_name AS left_nation, b.n_name AS right_nation FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")

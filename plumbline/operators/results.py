@@ -68,7 +68,8 @@ def equal_frames(a: DataFrame, b: DataFrame) -> bool:
 
 
 def derived_numbers(df: DataFrame, order: str, value: str) -> DataFrame:
-    """What a text may say about a column: per row its step, growth and share; and the column's sum, extremes, mean, range."""
+    """What a text may say about a column: per row its step, growth and share; and the column's sum, extremes, mean, range. For a
+    fetched result: its rows are ordered in one task."""
     w = Window.orderBy(order)
     everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     v, before = F.col(value), F.lag(value).over(w)

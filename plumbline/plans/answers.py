@@ -66,7 +66,7 @@ def merged_concepts(old: Sequence[Concept], new: Sequence[Concept]) -> list[Conc
 def grounded_values(tables: dict[str, DataFrame], literals: Collection[str], columns: dict[str, Sequence[str]]) -> DataFrame:
     """(table_name, column_name, value, n): where the literals of a question occur as text values, case apart."""
     spark = next(iter(tables.values())).sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(x.lower(),) for x in literals], "key string"))
+    wanted = spark.createDataFrame([(x.lower(),) for x in literals], "key string")
     parts = None
     for t, cols in columns.items():
         cells = tables[t].select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols))).alias("x")).select("x.*")
