@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.catalog.evidence import _ALIASED, RELATIONS, ontology
-from plumbline.operators import channels, cleaning, timelines
-from plumbline.plans import mining
+from plumbline.functions import names
+from plumbline.operators import channels, cleaning, keys, timelines
+from plumbline.plans import gates, mining
 from plumbline.plans import relational_ir as ir
 from plumbline.registry import query
+from plumbline.sources import tables as src
 
 # -- summary layers -----------------------------------------------------------------------------------------
 
@@ -187,6 +189,48 @@ def _(t):
     return cleaning.all_kinds([("encoding_conflict", cleaning.encoding_conflicts(t("part"), "p_brand", "p_type")), ("empty_shell", cleaning.empty_shells(t("orders"), ["o_orderstatus"]))])
 
 
+# -- signals, candidates, profiles and preparation ----------------------------------------------------------
+
+
+@query("A6_signals", """WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS k FROM orders WHERE o_custkey IS NOT NULL), p AS (SELECT CAST(c_custkey AS VARCHAR) AS k FROM customer WHERE c_custkey IS NOT NULL),
+  n AS (SELECT (SELECT count(DISTINCT k) FROM c) AS cd, (SELECT count(DISTINCT k) FROM p) AS pd, (SELECT count(*) FROM (SELECT k FROM c INTERSECT SELECT k FROM p)) AS md, (SELECT count(*) FROM orders) AS cr, (SELECT count(*) FROM customer) AS pr)
+  SELECT round(CASE WHEN cd > 0 THEN 100.0 * md / cd ELSE -1 END, 6) AS overlap, cd AS child_distinct, pd AS parent_distinct, md AS matched_distinct, cr AS child_rows, pr AS parent_rows, cd = cr AS child_unique, pd = pr AS parent_unique, true AS evidence_complete, 'exact' AS evidence_method FROM n""")
+def _(t):
+    found = keys.relation_signals(t("orders"), "o_custkey", t("customer"), "c_custkey")
+    return found.withColumn("overlap", F.round("overlap", 6))
+
+
+_NOTES = {"notes": ["owner_type", "owner_id", "buyer", "kind"], "orders": ["o_custkey"]}
+
+
+@query("E7_by_comment", "WITH c(t, c, said) AS (VALUES ('notes', 'buyer', 'who bought, see customers'), ('notes', 'kind', 'free text')), p(parent, parent_key) AS (VALUES ('customer', 'c_custkey'), ('part', 'p_partkey')) SELECT t AS child, c AS child_key, parent, parent_key FROM c, p WHERE regexp_matches(said, '\\b' || parent || 's?\\b')")
+def _(t):
+    found, _left = names.candidates(_NOTES, {"customer": ["c_custkey"], "part": ["p_partkey"]}, {("notes", "buyer"): "who bought, see customers", ("notes", "kind"): "free text"})
+    return t("region").sparkSession.createDataFrame(found, "child string, child_key string, parent string, parent_key string")
+
+
+@query("E7_polymorphic", "WITH c(t, c) AS (VALUES ('notes', 'owner_type'), ('notes', 'owner_id'), ('notes', 'buyer'), ('notes', 'kind'), ('orders', 'o_custkey')) SELECT a.t AS table_name, a.c AS key_column, b.c AS discriminator FROM c a JOIN c b ON a.t = b.t AND regexp_matches(a.c, '_(id|no|code)$') AND b.c IN (regexp_replace(a.c, '_(id|no|code)$', '_type'), regexp_replace(a.c, '_(id|no|code)$', '_kind'))")
+def _(t):
+    return t("region").sparkSession.createDataFrame(names.polymorphic(_NOTES), "table_name string, key_column string, discriminator string")
+
+
+@query("E17_data_profile", """SELECT 'customer' AS table_name, count(*) AS n_rows, count(DISTINCT c_custkey) = count(*) AS keyed, round(avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END), 4) AS marked_share, CAST(NULL AS VARCHAR) AS first_day, CAST(NULL AS VARCHAR) AS last_day FROM customer
+  UNION ALL SELECT 'orders', count(*), count(DISTINCT o_orderkey) = count(*), round(avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END), 4), CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR), CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) FROM orders""")
+def _(t):
+    return src.data_profile(t("customer"), "customer", "c_custkey", F.col("c_acctbal") < 0).unionByName(src.data_profile(t("orders"), "orders", "o_orderkey", F.col("o_orderstatus") == "P", "o_orderdate"))
+
+
+_PREPARED = (("SELECT count(*) FROM prepared_nation", "prepared_nation", None), ("SELECT n_gone FROM prepared_nation", "prepared_nation", "n_gone"), ("SELECT 1 FROM prepared_ghosts", "prepared_ghosts", None), ("SELECT n_name FROM prepared_nation WHERE n_regionkey = 1", "prepared_nation", "n_name"))
+
+
+@query("Q8_prepare", "WITH s(statement, t, c) AS (VALUES " + ", ".join(f"({i}, '{tab}', {'NULL' if c is None else repr(c)})" for i, (_, tab, c) in enumerate(_PREPARED)) + "), k AS (SELECT 'prepared_nation' AS t, column_name AS c FROM (DESCRIBE nation)) SELECT CAST(statement AS INTEGER) AS statement, CASE WHEN t NOT IN (SELECT t FROM k) THEN 'missing_table' WHEN c IS NOT NULL AND c NOT IN (SELECT c FROM k) THEN 'missing_column' ELSE 'ok' END AS status, CASE WHEN t NOT IN (SELECT t FROM k) THEN t WHEN c IS NOT NULL AND c NOT IN (SELECT c FROM k) THEN c END AS name FROM s")
+def _(t):
+    spark = t("nation").sparkSession
+    t("nation").createOrReplaceTempView("prepared_nation")
+    found = [gates.prepared(spark, sql) for sql, *_ in _PREPARED]
+    return spark.createDataFrame([(i, f["status"], f["name"]) for i, f in enumerate(found)], "statement int, status string, name string")
+
+
 # -- the ontology as triples --------------------------------------------------------------------------------
 
 _E = "(VALUES " + ", ".join(f"({i}, '{r.child}', '{r.parent}', '{r.child_key}', '{r.parent_key}', '{r.status}')" for i, r in enumerate(RELATIONS)) + ") e(i, source, target, child_key, parent_key, status)"

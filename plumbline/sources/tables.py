@@ -151,6 +151,15 @@ def deleted_share(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.round(F.avg(F.when(live(column), 0.0).otherwise(1.0)), 4).alias("deleted_share"))
 
 
+def data_profile(df: DataFrame, name: str, key: str, marked, time_column: str | None = None) -> DataFrame:
+    """What the data of a table tell: rows, whether the key identifies them, the share of marked (say, deleted) rows, first and last day."""
+    day = lambda f: f(F.to_date(time_column)).cast("string") if time_column else F.lit(None).cast("string")
+    return df.agg(
+        F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), (F.count_distinct(key) == F.count(F.lit(1))).alias("keyed"), F.round(F.avg(F.when(marked, 1.0).otherwise(0.0)), 4).alias("marked_share"),
+        day(F.min).alias("first_day"), day(F.max).alias("last_day"),
+    )
+
+
 def source_profile(schema: dict[str, Sequence[tuple[str, str]]]) -> dict:
     """What names tell of a database: soft-delete and audit columns, polymorphic keys, hubs, shards, scratch tables."""
     columns = {t: [c.lower() for c, _ in cs] for t, cs in schema.items()}
