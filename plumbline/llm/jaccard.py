@@ -36,7 +36,7 @@ from xxhash import xxh3_64_intdigest
 from plumbline.llm.common import deltas, distinct, pack, ranges_for, release, slices, trim, undeltas, unpack, written
 from plumbline.llm.graph import components
 
-CHUNK_BYTES, RANGE_BYTES, CELL_TOKENS = 16 << 20, 32 << 20, 1_000_000
+CHUNK_BYTES, RANGE_BYTES, CELL_TOKENS = 16 << 20, 24 << 20, 1_000_000
 #: Components of more sets, and sets of more rows, may be broadcast; and how many such there can be.
 LARGE, MOST_HOT = 200, 10_000
 #: An n-gram of more sets of one chunk is hot: its sets are told so at once, and do not meet.
@@ -87,6 +87,11 @@ def _by_kind(blobs: list[bytes]) -> dict[int, list[list[np.ndarray]]]:
     return out
 
 
+def _blobs(rows: pa.Table) -> list[pa.Buffer]:
+    """A group's blobs as they lie in Arrow's memory."""
+    return [b.as_buffer() for b in rows["blob"]]
+
+
 _NONE = np.empty(0, np.uint64)
 
 
@@ -156,8 +161,9 @@ def _repeated(part: int, blobs: list[bytes], parts: int) -> Iterator[pa.RecordBa
     t = np.concatenate([undeltas(t) for t, _, _ in own[_NGRAMS]])
     k = np.concatenate([names[place] for _, place, names in own[_NGRAMS]])
     del own
-    order = np.argsort(t, kind="stable")
+    order = np.argsort(t)  # equal hashes are put in order of their sets below
     t, k = t[order], k[order]
+    del order
     same = t[1:] == t[:-1]
     some = np.append(same, False) | np.append(False, same) | np.isin(t, hot)
     t, k = t[some], k[some]
@@ -506,8 +512,8 @@ def _rows_of(docs: DataFrame, n: int, num: int, den: int, parts: int | None, chu
     table_of = lambda batches, schema: pa.Table.from_batches(list(batches), schema=schema)
     wire = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
     ngrams = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(chunks, packed)
-    repeated = by(ngrams).applyInArrow(lambda t: table_of(_repeated(t["part"][0].as_py(), t["blob"].to_pylist(), parts), wire), packed)
-    state = by(repeated).applyInArrow(lambda t: table_of(_candidates(t["blob"].to_pylist(), num, den), _STATE), "doc_id long, key long, n long, tokens binary, dfs binary")
+    repeated = by(ngrams).applyInArrow(lambda t: table_of(_repeated(t["part"][0].as_py(), _blobs(t), parts), wire), packed)
+    state = by(repeated).applyInArrow(lambda t: table_of(_candidates(_blobs(t), num, den), _STATE), "doc_id long, key long, n long, tokens binary, dfs binary")
     state = written(state, "jaccard-state")
     del ngrams, repeated
     release(docs.sparkSession)  # the plans that were written are gone, and with them what they shuffled
