@@ -34,7 +34,7 @@ from plumbline.llm.common import distinct, pack, slices, unpack
 #: Labelled rows to learn from: at most so many harmless and so many toxic ones, in order of a hash of their ids, and of either kind
 #: at most so many bytes of text; a text that would go beyond is passed over.
 SAMPLE = (4_000, 2_500)
-SAMPLE_BYTES = 48 << 20
+SAMPLE_BYTES = 24 << 20
 #: Marks that end a sentence.
 _END = re.compile("[.!?\n\u037e\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u1367\u203c\u203d\u2047\u2048\u2049\u2026\u3002\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61]+")
 _EDGE = b".,;:!?()[]{}\"'*%$&#|<>-_"
