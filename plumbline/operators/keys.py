@@ -95,11 +95,12 @@ def batched_signals(tables: dict[str, DataFrame], candidates: Sequence[tuple[str
             if c not in need.setdefault(t, []):
                 need[t].append(c)
     # A column at a time: Parquet reads no other. All columns are one stage, whose tasks count a value's rows before they send it.
-    parts = [tables[t].select(F.lit(t).alias("t"), F.lit(c).alias("c"), F.when(F.col(c).cast("string") != "", canonical(tables[t], c)).alias("v")) for t, cols in need.items() for c in cols]
-    values = reduce(DataFrame.unionByName, parts).groupBy("t", "c", "v").agg(F.count(F.lit(1)).alias("n"))
+    number = {x: n for n, x in enumerate((t, c) for t, cols in need.items() for c in cols)}
+    parts = [tables[t].select(F.lit(n).alias("c"), F.when(F.col(c).cast("string") != "", canonical(tables[t], c)).alias("v")) for (t, c), n in number.items()]
+    values = reduce(DataFrame.unionByName, parts).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
     named = [(i, ct, columns_of(tables[ct], ck)[0], pt, columns_of(tables[pt], pk)[0]) for i, (ct, ck, pt, pk) in enumerate(candidates)]
-    roles = [r for i, ct, ck, pt, pk in named for r in ((i, ct, ck, "c"), (i, pt, pk, "p"))]
-    sides = values.join(F.broadcast(spark.createDataFrame(roles, "i int, t string, c string, role string")), ["t", "c"])
+    roles = [r for i, ct, ck, pt, pk in named for r in ((i, number[ct, ck], "c"), (i, number[pt, pk], "p"))]
+    sides = values.join(F.broadcast(spark.createDataFrame(roles, "i int, c int, role string")), "c")
     child, parent = F.col("role") == "c", F.col("role") == "p"
     met = sides.groupBy("i", "v").agg(F.sum(F.when(child, F.col("n"))).alias("cn"), F.sum(F.when(parent, F.col("n"))).alias("pn"))  # a value, and its rows on either side
     has = lambda x: F.col("v").isNotNull() & F.col(x).isNotNull()
